@@ -14,7 +14,7 @@ from stintline.llm.common import cut, read, without
 
 RADIUS, SHINGLE = 2, 3
 #: Rows of a tile. A pair of tiles is compared in blocks of BLOCK rows, so a task holds BLOCK * 2 * TILE bits at once.
-TILE, BLOCK = 4096, 256
+TILE, BLOCK = 4096, 64
 #: Table of hot groups up to this many rows is broadcast; beyond it the join is dealt by key.
 BROADCAST_ROWS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -98,10 +98,10 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
         if lo >= hi:
             continue
         near = np.bitwise_count(rows[:, None] ^ other[None, lo:hi]) <= radius
+        own, their = sets.root(np.arange(at, at + len(rows))), sets.root(np.arange(lo, hi) + shift)
+        near &= own[:, None] != their[None, :]  # in a cloud of near copies few links are left after the first block
         i, j = np.nonzero(near)
-        i, j = i + at, j + lo + shift
-        real = i != j
-        sets.join(i[real], j[real])
+        sets.join(own[i], their[j])
     root = sets.root(np.arange(len(every)))
     moved = root != np.arange(len(every))
     return every[moved], every[root[moved]]
