@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from stintline.llm import bpe, line_dedup, sharding, simhash
+from stintline.llm import ann, bpe, html_extract, langid, line_dedup, mixing, quality, sharding, simhash, url_filter
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_langid": langid.op2_langid,
+        "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op5_simhash": simhash.op5_simhash,
         "op6_bpe": bpe.op6_bpe,
+        "op7_html": html_extract.op7_html,
+        "op8_ann": ann.op8_ann,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 

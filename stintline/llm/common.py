@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ RANK_BUCKETS = 2048
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Python workers on this machine find the package where the driver did."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
