@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stintline.llm.common import read, without
 
 #: Pages the labeller is trained on at most, variants of each, passes over them, and blocks of a training sequence.
-TRAIN_PAGES, VARIANTS, PASSES, TRAIN_BLOCKS = 192, 4, 8, 64
+TRAIN_PAGES, VARIANTS, PASSES, TRAIN_BLOCKS = 192, 5, 10, 64
 #: Width of a state, of the hashed tag path, of the hashed own tag and of the hashed words; cells of a batch of sequences.
 STATE, PATH, OWN, WORDS, CELLS = 12, 96, 32, 32, 40_000
 WIDTH = PATH + OWN + WORDS + 6

@@ -30,52 +30,51 @@ class Model:
     threshold: int | None
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``__text`` (never null) and ``__h``, the hash of each word in order."""
-    words = F.array_remove(F.split(F.col("__text"), r"[\x20\x09-\x0D]+", -1), "")
-    return docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it by name in ``body``, wherever the optimizer moves the whole."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-#: SQL for the buckets of a text's words and word pairs, from ``__h``.
+#: SQL for the hashes of a text's words in order (a null text has none).
+_WORDS = "transform(array_remove(split(coalesce({text}, ''), '[" + _SPACE + "]+', -1), ''), w -> xxhash64(w))"
+#: SQL for the buckets of a text's words and word pairs, from its words' hashes ``h``.
 _GRAMS = (
-    f"concat(transform(__h, x -> cast(x & {BUCKETS - 1}L as int)), "
-    f"transform(slice(__h, 1, greatest(size(__h) - 1, 0)), (x, i) -> cast(xxhash64(x, __h[i + 1]) & {BUCKETS - 1}L as int)))"
+    f"concat(transform(h, x -> cast(x & {BUCKETS - 1}L as int)), "
+    f"transform(slice(h, 1, greatest(size(h) - 1, 0)), (x, i) -> cast(xxhash64(x, h[i + 1]) & {BUCKETS - 1}L as int)))"
 )
 
 
-def _with_counts(hashed: DataFrame) -> DataFrame:
-    """Add the base counts to a frame with ``__text`` and ``__h``."""
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # a window's hash above its position, sorted: equal windows are neighbours
-    bits = "length(bin(size(__h)))"
-    at = f"(shiftleft(1L, {bits}) - 1)"
-    windows = "transform(slice(__h, 1, greatest(size(__h) - 2, 0)), (x, i) -> xxhash64(x, __h[i + 1], __h[i + 2]))"
-    keys = f"sort_array(transform(__w, (x, i) -> shiftleft(x, {bits}) | cast(i as bigint)))"
-    same = "(shiftrightunsigned(v, __bits) = shiftrightunsigned(get(__k, {j}), __bits) and __w[cast(v & __at as int)] = __w[cast(get(__k, {j}) & __at as int)])"
-    found = f"sort_array(transform(filter(__k, (v, j) -> {same.format(j='j - 1')} or {same.format(j='j + 1')}), v -> v & __at))"
-    covered = "aggregate(__d, struct(0L as c, -3L as p), (a, v) -> struct(a.c + least(3L, v - a.p) as c, v as p), a -> a.c)"
-    return (
-        hashed.withColumn("__w", F.expr(windows))
-        .withColumns({"__k": F.expr(keys), "__bits": F.expr(bits), "__at": F.expr(at), "__lines": lines})
-        .withColumn("__d", F.expr(found))
-        .withColumns(
-            {
-                "n_words": F.size("__h").cast("bigint"),
-                "word_chars": F.length(F.translate("__text", _SPACE, "")).cast("bigint"),
-                "n_symbols": (F.length("__text") - F.length(F.translate("__text", _SYMBOLS, ""))).cast("bigint"),
-                "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
-                "n_repeat_words": F.expr(covered).cast("bigint"),
-            }
-        )
-        .drop("__w", "__k", "__bits", "__at", "__lines", "__d")
-    )
-
+def _repeat_words() -> str:
+    """SQL for the number of words in 3-word windows that occur twice or more, from ``h``.
 
-def _score(model: Model) -> Column:
-    """Mean log ratio of a text's n-grams in steps (0 for a text without words), from ``__h``."""
+    A window's hash stands above its position in one number; sorted, equal windows are neighbours
+    (the full hashes are compared). The positions found, each covering three words, are then
+    merged.
+    """
+    windows = "transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> xxhash64(x, h[i + 1], h[i + 2]))"
+    keys = "sort_array(transform(w, (x, i) -> shiftleft(x, b) | cast(i as bigint)))"
+    place = "cast({} & (shiftleft(1L, b) - 1) as int)"
+    same = "(shiftrightunsigned(v, b) = shiftrightunsigned({o}, b) and w[" + place.format("v") + "] = w[" + place.format("{o}") + "])"
+    found = "sort_array(transform(filter(k, (v, j) -> " + " or ".join(same.format(o=o) for o in ("get(k, j - 1)", "get(k, j + 1)")) + "), v -> " + place.format("v") + "))"
+    covered = f"aggregate({found}, struct(0L as c, -3 as p), (a, v) -> struct(a.c + least(3, v - a.p) as c, v as p), a -> a.c)"
+    return _let("b", "length(bin(size(h)))", _let("w", windows, _let("k", keys, covered)))
+
+
+def _measured(text: str, model: Model) -> Column:
+    """A struct of the base counts, ``base_failed``, ``s`` (the mean log ratio of a text's n-grams in steps) and ``kept``."""
+    t, chars = f"coalesce({text}, '')", "length(translate({t}, '{c}', ''))"
+    lines = _let("y", f"filter(split({t}, '\\n', -1), y -> y rlike '[^{_SPACE}]')", "size(y) - size(array_distinct(y))")
     ratios = f"from_json('{json.dumps(model.ratios, separators=(',', ':'))}', 'array<int>')"
-    total = f"aggregate({_GRAMS}, 0L, (a, b) -> a + {ratios}[b])"
-    return F.expr(f"if(size(__h) = 0, 0L, cast(floor({total} / (2 * size(__h) - 1)) as bigint))")
+    total = f"aggregate({_GRAMS}, 0L, (a, g) -> a + {ratios}[g])"
+    counts = (
+        f"struct(cast(size(h) as bigint) as n_words, cast({chars.format(t=t, c=_SPACE)} as bigint) as word_chars, "
+        f"cast(length({t}) - {chars.format(t=t, c=_SYMBOLS)} as bigint) as n_symbols, cast({lines} as bigint) as n_dup_lines, "
+        f"{_repeat_words()} as n_repeat_words, if(size(h) = 0, 0L, cast(floor({total} / (2 * size(h) - 1)) as bigint)) as s)"
+    )
+    failed = f"(m.n_words < {MIN_WORDS} or 100 * m.n_repeat_words > {MAX_REPEAT_PERCENT} * m.n_words)"
+    passed = "true" if model.threshold is None else f"m.s >= {model.threshold}"
+    verdict = f"struct({', '.join('m.' + c for c in BASE)}, {failed} as base_failed, m.s, not {failed} and {passed} as kept)"
+    return F.expr(_let("h", _WORDS.format(text=text), _let("m", counts, verdict)))
 
 
 def _labelled(labels: DataFrame, key: str) -> DataFrame:
@@ -106,15 +105,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(known, F.col("__id") == F.col("__key"), "left")
     learns = (F.coalesce("__good", F.lit(0)) == 1) & (F.pmod(F.xxhash64("__key", F.lit("half")), F.lit(2)) == 0)
     rows = rows.withColumn("__learns", F.coalesce(learns, F.lit(False)))
-    grams = _hashed(rows, "__t").select(F.col("__learns").cast("bigint").alias("t"), F.explode(F.expr(_GRAMS)).alias("b"))
+    grams = F.expr(_let("h", _WORDS.format(text="__t"), _GRAMS))
+    grams = rows.select(F.col("__learns").cast("bigint").alias("t"), F.explode(grams).alias("b"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect():
         raw[r.b], target[r.b] = r.n, r.t
     share = sum(target) / max(1, sum(raw))
     ratios = tuple(round(STEPS * math.log((t + PRIOR) / (n * share + PRIOR))) for t, n in zip(target, raw))
     model = Model(ratios, None)
-    known = judge(rows.where(F.col("__good").isNotNull() & ~F.col("__learns")), model, "__t").where("not base_failed")
-    scored = known.select("__good", F.rint(F.col("score") * STEPS).cast("int").alias("s"))
+    known = rows.where(F.col("__good").isNotNull() & ~F.col("__learns")).select("__good", _measured("__t", model).alias("m"))
+    scored = known.where("m.kept").select("__good", F.col("m.s").alias("s"))  # without a threshold: all that pass the base rules
     seen = scored.groupBy("__good", "s").agg(F.count(F.lit(1)).alias("n")).collect()
     return Model(ratios, best_threshold([(r.s, r["__good"], r.n) for r in seen], TRUST))
 
@@ -149,16 +149,14 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     * input columns with the names of result columns are replaced; an empty input gives an empty result.
     """
     added = [*BASE, "base_failed", "score", "kept"]
-    rows = _with_counts(_hashed(without(docs, *added), text)).withColumn("__s", _score(model))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    passed = F.lit(True) if model.threshold is None else F.col("__s") >= model.threshold
-    return rows.withColumns({"base_failed": failed, "score": F.col("__s") / F.lit(float(STEPS)), "kept": ~failed & passed}).drop("__text", "__h", "__s")
+    rows = without(docs, *[c for c in added if c != text]).withColumn("__m", _measured(f"`{text}`", model))
+    new = {c: F.col(f"__m.{c}") for c in (*BASE, "base_failed", "kept")} | {"score": F.col("__m.s") / F.lit(float(STEPS))}
+    return rows.withColumns(new).drop("__m")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    model = fit(docs, labels, key, text)
-    return judge(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), model).where("kept").select("row.*")
+    return docs.where(_measured(f"`{text}`", fit(docs, labels, key, text))["kept"])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
