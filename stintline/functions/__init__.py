@@ -1 +1 @@
-
+"""Column functions: conversions, seeded random numbers, small closed formulas."""

@@ -1 +1 @@
-
+"""Plans: operators put together into queries, models and batch jobs."""

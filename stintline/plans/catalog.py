@@ -1,15 +1,497 @@
-"""Registered queries over the racing domain and their SQL counterparts."""
+"""Registered queries over the racing domain; each has SQL of the same name in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from stintline.functions.scalars import grid_modifier, seconds, status_class
+from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, simulate, strength
+from stintline.plans import export, oracle
+from stintline.rules import ChaosRules
+from stintline.sources import bindings as fx
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: Simulations of the registered queries (the engine's default is SimulationRules.n_sims).
+RACE_SIMS, SEASON_SIMS, FORECAST_SIMS = 200, 40, 40
+SUSPECT_S = 0.5
+LAP_KEYS = ["season", "round", "driver", "stint", "lap_number"]
+_FOUND: dict[str, Query] = {}
 
 
-def oracle_sql():
-    return {}
+def registered(build: Query) -> Query:
+    """Register a query; its floats come rounded to eight places, its integers long, its dates as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy(build(spark, sf_dir))
+
+    _FOUND[build.__name__] = run
+    return run
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    def one(name: str, kind: str):
+        c = F.col(name)
+        if kind in ("double", "float"):
+            return F.round(c, 8) + F.lit(0.0)
+        if kind in ("int", "smallint", "tinyint"):
+            return c.cast("bigint")
+        return c.cast("string") if kind in ("date", "timestamp") else c
+
+    return df.select(*[one(n, t).alias(n) for n, t in df.dtypes])
+
+
+def _valid(spark, d):
+    return pace.valid_laps(pace.green_laps(pace.accurate_laps(fx.laps(spark, d))))
+
+
+def _long(spark, d):
+    return pace.long_stints(_valid(spark, d))
+
+
+def _quali_laps(spark, d):
+    return fx.laps(spark, d).where(~F.col("is_accurate"))
+
+
+def pace_table(spark, d):
+    return pace.pace_features(pace.accurate_laps(fx.laps(spark, d)), _quali_laps(spark, d))
+
+
+def _flagged(spark, d):
+    return gaps.flag_suspects(pace_table(spark, d), long_run_s=SUSPECT_S, quali_s=SUSPECT_S)
+
+
+def _engine_of(spark, d):
+    return fx.laps(spark, d).select("team", "engine").distinct()
+
+
+@registered
+def scan_project_filter(spark, d):
+    return _valid(spark, d).select(*LAP_KEYS, "lap_s")
+
+
+@registered
+def lap_units(spark, d):
+    laps = fx.laps(spark, d)
+    ns = F.rint(F.col("lap_s") * 1e9).cast("bigint")
+    interval = F.make_dt_interval(secs=F.col("lap_s").cast("decimal(18,6)"))
+    text = F.format_string("%d:%09.6f", F.floor(F.col("lap_s") / 60), F.col("lap_s") - 60 * F.floor(F.col("lap_s") / 60))
+    return laps.select(
+        "order_key", "part_key", "driver", "lap_number", seconds(ns, "ns").alias("from_ns"), seconds(interval, "interval").alias("from_interval"),
+        seconds(text, "text").alias("from_text"), seconds(F.lit("no time"), "s").alias("from_bad"),
+    )
+
+
+@registered
+def long_stints(spark, d):
+    return _long(spark, d).select(*LAP_KEYS, "lap_s")
+
+
+@registered
+def fuel_corrected(spark, d):
+    return pace.fuel_corrected(_long(spark, d)).select(*LAP_KEYS, "lap_s", "corrected_s")
+
+
+@registered
+def fuel_corrected_rank(spark, d):
+    return pace.fuel_corrected(_long(spark, d), age="rank", order=fx.LAP_ORDER).select(*LAP_KEYS, "order_key", "part_key", "corrected_s")
+
+
+@registered
+def stint_iqr_filter(spark, d):
+    return pace.drop_slow_outliers(pace.fuel_corrected(_long(spark, d))).select(*LAP_KEYS, "corrected_s")
+
+
+@registered
+def long_run_pace(spark, d):
+    return pace.long_run_pace(pace.accurate_laps(fx.laps(spark, d)))
+
+
+@registered
+def session_best(spark, d):
+    return pace.session_best(pace.accurate_laps(fx.laps(spark, d)))
+
+
+@registered
+def pace_features(spark, d):
+    return pace_table(spark, d)
+
+
+@registered
+def trimmed_mean_pace(spark, d):
+    return pace.trimmed_pace(fx.laps(spark, d), ["driver", "season", "stint"], ["driver", "team"])
+
+
+@registered
+def sprint_pace(spark, d):
+    return pace.sprint_pace(fx.laps(spark, d))
+
+
+@registered
+def teammate_gaps(spark, d):
+    return gaps.teammate_gaps(pace_table(spark, d))
+
+
+@registered
+def teammate_gaps_nation(spark, d):
+    nations = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("driver"), F.col("s_nationkey").alias("team"))
+    return gaps.teammate_gaps(pace_table(spark, d).drop("team").join(nations, "driver")).withColumnRenamed("team", "nation_team")
+
+
+@registered
+def intra_team_suspects(spark, d):
+    return _flagged(spark, d).select("season", "round", "driver", "team", "long_run_suspect", "quali_suspect")
+
+
+@registered
+def team_ffill_bfill(spark, d):
+    holes = pace_table(spark, d).select("round", "driver", F.when((F.col("driver") + F.col("round")) % 3 != 0, F.col("team")).alias("team"))
+    return gaps.fill_teams(holes)
+
+
+@registered
+def field_outliers(spark, d):
+    return strength.drop_field_outliers(pace_table(spark, d), "quali_pace_s", 1.0).select("season", "round", "driver", "quali_pace_s")
+
+
+@registered
+def driver_strength(spark, d):
+    return strength.driver_strengths(_flagged(spark, d), "race")
+
+
+@registered
+def team_strength(spark, d):
+    return strength.team_strengths(_flagged(spark, d), "race", engine_of=_engine_of(spark, d))
+
+
+@registered
+def engine_strength(spark, d):
+    return strength.engine_strengths(strength.team_strengths(_flagged(spark, d), "race", engine_of=_engine_of(spark, d)))
+
+
+@registered
+def strength_long(spark, d):
+    fits = strength.fit_all(_flagged(spark, d), "race", engine_of=_engine_of(spark, d), as_of_round=7)
+    return strength.strength_long(fits["driver"], fits["team"], fits["engine"], 7)
+
+
+@registered
+def driver_total_strength(spark, d):
+    flagged = _flagged(spark, d)
+    return strength.total_strength(strength.driver_strengths(flagged, "race"), strength.team_strengths(flagged, "race"), strength.latest_team(flagged))
+
+
+@registered
+def grid_modifier_(spark, d):
+    entrants = F.count(F.lit(1)).over(Window.partitionBy("round"))
+    return fx.results(spark, d).select("round", "driver", grid_modifier(F.col("grid"), entrants).alias("move"))
+
+
+@registered
+def status_class_(spark, d):
+    return fx.results(spark, d).select("round", "driver", "status", status_class(F.col("status")).alias("kind"))
+
+
+@registered
+def driver_reliability(spark, d):
+    return reliability.driver_reliability(fx.results(spark, d))
+
+
+@registered
+def team_reliability(spark, d):
+    return reliability.team_reliability(fx.results(spark, d))
+
+
+@registered
+def engine_reliability(spark, d):
+    results = fx.results(spark, d)
+    return reliability.engine_reliability(results, results.select("team", "engine").distinct())
+
+
+@registered
+def penalty_positions(spark, d):
+    return penalties.driver_penalties(fx.usage(spark, d))
+
+
+@registered
+def penalty_risk(spark, d):
+    return penalties.penalty_risk(fx.usage(spark, d), 5)
+
+
+@registered
+def rookie_flags(spark, d):
+    cars = fx.results(spark, d).select("round", F.col("grid").alias("car"), F.col("driver").cast("string").alias("driver"))
+    before = cars.select((F.col("round") + 1).alias("round"), "car", F.col("driver").alias("expected"))
+    return cars.join(before, ["round", "car"], "left").select("round", "car", "driver", F.coalesce(F.col("driver") == F.col("expected"), F.lit(True)).alias("is_regular"))
+
+
+@registered
+def absent_regulars(spark, d):
+    results = fx.results(spark, d).select("round", "driver")
+    last = results.agg(F.max("round").alias("last"))
+    due = results.crossJoin(F.broadcast(last)).where("round < last").select((F.col("round") + 1).alias("round"), "driver").distinct()  # one row
+    return due.join(results, ["round", "driver"], "left_anti")
+
+
+@registered
+def identity_bridge(spark, d):
+    people = fx.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("key"), F.concat("c_mktsegment", F.lit(" Customer_"), F.element_at(F.split("c_name", "#"), 2)).alias("full_name")
+    )
+    ids = fx.table(spark, d, "supplier").select(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))).alias("id"))
+    return records.bridge_names(people, ids)
+
+
+@registered
+def upsert_latest(spark, d):
+    old = fx.usage(spark, d).select("driver", "component", "units_used", F.lit(0).alias("batch"))
+    new = old.where("driver % 3 = 0").select("driver", "component", (F.col("units_used") + 1).alias("units_used"), F.lit(1).alias("batch"))
+    return records.upsert(old, new, ["driver", "component"], ["batch"])
+
+
+@registered
+def replace_by_round(spark, d):
+    old = fx.results(spark, d).select("round", "driver", "v", F.lit("old").alias("src"))
+    new = old.where("round % 2 = 0").select("round", "driver", (F.col("v") + 1).alias("v"), F.lit("new").alias("src"))
+    return records.replace_by(old, new, ["round"])
+
+
+@registered
+def last_nonnull_per_key(spark, d):
+    rows = fx.results(spark, d).select(
+        "driver", "round", F.when(F.col("status") != "Finished", F.col("status")).alias("status"), F.when(F.col("position") > 3, F.col("position")).alias("position")
+    )
+    return records.last_known(rows, ["driver"], ["round"], ["status", "position"])
+
+
+def _win(spark, d):
+    return evaluate.win_probs(fx.scores(spark, d))
+
+
+@registered
+def topk_per_round(spark, d):
+    return records.top_per(_win(spark, d), ["round"], [F.round("p", 12).desc(), F.col("driver")], 3).select("round", "driver", "p", "rk")
+
+
+@registered
+def next_round(spark, d):
+    return point_in_time.next_round(fx.schedule(spark, d), "1998-06-30")
+
+
+@registered
+def last_completed(spark, d):
+    return point_in_time.last_completed(fx.schedule(spark, d), "1998-06-30")
+
+
+@registered
+def points_scoring(spark, d):
+    results = fx.results(spark, d)
+    out = status_class(F.col("status")) != "finished"
+    return results.select(
+        "round", "driver", "position", simulate.score(F.col("position"), out, F.lit(False)).alias("race_points"), simulate.score(F.col("position"), out, F.lit(True)).alias("sprint_points")
+    )
+
+
+@registered
+def grid_penalty_strength(spark, d):
+    return simulate.grid_penalised(fx.race_field(spark, d)).select("driver", "mean")
+
+
+def _orders(spark, d, chaos=None):
+    return simulate.simulate_race(spark, fx.race_field(spark, d), RACE_SIMS, chaos=chaos, engine="md5", most=None)
+
+
+@registered
+def plackett_luce_orders(spark, d):
+    order = Window.partitionBy("sim_id").orderBy(F.round("speed", 9).desc(), "driver")
+    return _orders(spark, d).select("sim_id", "driver", F.row_number().over(order).alias("pos"))
+
+
+@registered
+def dnf_reorder(spark, d):
+    finishers = F.count_if(~F.col("dnf_flag")).over(Window.partitionBy("sim_id"))
+    return _orders(spark, d).select("sim_id", "driver", "dnf_flag", "pos", finishers.alias("n_finishers"))
+
+
+@registered
+def race_summary(spark, d):
+    return simulate.race_summary(_orders(spark, d))
+
+
+@registered
+def finish_distribution(spark, d):
+    return simulate.finish_distribution(_orders(spark, d))
+
+
+@registered
+def race_chaos(spark, d):
+    return simulate.race_summary(_orders(spark, d, ChaosRules()))
+
+
+def _season(spark, d):
+    entrants = fx.race_field(spark, d)
+    standings = fx.standings(spark, d)
+    teams = standings.select("driver", F.floor(F.col("driver") / 2).alias("team"))
+    field = simulate.season_field(standings, entrants.select("driver", "mean", "sd"), entrants.select("driver", "dnf"), teams)
+    return simulate.simulate_season(spark, field, fx.schedule(spark, d), SEASON_SIMS, engine="md5", most=None)
+
+
+@registered
+def season_points(spark, d):
+    return _season(spark, d).select("sim_id", "driver", "sim_points")
+
+
+@registered
+def title_probability(spark, d):
+    return simulate.title_probability(_season(spark, d))
+
+
+@registered
+def constructor_title(spark, d):
+    standings = fx.standings(spark, d).groupBy(F.floor(F.col("driver") / 2).alias("team")).agg(F.sum("points").alias("points"), F.min("position").alias("position"))
+    return simulate.constructor_title(_season(spark, d), standings)
+
+
+@registered
+def magic_number(spark, d):
+    return simulate.magic_numbers(fx.standings(spark, d), 3)
+
+
+@registered
+def win_probs_softmax(spark, d):
+    return _win(spark, d)
+
+
+@registered
+def brier_win(spark, d):
+    return evaluate.brier_win(fx.scores(spark, d), fx.results(spark, d))
+
+
+def forecasts(spark, d):
+    """Canonical finishing probabilities of every round from the form before it."""
+    rows = fx.scores(spark, d).select("round", "driver", F.col("score").alias("mean"), F.lit(0.0).alias("dnf"), F.lit(False).alias("is_sprint"), F.col("round").alias("race"))
+    sims = spark.range(FORECAST_SIMS).withColumnRenamed("id", "sim_id")
+    orders = simulate.race_orders(rows.crossJoin(F.broadcast(sims)), engine="md5")  # FORECAST_SIMS rows
+    seen = orders.groupBy("round", "driver", F.col("pos").alias("finish_pos")).agg(F.count(F.lit(1)).alias("n"))
+    grid = orders.select("round", "driver").distinct().join(orders.select("round", F.col("pos").alias("finish_pos")).distinct(), "round")
+    return grid.join(seen, ["round", "driver", "finish_pos"], "left").select(
+        "round", "driver", "finish_pos", (F.coalesce("n", F.lit(0)) / F.lit(float(FORECAST_SIMS))).alias("probability")
+    )
+
+
+@registered
+def brier_topk(spark, d):
+    return evaluate.brier_topk(forecasts(spark, d), fx.results(spark, d), 3)
+
+
+@registered
+def brier_full(spark, d):
+    return evaluate.brier_full(forecasts(spark, d), fx.results(spark, d))
+
+
+@registered
+def log_loss_win(spark, d):
+    return evaluate.log_loss_win(fx.scores(spark, d), fx.results(spark, d))
+
+
+def _diagram(spark, d):
+    return evaluate.reliability_diagram(evaluate.win_pairs(fx.scores(spark, d), fx.results(spark, d)))
+
+
+@registered
+def reliability_diagram(spark, d):
+    return _diagram(spark, d)
+
+
+@registered
+def ece(spark, d):
+    return evaluate.calibration_error(_diagram(spark, d))
+
+
+@registered
+def rank_correlation(spark, d):
+    return evaluate.rank_correlation(fx.scores(spark, d), fx.results(spark, d))
+
+
+@registered
+def eval_per_round(spark, d):
+    return evaluate.evaluate_rounds(fx.scores(spark, d), fx.results(spark, d))
+
+
+@registered
+def accuracy(spark, d):
+    return evaluate.accuracy(fx.scores(spark, d), fx.results(spark, d))
+
+
+@registered
+def skill_score(spark, d):
+    pairs = evaluate._outcomes(_win(spark, d), fx.results(spark, d), 1, ["round"])
+    per = pairs.groupBy("round").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("bs"), F.count(F.lit(1)).cast("double").alias("n"))
+    return per.select("round", evaluate.skill_score(F.col("bs"), evaluate.naive_brier(F.col("n"))).alias("skill"))
+
+
+@registered
+def round_cutoffs(spark, d):
+    calendar = fx.schedule(spark, d).withColumn("first_practice", F.when(F.col("round") % 3 != 0, F.col("first_practice")))
+    return point_in_time.round_cutoffs(calendar)
+
+
+@registered
+def leakage_violations(spark, d):
+    cutoffs = fx.schedule(spark, d).select("season", "round", F.date_add("first_practice", 180).alias("cutoff"))
+    return point_in_time.leaks(fx.laps(spark, d).select("season", "round", "date"), cutoffs, ["season", "round"])
+
+
+@registered
+def prior_rounds_snapshot(spark, d):
+    return point_in_time.before_round(pace_table(spark, d), fx.schedule(spark, d), 5).select("season", "round", "driver", "quali_pace_s", "date")
+
+
+@registered
+def replay_status(spark, d):
+    calendar = fx.schedule(spark, d)
+    snapshots = calendar.select("round", (F.col("round") % 4 != 0).alias("frozen"))
+    return point_in_time.replay_status(calendar, snapshots, calendar.where("round <= 3").select("round"))
+
+
+@registered
+def coverage(spark, d):
+    return pace.coverage(pace_table(spark, d), ["long_run_pace_s", "quali_pace_s"], ["season", "round"])
+
+
+@registered
+def export_driver_rows(spark, d):
+    return export.driver_rows(forecasts(spark, d), fx.results(spark, d))
+
+
+@registered
+def json_props(spark, d):
+    props = fx.table(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return props.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k_sum"), F.max("p.k").alias("k_max"))
+
+
+@registered
+def default_cutoff(spark, d):
+    calendar = fx.schedule(spark, d)
+    kinds = F.array_compact(
+        F.array(F.lit("pre-fp1"), F.when(F.col("has_sprint"), F.lit("post-sprint")), F.when(F.col("round") % 3 == 1, F.lit("post-q")))
+    )
+    return export.default_cutoffs(calendar.select("round", F.explode(kinds).alias("cutoff")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps to pace, pace to strengths, strengths to a simulated race: each driver's chances, best first."""
+    flagged = _flagged(spark, sf_dir)
+    total = strength.total_strength(strength.driver_strengths(flagged, "race"), strength.team_strengths(flagged, "race"), strength.latest_team(flagged))
+    orders = simulate.simulate_race(spark, total.select("driver", "mean", "sd"), RACE_SIMS, sample=True, most=None)
+    return tidy(simulate.race_summary(orders)).orderBy(F.desc("win_prob"), "driver")
+
+
+def queries() -> dict[str, Query]:
+    return {name.rstrip("_"): run for name, run in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
