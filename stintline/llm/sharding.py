@@ -54,3 +54,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "source",
     )
+
+
+#: crc32 by its definition: a table of 256 entries from the polynomial, folded over the text's bytes.
+OP4_SQL = f"""
+with crc_table as (
+  select list(c order by i) as t from (select i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i))),
+hexed as (select doc_id, source, text, coalesce(hex(encode(text)), '') as h from documents),
+sized as (
+  select doc_id, source, (length(h) // 2 + 8)::BIGINT as size,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
+    ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT as h, coalesce('s' || source, 'n') as s
+  from hexed, crc_table),
+ranked as (select *, (row_number() over (partition by s order by h, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) over (partition by s) as pt from sized),
+placed as (select *, row_number() over (order by pt, s, h, doc_id, size, text_crc32) - 1 as pos, count(*) over () as n from ranked)
+select doc_id, size, text_crc32, 'rows' as law, (pos * {SHARDS} // n)::INTEGER as shard,
+  (pos - (pos * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS})::BIGINT as slot, null::INTEGER as grown_shard, source
+from placed
+"""
