@@ -33,6 +33,19 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def place_by(df: DataFrame, value: str, then: list[str], name: str = "position") -> DataFrame:
+    """Add each row's place from the highest value down, ties by ``then``, without sorting all rows in one task.
+
+    Rows of one value are ranked together and moved down by the number of rows with a higher one;
+    only a count for each value is summed up. Meant for values with few steps, such as points.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    above = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(value).orderBy(*then))
+    ranked = df.withColumn("__w", within).join(counts.select(value, above.alias("__above")), value)
+    return ranked.select(*df.columns, (F.col("__above") + F.col("__w")).cast("int").alias(name))
+
+
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
     """Whether both frames hold the same set of keys (eager)."""
     left, right = a.select(*keys).distinct(), b.select(*keys).distinct()

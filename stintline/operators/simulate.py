@@ -20,19 +20,25 @@ SMALL_ROWS = 50_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, given only if the table really is small."""
+    """A hint to broadcast, given only if the table really is small (counted at once)."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def check_entrants(field: DataFrame, most: int | None = SIMULATION.max_entrants) -> DataFrame:
-    """The field itself, if it has 1 to ``most`` drivers and retirement rates in [0, 1]; else ValueError."""
-    rate = F.col("dnf") if "dnf" in field.columns else F.lit(0.0)
-    row = field.agg(F.count(F.lit(1)).alias("n"), F.min(rate).alias("low"), F.max(rate).alias("high")).first()
-    if not row.n or (most is not None and row.n > most):
-        raise ValueError(f"a field has 1 to {most} drivers, not {row.n}")
-    if row.low is not None and (row.low < 0 or row.high > 1):
+def field_facts(field: DataFrame):
+    """In one job: the number of entrants and the ranges of their retirement rates and spreads."""
+    column = lambda c: F.col(c) if c in field.columns else F.lit(None).cast("double")
+    return field.agg(
+        F.count(F.lit(1)).alias("n"), F.min(column("dnf")).alias("low"), F.max(column("dnf")).alias("high"), F.min(column("sd")).alias("sd_low"), F.max(column("sd")).alias("sd_high")
+    ).first()
+
+
+def check_entrants(facts, most: int | None = SIMULATION.max_entrants) -> int:
+    """The number of entrants: 1 to ``most``, with retirement rates in [0, 1]; else ValueError."""
+    if not facts.n or (most is not None and facts.n > most):
+        raise ValueError(f"a field has 1 to {most} drivers, not {facts.n}")
+    if facts.low is not None and (facts.low < 0 or facts.high > 1):
         raise ValueError("a retirement rate lies outside [0, 1]")
-    return field
+    return facts.n
 
 
 def grid_penalised(field: DataFrame, rules: SimulationRules = SIMULATION) -> DataFrame:
@@ -42,10 +48,10 @@ def grid_penalised(field: DataFrame, rules: SimulationRules = SIMULATION) -> Dat
     return field.withColumn("mean", F.col("mean") - lost * extra)
 
 
-def draws(spark: SparkSession, field: DataFrame, races: DataFrame, n_sims: int) -> DataFrame:
-    """Every simulation x race x driver; the two small sides are joined first and sent to the simulations."""
-    entries = races.crossJoin(small(field))
-    return spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(small(entries))
+def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_sims: int) -> DataFrame:
+    """Every simulation x race x driver. Fields and calendars are small; they are sent to all tasks only if they are."""
+    hint = F.broadcast if entrants * races.count() <= SMALL_ROWS else (lambda x: x)
+    return spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(hint(races.crossJoin(hint(field))))
 
 
 def race_orders(
@@ -99,12 +105,12 @@ def simulate_race(
     seed: int | None = None, chaos: ChaosRules | None = None, sample: bool = False, develop: bool = False, engine: str = "xxhash64", most: int | None = SIMULATION.max_entrants,
 ) -> DataFrame:
     """Orders of ``n_sims`` simulations of one race; ``field`` has (driver, mean) and may have sd, dnf, penalty_positions and pit_lane."""
-    field = check_entrants(field, most)
+    entrants = check_entrants(field_facts(field), most)
     for name, kind in (("sd", "double"), ("dnf", "double"), ("penalty_positions", "int"), ("pit_lane", "boolean")):
         if name not in field.columns:
             field = field.withColumn(name, F.lit(0.0 if name == "dnf" else None).cast(kind))
     field = grid_penalised(with_field_mean(field), rules)
-    return race_orders(draws(spark, field, one_race(spark, race, is_sprint), n_sims), rules, seed, chaos, sample, develop, engine)
+    return race_orders(draws(spark, field, entrants, one_race(spark, race, is_sprint), n_sims), rules, seed, chaos, sample, develop, engine)
 
 
 def race_summary(orders: DataFrame) -> DataFrame:
@@ -123,8 +129,8 @@ def finish_distribution(orders: DataFrame) -> DataFrame:
     """(driver, finish_pos, probability), zeros included."""
     seen = orders.groupBy("driver", F.col("pos").alias("finish_pos")).agg(F.count(F.lit(1)).alias("n"))
     drivers = seen.groupBy("driver").agg(F.sum("n").alias("sims"))
-    places = seen.select("finish_pos").distinct()
-    grid = small(drivers).crossJoin(small(places))
+    last = seen.agg(F.max("finish_pos").alias("last"))
+    grid = drivers.crossJoin(F.broadcast(last)).withColumn("finish_pos", F.explode(F.sequence(F.lit(1), F.col("last"))))  # one row
     return grid.join(seen, ["driver", "finish_pos"], "left").select(
         "driver", "finish_pos", (F.coalesce("n", F.lit(0)) / F.col("sims").cast("double")).alias("probability")
     )
@@ -161,16 +167,15 @@ def simulate_season(
     Strengths are drawn from their posterior unless every one of them is unknown. Without
     rounds each simulation ends as the standings are; without drivers the result is empty.
     """
+    facts = field_facts(field)
     if sample is None:
-        known = field.agg(F.coalesce(F.min("sd") == rules.unknown_sd, F.lit(True)) & F.coalesce(F.max("sd") == rules.unknown_sd, F.lit(True))).first()[0]
-        sample = not known
-    base = spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(small(field.select("driver", "team", "standing", "start_points")))
-    if field.limit(1).count() == 0:
+        sample = not (facts.sd_low == rules.unknown_sd == facts.sd_high)
+    hint = F.broadcast if facts.n <= SMALL_ROWS else (lambda x: x)
+    base = spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(hint(field.select("driver", "team", "standing", "start_points")))
+    if not facts.n:
         return base.withColumn("sim_points", F.lit(0.0))
-    check_entrants(field, most)
-    rows = draws(spark, with_field_mean(field), races_of(schedule), n_sims).repartition("sim_id")
-    orders = race_orders(rows, rules, seed, chaos, sample, develop, engine)
-    got = season_points(orders)
+    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races_of(schedule), n_sims).repartition("sim_id")
+    got = season_points(race_orders(rows, rules, seed, chaos, sample, develop, engine))
     return base.join(got, ["sim_id", "driver"], "left").withColumn("sim_points", F.coalesce("sim_points", F.lit(0.0)))
 
 

@@ -16,8 +16,9 @@ SIGNALS = {
 
 def drop_field_outliers(pace: DataFrame, column: str, limit: float, by: tuple[str, ...] = ("round",)) -> DataFrame:
     """A value more than ``limit`` above the best of its round becomes null."""
-    best = F.min(column).over(Window.partitionBy(*by))
-    return pace.withColumn(column, F.when(F.col(column) <= best + F.lit(limit), F.col(column)))
+    best = pace.where(F.col("round").isNotNull()).groupBy(*by).agg((F.min(column) + F.lit(limit)).alias("__most"))
+    joined = pace.join(F.broadcast(best), list(by), "left")  # one row a round; a window would bring a round's rows into one task
+    return joined.withColumn(column, F.when(F.col(column) <= F.col("__most"), F.col(column))).select(*pace.columns)
 
 
 def drop_suspects(pace: DataFrame, column: str, flag: str) -> DataFrame:
@@ -60,8 +61,9 @@ def team_strengths(pace: DataFrame, signal: str = "quali", by_season: bool = Fal
     column = SIGNALS[signal][0]
     rows = clean_signal(pace, signal, by_season, outlier_s)
     rounds = rows.groupBy("season", "round", "team").agg(F.avg(column).alias("pace"))
-    field = Window.partitionBy(*(("season", "round") if by_season else ("round",)))
-    rounds = rounds.withColumn("speed", F.avg("pace").over(field) - F.col("pace"))
+    field = ["season", "round"] if by_season else ["round"]
+    centre = rounds.groupBy(*field).agg(F.avg("pace").alias("centre"))
+    rounds = rounds.join(F.broadcast(centre), field).withColumn("speed", F.col("centre") - F.col("pace"))  # one row a round
     per = rounds.groupBy("team").agg(F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std"), F.count(F.lit(1)).alias("n_obs"))
     per = per.select("team", "mean", _standard_error(F.col("std"), F.col("n_obs")).alias("sd"), "n_obs")
     return per.withColumn("engine", F.lit(None).cast("string")) if engine_of is None else per.join(engine_of, "team", "left")

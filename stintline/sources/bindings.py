@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import lookup, points
+from stintline.operators.records import place_by
 from stintline.rules import RACE_POINTS
 
 # What the event types and order priorities stand for.
@@ -76,7 +77,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     scored = supplier.select(F.col("s_suppkey").alias("driver"), F.floor(F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 100).cast("double").alias("points"))
-    return scored.withColumn("position", F.row_number().over(Window.orderBy(F.desc("points"), "driver")))  # a season's standings
+    return place_by(scored, "points", ["driver"])
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

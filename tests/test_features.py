@@ -166,3 +166,10 @@ def test_seconds_and_nulls(spark):
     got = row.select(*[scalars.seconds(F.col(c), k).alias(c) for c, k in (("ns", "ns"), ("i", "interval"), ("t", "text"), ("bad", "text"))]).first()
     assert (got.ns, got.i, got.t, got.bad) == (90.5, 90.5, 90.5, None)
     assert scalars.null_nan(row).first().nan is None
+
+
+def test_places_without_one_sort(spark):
+    from stintline.operators.records import place_by
+
+    rows = spark.createDataFrame([("b", 5.0), ("a", 5.0), ("c", 9.0), ("d", 0.0)], "driver string, points double")
+    assert {r.driver: r.position for r in place_by(rows, "points", ["driver"]).collect()} == {"c": 1, "a": 2, "b": 3, "d": 4}
