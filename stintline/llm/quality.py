@@ -114,9 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ratios = tuple(round(STEPS * math.log((t + PRIOR) / (n * share + PRIOR))) for t, n in zip(target, raw))
     model = Model(ratios, None)
     known = rows.where(F.col("__good").isNotNull() & ~F.col("__learns")).select("__good", _measured("__t", model).alias("m"))
-    scored = known.where("m.kept").select("__good", F.col("m.s").alias("s"))  # without a threshold: all that pass the base rules
-    seen = scored.groupBy("__good", "s").agg(F.count(F.lit(1)).alias("n")).collect()
-    return Model(ratios, best_threshold([(r.s, r["__good"], r.n) for r in seen], TRUST))
+    # no filter on the measures here: the optimizer would move it, and with it the measuring, before the join
+    seen = known.groupBy("__good", "m.kept", "m.s").agg(F.count(F.lit(1)).alias("n")).collect()
+    passing = [(r.s, r["__good"], r.n) for r in seen if r.kept]  # without a threshold: all that pass the base rules
+    return Model(ratios, best_threshold(passing, TRUST))
 
 
 def best_threshold(seen: list[tuple[int, int, int]], trust: float) -> int | None:
