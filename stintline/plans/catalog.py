@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintline.functions.scalars import grid_modifier, seconds, status_class
+from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class
 from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, simulate, strength
 from stintline.plans import export, oracle
 from stintline.rules import ChaosRules
 from stintline.sources import bindings as fx
+from stintline.sources import landings
+from stintline.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Simulations of the registered queries (the engine's default is SimulationRules.n_sims).
@@ -481,6 +483,88 @@ def default_cutoff(spark, d):
     return export.default_cutoffs(calendar.select("round", F.explode(kinds).alias("cutoff")))
 
 
+@registered
+def qualifying_best(spark, d):
+    orders = fx.table(spark, d, "orders")
+    part = lambda status, by: F.when(F.col("o_orderstatus") == status, F.col("o_totalprice") / by)
+    timed = orders.select(
+        F.lit(2026).alias("season"), F.year("o_orderdate").alias("round"), F.col("o_orderkey").alias("Abbreviation"), F.col("o_custkey").alias("TeamName"),
+        F.col("o_orderpriority").substr(1, 1).alias("Position"), part("F", 9_000).alias("Q3"), F.when(F.col("o_orderstatus") == "O", 0.0).alias("Q2"), (F.col("o_totalprice") / 7_000).alias("Q1"),
+    )
+    return landings.qualifying_results(timed)
+
+
+@registered
+def testing_days(spark, d):
+    items = fx.table(spark, d, "lineitem").where("l_quantity > 40")
+    return landings.testing_days(items.select(F.year("l_shipdate").alias("season"), F.col("l_suppkey").alias("test_number"), F.col("l_linenumber").alias("day")))
+
+
+@registered
+def pace_session_laps(spark, d):
+    kinds = F.when(F.col("stint").startswith("A"), "FP1").when(F.col("stint").startswith("N"), "FP2").otherwise("FP3")
+    formats = fx.schedule(spark, d).select("season", "round", F.when(F.col("has_sprint"), "sprint_qualifying").otherwise("conventional").alias("event_format"))
+    chosen = landings.pace_session(fx.laps(spark, d).withColumn("session_type", kinds), formats)
+    return chosen.groupBy("season", "round", "session_type").agg(F.count(F.lit(1)).alias("laps"), F.min("lap_s").alias("best_s"))
+
+
+@registered
+def allocation_left(spark, d):
+    usage = fx.usage(spark, d)
+    allowed = allocation(F.col("season"), F.col("component"))
+    return usage.select("driver", "component", "units_used", allowed.alias("allowed"), F.greatest(allowed - F.col("units_used"), F.lit(0)).alias("units_left"))
+
+
+@registered
+def win_pairs(spark, d):
+    pairs = evaluate.win_pairs(fx.scores(spark, d), fx.results(spark, d))
+    return pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+
+
+@registered
+def summary_metrics(spark, d):
+    scores, results = fx.scores(spark, d), fx.results(spark, d)
+    per_round = evaluate.brier_win(scores, results).join(evaluate.log_loss_win(scores, results), "round").drop("round")
+    return evaluate.summarize(per_round, evaluate.win_pairs(scores, results))
+
+
+@registered
+def results_lookup(spark, d):
+    rows = fx.results(spark, d).select("round", "driver", "position")
+    return export.results_lookup(rows.where("round % 3 <> 0").withColumn("source", F.lit("first")), rows.where("round >= 3").withColumn("source", F.lit("fallback")))
+
+
+@registered
+def season_entrants(spark, d):
+    standings = fx.standings(spark, d)
+    known = fx.race_field(spark, d).where("driver % 4 <> 0")
+    rates = fx.race_field(spark, d).where("driver % 3 <> 0").select("driver", "dnf")
+    teams = standings.where("driver % 5 <> 0").select("driver", F.floor(F.col("driver") / 2).alias("team"))
+    return simulate.season_field(standings, known, rates, teams)
+
+
+@registered
+def race_posterior(spark, d):
+    return simulate.race_summary(simulate.simulate_race(spark, fx.race_field(spark, d), RACE_SIMS, engine="md5", most=None, sample=True))
+
+
+@registered
+def export_with_meta(spark, d):
+    names = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("driver"), F.col("s_name").alias("display_name"), F.concat(F.lit("team_"), F.col("s_nationkey").cast("string")).alias("team"))
+    return export.with_meta(fx.results(spark, d).select("round", "driver", "points"), names)
+
+
+@registered
+def last_completed_inclusive(spark, d):
+    last_day = fx.schedule(spark, d).where("round = 4").agg(F.max("date")).first()[0]
+    return point_in_time.last_completed(fx.schedule(spark, d), str(last_day), inclusive=True)
+
+
+@registered
+def streamed_windows(spark, d):
+    return rounds.event_windows(spark, d)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps to pace, pace to strengths, strengths to a simulated race: each driver's chances, best first."""
     flagged = _flagged(spark, sf_dir)

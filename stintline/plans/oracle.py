@@ -265,4 +265,28 @@ def sql() -> dict[str, str]:
             from canon c left join results r on r.round = c.round and r.driver = c.driver group by c.round, c.driver""", "canon", "results"),
         "json_props": "select event_type, count(*)::BIGINT as n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT as k_sum, max(json_extract(props, '$.k')::BIGINT)::BIGINT as k_max from events group by event_type",
         "default_cutoff": q("select round::BIGINT as round, arg_min(cutoff, priority) as cutoff from (select round, 'pre-fp1' as cutoff, 3 as priority from schedule union all select round, 'post-sprint', 2 from schedule where has_sprint union all select round, 'post-q', 1 from schedule where round % 3 = 1) group by round", "schedule"),
+        "qualifying_best": f"""select 2026::BIGINT as season, year(o_orderdate)::BIGINT as round, o_orderkey as driver, o_custkey as team, substr(o_orderpriority, 1, 1)::BIGINT as quali_pos,
+            round_even(round((case when o_orderstatus = 'F' and o_totalprice > 0 then o_totalprice / 9000 when o_totalprice > 0 then o_totalprice / 7000 end) * 10000, 6), 0) / 10000.0::DOUBLE as best_lap_s from orders""",
+        "testing_days": """select season::BIGINT as season, test_number, day::BIGINT as day from (select *, row_number() over (partition by season, test_number order by day) as nth from (
+            select distinct year(l_shipdate) as season, l_suppkey as test_number, l_linenumber as day from lineitem where l_quantity > 40)) where nth = day""",
+        "pace_session_laps": q(f"""select season::BIGINT as season, round::BIGINT as round, session_type, count(*)::BIGINT as laps, {rounded('min(lap_s)')} as best_s from (
+            select *, case when starts_with(stint, 'A') then 'FP1' when starts_with(stint, 'N') then 'FP2' else 'FP3' end as session_type from laps)
+            where session_type = case when round % 2 = 0 then 'FP1' else 'FP2' end group by season, round, session_type""", "laps"),
+        "allocation_left": q("""select driver, component, used::BIGINT as units_used, (case when component in ('ICE', 'TC', 'EX') then 4 else 3 end)::BIGINT as allowed,
+            greatest((case when component in ('ICE', 'TC', 'EX') then 4 else 3 end) - used, 0)::BIGINT as units_left from usage""", "usage"),
+        "win_pairs": q(f"select y::BIGINT as y, count(*)::BIGINT as n, {rounded('avg(p)')} as mean_p from pairs group by y", "pairs"),
+        "summary_metrics": q(f"""select count(*)::BIGINT as n_rounds, {rounded('round_even(round(avg(bs) * 1000000, 6), 0) / 1000000.0::DOUBLE')} as bs_win, {rounded('round_even(round(avg(ll) * 1000000, 6), 0) / 1000000.0::DOUBLE')} as log_loss_win,
+            (select {rounded('round_even(round(sum(n * abs(mp - mo)) / sum(n) * 1000000, 6), 0) / 1000000.0::DOUBLE')} from diagram) as ece from (select round, avg(pow(p - y, 2)) as bs,
+            -avg(case when y = 1 then ln(least(greatest(p, 1e-6), 1 - 1e-6)) else ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) end) as ll from winy group by round)""", "winy", "diagram"),
+        "results_lookup": q("select round::BIGINT as round, driver, position::BIGINT as position, case when round % 3 <> 0 then 'first' else 'fallback' end as source from results", "results"),
+        "season_entrants": q(f"""select driver, position::BIGINT as standing, {rounded('points')} as start_points, {rounded('case when driver % 4 <> 0 then points / 20 else 0 end')} as mean,
+            {rounded('case when driver % 4 <> 0 then 0.3::DOUBLE + (driver % 5) / 10.0::DOUBLE else 2.0::DOUBLE end')} as sd, {rounded('case when driver % 3 <> 0 then 0.05::DOUBLE + (driver % 4) * 0.05::DOUBLE else 0.08::DOUBLE end')} as dnf,
+            case when driver % 5 <> 0 then driver // 2 end as team from standings""", "standings"),
+        "race_posterior": q(summary.format(f"""(select *, case when dnf_flag then 0.0::DOUBLE else {points_of('pos', RACE_POINTS)} end as points from (select *, row_number() over (partition by sim_id order by dnf_flag, round(speed, 9) desc, driver) as pos from (
+            select sim_id, driver, dnf_flag, speed + {normal('post', 'sim_id', "'race'", 'driver')} * greatest(sd, 1e-9) as speed from orders_raw join (select driver, sd from field) using (driver))))"""), "orders_raw", "field"),
+        "export_with_meta": q(f"""select round::BIGINT as round, r.driver, {rounded('points')} as points, coalesce(s_name, r.driver::VARCHAR) as display_name, coalesce('team_' || s_nationkey, 'unknown') as team
+            from results r left join supplier on s_suppkey = r.driver""", "results"),
+        "last_completed_inclusive": q("select coalesce(arg_max(round, date), 0)::BIGINT as last_round from schedule where date <= (select max(date) from schedule where round = 4)", "schedule"),
+        "streamed_windows": f"""select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*)::BIGINT as n, {rounded('sum(value)')} as total
+            from events group by 1, 2""",
     }
