@@ -489,7 +489,7 @@ def qualifying_best(spark, d):
     part = lambda status, by: F.when(F.col("o_orderstatus") == status, F.col("o_totalprice") / by)
     timed = orders.select(
         F.lit(2026).alias("season"), F.year("o_orderdate").alias("round"), F.col("o_orderkey").alias("Abbreviation"), F.col("o_custkey").alias("TeamName"),
-        F.col("o_orderpriority").substr(1, 1).alias("Position"), part("F", 9_000).alias("Q3"), F.when(F.col("o_orderstatus") == "O", 0.0).alias("Q2"), (F.col("o_totalprice") / 7_000).alias("Q1"),
+        F.col("o_orderpriority").substr(1, 1).alias("Position"), part("F", 8999.7).alias("Q3"), F.when(F.col("o_orderstatus") == "O", 0.0).alias("Q2"), (F.col("o_totalprice") / 7999.7).alias("Q1"),
     )
     return landings.qualifying_results(timed)
 

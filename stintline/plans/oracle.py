@@ -266,7 +266,7 @@ def sql() -> dict[str, str]:
         "json_props": "select event_type, count(*)::BIGINT as n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT as k_sum, max(json_extract(props, '$.k')::BIGINT)::BIGINT as k_max from events group by event_type",
         "default_cutoff": q("select round::BIGINT as round, arg_min(cutoff, priority) as cutoff from (select round, 'pre-fp1' as cutoff, 3 as priority from schedule union all select round, 'post-sprint', 2 from schedule where has_sprint union all select round, 'post-q', 1 from schedule where round % 3 = 1) group by round", "schedule"),
         "qualifying_best": f"""select 2026::BIGINT as season, year(o_orderdate)::BIGINT as round, o_orderkey as driver, o_custkey as team, substr(o_orderpriority, 1, 1)::BIGINT as quali_pos,
-            round_even(round((case when o_orderstatus = 'F' and o_totalprice > 0 then o_totalprice / 9000 when o_totalprice > 0 then o_totalprice / 7000 end) * 10000, 6), 0) / 10000.0::DOUBLE as best_lap_s from orders""",
+            round_even(round((case when o_orderstatus = 'F' and o_totalprice > 0 then o_totalprice / 8999.7::DOUBLE when o_totalprice > 0 then o_totalprice / 7999.7::DOUBLE end) * 10000, 6), 0) / 10000.0::DOUBLE as best_lap_s from orders""",
         "testing_days": """select season::BIGINT as season, test_number, day::BIGINT as day from (select *, row_number() over (partition by season, test_number order by day) as nth from (
             select distinct year(l_shipdate) as season, l_suppkey as test_number, l_linenumber as day from lineitem where l_quantity > 40)) where nth = day""",
         "pace_session_laps": q(f"""select season::BIGINT as season, round::BIGINT as round, session_type, count(*)::BIGINT as laps, {rounded('min(lap_s)')} as best_s from (
