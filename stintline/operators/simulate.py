@@ -48,10 +48,16 @@ def grid_penalised(field: DataFrame, rules: SimulationRules = SIMULATION) -> Dat
     return field.withColumn("mean", F.col("mean") - lost * extra)
 
 
-def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_sims: int) -> DataFrame:
+def simulations(spark: SparkSession, n_sims: int) -> DataFrame:
+    """(sim_id), dealt by simulation before anything is multiplied by it, so that orders, sums and titles need no exchange."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return spark.range(n_sims).withColumnRenamed("id", "sim_id").repartition(tasks, "sim_id")
+
+
+def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_races: int, n_sims: int) -> DataFrame:
     """Every simulation x race x driver. Fields and calendars are small; they are sent to all tasks only if they are."""
-    hint = F.broadcast if entrants * races.count() <= SMALL_ROWS else (lambda x: x)
-    return spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(hint(races.crossJoin(hint(field))))
+    hint = F.broadcast if entrants * n_races <= SMALL_ROWS else (lambda x: x)
+    return simulations(spark, n_sims).crossJoin(hint(races.crossJoin(hint(field))))
 
 
 def race_orders(
@@ -110,7 +116,7 @@ def simulate_race(
         if name not in field.columns:
             field = field.withColumn(name, F.lit(0.0 if name == "dnf" else None).cast(kind))
     field = grid_penalised(with_field_mean(field), rules)
-    return race_orders(draws(spark, field, entrants, one_race(spark, race, is_sprint), n_sims), rules, seed, chaos, sample, develop, engine)
+    return race_orders(draws(spark, field, entrants, one_race(spark, race, is_sprint), 1, n_sims), rules, seed, chaos, sample, develop, engine)
 
 
 def race_summary(orders: DataFrame) -> DataFrame:
@@ -143,9 +149,9 @@ def races_of(schedule: DataFrame) -> DataFrame:
     return rows.withColumn("race", F.concat(F.col("round").cast("string"), F.when(F.col("is_sprint"), "s").otherwise("r")))
 
 
-def season_points(orders: DataFrame) -> DataFrame:
-    """(sim_id, driver, sim_points) over all races."""
-    return orders.groupBy("sim_id", "driver").agg(F.sum("points").alias("sim_points"))
+def season_points(orders: DataFrame, *facts: str) -> DataFrame:
+    """(sim_id, driver, facts, sim_points) over all races; ``facts`` are columns that depend on the driver alone."""
+    return orders.groupBy("sim_id", "driver", *facts).agg(F.sum("points").alias("sim_points"))
 
 
 def season_field(standings: DataFrame, strengths: DataFrame, dnf: DataFrame | None = None, teams: DataFrame | None = None, rules: SimulationRules = SIMULATION) -> DataFrame:
@@ -170,13 +176,15 @@ def simulate_season(
     facts = field_facts(field)
     if sample is None:
         sample = not (facts.sd_low == rules.unknown_sd == facts.sd_high)
-    hint = F.broadcast if facts.n <= SMALL_ROWS else (lambda x: x)
-    base = spark.range(n_sims).withColumnRenamed("id", "sim_id").crossJoin(hint(field.select("driver", "team", "standing", "start_points")))
-    if not facts.n:
-        return base.withColumn("sim_points", F.lit(0.0))
-    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races_of(schedule), n_sims).repartition("sim_id")
-    got = season_points(race_orders(rows, rules, seed, chaos, sample, develop, engine))
-    return base.join(got, ["sim_id", "driver"], "left").withColumn("sim_points", F.coalesce("sim_points", F.lit(0.0)))
+    races = races_of(schedule)
+    n_races = races.count()  # a calendar
+    if not facts.n or not n_races:
+        hint = F.broadcast if facts.n <= SMALL_ROWS else (lambda x: x)
+        known = field.select("driver", "team", "standing", "start_points", F.lit(0.0).alias("sim_points"))
+        return simulations(spark, n_sims).crossJoin(hint(known))
+    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races, n_races, n_sims)
+    orders = race_orders(rows, rules, seed, chaos, sample, develop, engine)
+    return season_points(orders, "team", "standing", "start_points")
 
 
 def title_probability(season: DataFrame) -> DataFrame:
