@@ -371,12 +371,14 @@ def brier_win(spark, d):
     return evaluate.brier_win(fx.scores(spark, d), fx.results(spark, d))
 
 
-def forecasts(spark, d):
-    """Canonical finishing probabilities of every round from the form before it."""
+def forecasts(spark, d, zeros=True):
+    """Canonical finishing probabilities of every round from the form before it; without ``zeros`` only the cells that occurred."""
     rows = fx.scores(spark, d).select("round", "driver", F.col("score").alias("mean"), F.lit(0.0).alias("dnf"), F.lit(False).alias("is_sprint"), F.col("round").alias("race"))
     sims = spark.range(FORECAST_SIMS).withColumnRenamed("id", "sim_id")
     orders = simulate.race_orders(rows.crossJoin(F.broadcast(sims)), engine="md5")  # FORECAST_SIMS rows
     seen = orders.groupBy("round", "driver", F.col("pos").alias("finish_pos")).agg(F.count(F.lit(1)).alias("n"))
+    if not zeros:
+        return seen.select("round", "driver", "finish_pos", (F.col("n") / F.lit(float(FORECAST_SIMS))).alias("probability"))
     grid = orders.select("round", "driver").distinct().join(orders.select("round", F.col("pos").alias("finish_pos")).distinct(), "round")
     return grid.join(seen, ["round", "driver", "finish_pos"], "left").select(
         "round", "driver", "finish_pos", (F.coalesce("n", F.lit(0)) / F.lit(float(FORECAST_SIMS))).alias("probability")
@@ -390,7 +392,8 @@ def brier_topk(spark, d):
 
 @registered
 def brier_full(spark, d):
-    return evaluate.brier_full(forecasts(spark, d), fx.results(spark, d))
+    # every driver and place occurs, so the grid's size is known from the cells that did; the others add nothing to the sum
+    return evaluate.brier_full(forecasts(spark, d, zeros=False), fx.results(spark, d))
 
 
 @registered
