@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,26 @@ BROADCAST_ROWS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash over word shingles, repeats included; zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of the word shingles, repeats included; a text of at most ``shingle`` words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = ends - sizes + 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(line, 42)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = ends - sizes + 1
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles, repeats included; zero for a text without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     total, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], np.uint64)
@@ -261,6 +267,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     the component has one) the first by text stays.
     """
     marked, named = _classes(docs, key, text, radius, shingle)
+    return first_of_each(docs, key, text, marked, named, lambda rows: fingerprints(rows, "text", shingle))
+
+
+def first_of_each(docs: DataFrame, key: str, text: str, marked: DataFrame, named: DataFrame, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The document ``keep_first`` leaves of each component, given ``_classes`` of the rows and what adds ``fp`` to them."""
     own = marked.join(named, F.col("fp") == F.col("node")).withColumn("own", F.col("key").eqNullSafe(F.col("component_id")))
     keys = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("own").select(F.col("key").alias("__key"), "n"))
     same = F.col(key).eqNullSafe(F.col("__key"))
@@ -269,7 +280,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
         return once
     # a key with several rows says not yet which of them is meant: their own fingerprints do
     again = docs.join(keys.where("n > 1 or __key is null").select("__key"), same, "left_semi")
-    again = fingerprints(again.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle)
+    again = mark(again.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
     again = again.join(named, F.col("fp") == F.col("node")).where(F.col("key").eqNullSafe(F.col("component_id")))
     first = Window.partitionBy("root").orderBy("text")
     again = again.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
