@@ -7,6 +7,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -18,126 +19,256 @@ from stintline.llm.common import read, without
 
 #: Pages the labeller is trained on at most, variants of each, passes over them, and blocks of a training sequence.
 TRAIN_PAGES, VARIANTS, PASSES, TRAIN_BLOCKS = 192, 5, 10, 64
-#: Width of a state, of the hashed tag path, of the hashed own tag and of the hashed words; cells of a batch of sequences.
-STATE, PATH, OWN, WORDS, CELLS = 12, 96, 32, 32, 40_000
-WIDTH = PATH + OWN + WORDS + 6
+#: Width of a state, of the hashed tag path (a multiple of 8), of the hashed own tag, of the hashed words and of the measures; cells of a batch of sequences.
+STATE, PATH, OWN, WORDS, MEASURES, CELLS = 12, 256, 48, 32, 10, 40_000
+WIDTH = PATH + OWN + WORDS + MEASURES
 
 # What HTML says of its elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = ("script", "style", "head", "noscript", "template", "svg", "iframe", "object", "math", "canvas")
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+SILENT = frozenset("head noscript template svg object math canvas select datalist audio video".split())
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_NEST = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-# Containers of training variants. The page's own article or main element may be renamed to any of the first.
+# Containers of training variants, as tag and name. A name that none of the three lists has says nothing to the labeller.
 MAIN = ("article", "main", "section.article", "div.content", "div.main-content", "div.post", "div.entry-content", "div.article-body", "div.story", "div.text")
 ASIDE = (
     "nav", "header", "footer", "aside", "form", "div.menu", "ul.menu", "div.navbar", "div.breadcrumbs", "div.header", "div.footer", "div.sidebar", "div.widget",
-    "div.cookie-notice", "div.notice", "div.banner", "div.alert", "div.ad", "div.ads", "div.advert", "div.advertisement", "div.promo", "div.sponsored",
+    "div.cookie-notice", "div.notice", "div.banner", "div.alert", "div.ad", "div.ads", "div.advert", "div.advertisement", "div.promo", "div.sponsored", "div.site-header",
     "div.newsletter", "div.subscribe", "form.search", "form.login", "div.popup", "div.share", "ul.social", "div.related", "div.recommended", "div.tags", "div.copyright", "dialog",
+    "div.site-footer", "ul.main-navigation", "div.navigation", "div.cookie-banner", "div.ad-slot",
 )
-READERS = ("section.comments", "div.comments", "div.comment", "ol.comment-list", "ul.comments", "div.comment-body", "div.responses", "div.replies", "div.discussion", "aside.comments")
+READERS = (
+    "section.comments", "div.comments", "div.comment", "ol.comment-list", "ul.comments", "div.comment-body", "div.responses", "div.replies", "div.discussion", "aside.comments",
+    "div.comments-area", "div.comment-respond",
+)
+_KNOWN = frozenset(n for c in (*MAIN, *ASIDE, *READERS) for n in c.split(".")[1:])
+_PLAIN_MAIN = ("div", "div", "section", "td")
+_APART = frozenset(("nav", "footer", "aside", "form", "header", "dialog", "button"))
+
+_SPACE = " \\t\\n\\r\\f"
+_NAME = re.compile(rf"[a-zA-Z][^{_SPACE}/>]*+")
+_ATTRIBUTE = re.compile(rf"[{_SPACE}/]*+(?:(>)|([^{_SPACE}/>][^{_SPACE}/>=]*+)([{_SPACE}]*+=[{_SPACE}]*+)?+)")
+_BARE = re.compile(rf"[^{_SPACE}>]*+")
+_ENDS = {name: re.compile(rf"</{name}(?=[{_SPACE}/>])", re.I) for name in RAW}
+
+
+@lru_cache(8192)
+def _bits(entry: tuple[str, ...]) -> int:
+    """The cells of PATH that a tag and its names hash to, as one number."""
+    bits = 0
+    for name in entry:
+        bits |= 1 << crc32(name.encode("utf-8", "replace")) % PATH
+    return bits
+
+
+class Path:
+    """The block elements around a leaf, outermost first.
+
+    An entry (the tag and its known names) with a link to the path before it, so that a deeply nested
+    page takes no copies. ``bits`` are the hashed entries of the whole path, ``main`` and ``apart`` say
+    whether it leads through an article or main element, and through a menu, footer, form or the like.
+    """
+
+    __slots__ = ("apart", "before", "bits", "depth", "entry", "main")
+
+    def __init__(self, before: Path | None, entry: tuple[str, ...]):
+        self.before, self.entry = before, entry
+        tag = entry[0]
+        self.depth, self.bits, self.main, self.apart = 0, 0, False, False
+        if before is not None:
+            self.depth, self.bits = before.depth + 1, before.bits | _bits(entry)
+            self.main, self.apart = before.main or tag in ("article", "main"), before.apart or tag in _APART
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+    def __len__(self) -> int:
+        return self.depth
+
+    def __iter__(self):
+        chain, at = [], self
+        while at.before is not None:
+            chain.append(at.entry)
+            at = at.before
+        return reversed(chain)
+
+    def __getitem__(self, k: int) -> tuple[str, ...]:
+        return self.entry if k == -1 else tuple(self)[k]
+
+
+ROOT = Path(None, ("",))
+Leaf = tuple[Path, str, int]
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[int, list[str], bool]:
+    """(position after the tag, its class, id and role, whether it closes itself); ``at`` follows the tag's name.
+
+    What browsers do: a quote opens a value only behind ``=``, and one within a name is part of it. A quote
+    without a partner (``last`` has the last of either kind) does not open a value; a tag without an end reaches to the page's.
+    """
+    values: list[str] = []
+    while (m := _ATTRIBUTE.match(page, at)) is not None:
+        at = m.end()
+        if m[1]:
+            return at, values, page[at - 2] == "/"
+        if m[3]:
+            quote = page[at : at + 1]
+            if quote in last and at < last[quote]:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+            if m[2].lower() in ("class", "id", "role"):
+                values.append(value)
+    return len(page), values, False
 
 
-def _names(rest: str) -> tuple[str, ...]:
-    return tuple("." + w for m in _NAMES.finditer(rest) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())) if "=" in rest else ()
+def _entry_of(tag: str, values: list[str]) -> tuple[str, ...]:
+    return (tag, *["." + w for v in values for w in v.lower().split() if w in _KNOWN]) if values else (tag,)
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
+def blocks(page: str) -> list[Leaf]:
     """(path, text, characters in links) of each leaf block in page order.
 
-    The path has an entry for each open block element: its tag and the words of its class, id and
-    role. Inline elements do not part a text. Comments, scripts, styles and the head are no blocks.
+    One scan from left to right; the work is in proportion to the page, however its tags are nested, left open or
+    malformed. Inline elements do not part a text. Comments, scripts, styles, the head and the like are no blocks.
     """
-    out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[Leaf] = []
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    links, in_link, at = 0, 0, 0
+    links, in_link, quiet, at, end = 0, False, 0, 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
 
     def flush() -> None:
         nonlocal links
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(p for _, p in stack), text, min(links, len(text))))
+                out.append((stack[-1][1] if stack else ROOT, text, min(links, len(text))))
             parts.clear()
         links = 0
 
-    while (m := _TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if in_link:
-                links += m.start() - at
-        at = m.end()
-        if m["silent"]:
-            name = m["silent"].lower()
-            if m[0].endswith("/>") and name in ("svg", "math"):
-                continue
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if close:
-                at = close.end()
-            elif name == "head":  # an open head ends where a body begins
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                at = body.start() if body else len(page)
+    def say(text: str) -> None:
+        nonlocal links
+        if not quiet:
+            parts.append(entities.unescape(text) if "&" in text else text)
+            links += len(text) if in_link else 0
+
+    def close(to: int) -> None:
+        nonlocal quiet
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            quiet -= tag in SILENT
+
+    def innermost(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            say(page[at:])
+            break
+        if start > at:
+            say(page[at:start])
+        closing = page.startswith("/", start + 1)
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            if page.startswith("!--", start + 1):
+                stop = page.find("-->", start + 2)
+                at = end if stop < 0 else stop + 3
+            elif closing or page[start + 1 : start + 2] in ("!", "?"):
+                stop = page.find(">", start + 2)
+                at = end if stop < 0 else stop + 1
             else:
-                at = len(page)
+                say("<")
+                at = start + 1
+            continue
+        at, values, closed = _attributes(page, name.end(), last)
+        tag = name[0].lower()
+        if closing:
+            if tag in INLINE:
+                in_link = in_link and tag != "a"
+                continue
+            if not quiet:
+                flush()
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        if places.get("head") and tag not in IN_HEAD:
+            close(places["head"][-1])
+        if tag in RAW:
+            stop = _ENDS[tag].search(page, at)
+            at = end if stop is None else _attributes(page, stop.end(), last)[0]
             continue
         if tag in INLINE:
-            if tag == "a":
-                in_link = 0 if m["end"] else 1
+            in_link = in_link or tag == "a"
+            continue
+        if quiet or tag in SILENT:
+            if tag not in VOID and not (closed and tag in ("svg", "math")):
+                places.setdefault(tag, []).append(len(stack))
+                stack.append((tag, stack[-1][1] if stack else ROOT))
+                quiet += tag in SILENT
             continue
         flush()
         if tag in VOID:
             continue
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-        elif tag in SELF_NEST:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SELF_NEST[tag]:
-                    break
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        if not m["rest"].endswith("/"):
-            stack.append((tag, (tag, *_names(m["rest"]))))
-    if at < len(page):
-        rest = page[at:]
-        parts.append(rest[: rest.rindex("<")] if re.search(r"<[/a-zA-Z!][^<]*\Z", rest) else rest)
+        if tag in CLOSES_P and places.get("p"):
+            close(places["p"][-1])
+        elif tag in SELF_NEST and innermost(tag) > innermost(*SELF_NEST[tag]):
+            close(places[tag][-1])
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, Path(stack[-1][1] if stack else ROOT, _entry_of(tag, values))))
     flush()
     return out
 
 
-def features(leaf: tuple[tuple[tuple[str, ...], ...], str, int]) -> np.ndarray:
-    """Tag path, own tag and words, each hashed, and six measures of the text."""
-    path, text, links = leaf
-    x = np.zeros(WIDTH, np.float32)
-    for entry in path:
-        for name in entry:
-            x[crc32(name.encode()) % PATH] = 1
-    for name in path[-1] if path else ():
-        x[PATH + crc32(name.encode()) % OWN] = 1
-    words = text.split()
-    x[PATH + OWN : PATH + OWN + WORDS] = np.bincount([crc32(w.encode("utf-8", "replace")) % WORDS for w in words], minlength=WORDS) / len(words) ** 0.5 / 2
-    n = len(text)
-    x[-6:] = (min(np.log1p(n) / 8, 2), min(np.log1p(len(words)) / 6, 2), links / n, sum(map(text.count, ".,;:!?")) * 5 / n, text.endswith((".", "!", "?")), min(len(path), 12) / 12)
+def _context(leaves: list[Leaf]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each leaf lies in the page's dominant container, and the share of the page's text in its own element.
+
+    The dominant container is the innermost element that holds at least half of the page's text outside links.
+    """
+    size: dict[Path, int] = {ROOT: 0}
+    for path, text, links in leaves:
+        at = path
+        while at not in size:
+            size[at] = 0
+            at = at.before
+        size[path] += len(text) - links
+    by_depth = sorted(size, key=lambda p: p.depth)
+    for p in reversed(by_depth):
+        if p.before is not None:
+            size[p.before] += size[p]
+    total = size[ROOT]
+    dominant = max((p for p in by_depth if 2 * size[p] >= total), key=lambda p: p.depth)
+    inside: dict[Path, bool] = {}
+    for p in by_depth:
+        inside[p] = p is dominant or (p.before is not None and inside[p.before])
+    around = [size[p.before or p] for p, _, _ in leaves]
+    return np.array([inside[p] for p, _, _ in leaves], bool), np.array(around) / max(total, 1)
+
+
+def features(leaves: list[Leaf]) -> np.ndarray:
+    """(leaves, WIDTH): tag path, own tag and words, each hashed, and measures of the text and of its place in the page."""
+    x = np.zeros((len(leaves), WIDTH), np.float32)
+    if not leaves:
+        return x
+    raw = b"".join(p.bits.to_bytes(PATH // 8, "little") for p, _, _ in leaves)
+    x[:, :PATH] = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(leaves), -1), axis=1, bitorder="little")
+    inside, around = _context(leaves)
+    headed = False
+    for n, (path, text, links) in enumerate(leaves):
+        for name in path.entry:
+            x[n, PATH + crc32(name.encode("utf-8", "replace")) % OWN] = 1
+        words = text.split()
+        x[n, PATH + OWN : PATH + OWN + WORDS] = np.bincount([crc32(w.encode("utf-8", "replace")) % WORDS for w in words], minlength=WORDS) / len(words) ** 0.5 / 2
+        headed = headed or path.entry[0] == "h1"
+        size = len(text)
+        x[n, -MEASURES:] = (
+            min(np.log1p(size) / 8, 2), min(np.log1p(len(words)) / 6, 2), links / size, sum(map(text.count, ".,;:!?")) * 5 / size, text.endswith((".", "!", "?")),
+            min(path.depth, 12) / 12, inside[n], around[n], headed, n / len(leaves),
+        )
     return x
 
 
@@ -158,16 +289,24 @@ class Labeller:
         w["o"], w["p"] = rng.normal(0, 0.3, 2 * STATE), np.zeros(1)
         return Labeller(w)
 
-    def run(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list]:
-        """Logits (steps, batch) of padded sequences (steps, batch, WIDTH), and what the gradient needs."""
+    @staticmethod
+    def untaught() -> Labeller:
+        """A labeller that has seen no labelled page: every block is main text, so nothing is lost."""
+        weights = {k: np.zeros_like(w) for k, w in Labeller.new(0).weights.items()}
+        return Labeller(weights | {"p": np.ones(1)})
+
+    def run(self, x: np.ndarray, sizes: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Logits (steps, batch) of padded sequences (steps, batch, WIDTH), and (with ``keep``) what the gradient needs."""
         steps, batch = x.shape[:2]
         t = np.arange(steps)[:, None]
         live = t < sizes
         turn = np.where(live, sizes - 1 - t, t)
         states, saved = [], []
         for d in "fb":
-            own = x if d == "f" else np.take_along_axis(x, turn[:, :, None], 0)
+            own = x if d == "f" or not keep else np.take_along_axis(x, turn[:, :, None], 0)
             pre = own @ self.weights["x" + d] + self.weights["c" + d]
+            if d == "b" and not keep:
+                pre = np.take_along_axis(pre, turn[:, :, None], 0)
             h, c = np.zeros((batch, STATE)), np.zeros((batch, STATE))
             hs, log = np.zeros((steps, batch, STATE)), []
             for k in range(steps):
@@ -178,7 +317,8 @@ class Labeller:
                 m = live[k][:, None]
                 c2 = np.where(m, f * c + i * g, c)
                 th = np.tanh(c2)
-                log.append((h, c, i, f, o, g, th, m))
+                if keep:
+                    log.append((h, c, i, f, o, g, th, m))
                 h, c = np.where(m, o * th, h), c2
                 hs[k] = h
             saved.append((own, log))
@@ -224,14 +364,14 @@ class Labeller:
                 stop += 1
             some = order[at:stop]
             sizes = np.array([len(pages[k]) for k in some])
-            logit = self.run(_padded([[features(leaf) for leaf in pages[k]] for k in some], sizes), sizes)[0]
+            logit = self.run(_padded([features(pages[k]) for k in some], sizes), sizes, keep=False)[0]
             for n, k in enumerate(some):
                 out[k] = logit[: sizes[n], n] > 0
             at = stop
         return out
 
 
-def _padded(rows: list[list[np.ndarray]], sizes: np.ndarray) -> np.ndarray:
+def _padded(rows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     x = np.zeros((sizes.max(), len(rows), WIDTH), np.float32)
     for n, row in enumerate(rows):
         x[: len(row), n] = row
@@ -239,48 +379,69 @@ def _padded(rows: list[list[np.ndarray]], sizes: np.ndarray) -> np.ndarray:
 
 
 def _entry(name: str) -> tuple[str, ...]:
-    tag, *rest = name.split(".")
-    return (tag, *["." + w for r in rest for w in r.split("-")])
+    tag, *names = name.split(".")
+    return (tag, *["." + n for n in names])
 
 
-def known_labels(leaves: list) -> list[int] | None:
-    """Labels of a page whose structure tells them: inside its only article or main element. None for other pages."""
-    inside = [any(e[0] in ("article", "main") for e in path) for path, _, _ in leaves]
+def known_labels(leaves: list[Leaf]) -> list[int] | None:
+    """Labels of a page whose structure tells them: inside its article or main element. None for other pages."""
+    inside = [path.main for path, _, _ in leaves]
     if not any(inside) or all(inside):
         return None
-    apart = {"nav", "footer", "aside", "form", "header", "dialog"}
-    return [int(i and not any(e[0] in apart for e in path)) for i, (path, _, _) in zip(inside, leaves)]
+    return [int(path.main and not path.apart) for path, _, _ in leaves]
+
 
+def variant(leaves: list[Leaf], labels: list[int], spare: list[Leaf], rng: random.Random) -> tuple[list[Leaf], list[int]]:
+    """The page with its main container renamed, with some blocks left out and with blocks of other kinds put in.
 
-def variant(leaves: list, labels: list[int], spare: list, rng: random.Random) -> tuple[list, list[int]]:
-    """The page with its main container renamed, with some blocks left out and with blocks of other kinds put in."""
-    name = _entry(rng.choice(MAIN))
-    moved = [(tuple(name if e[0] in ("article", "main") else e for e in path), text, links) for path, text, links in leaves]
-    kept = [(x, y) for x, y in zip(moved, labels) if y or rng.random() < 0.7]
-    base = (("html",), ("body",))
+    Half of the main containers get a plain tag without a name, and in a third of the variants no element of the page keeps a
+    name: the labeller has to go by tags, text and place, and a name it does not know (or a known one on the wrong container) changes little.
+    """
+    name = _entry(rng.choice(_PLAIN_MAIN if rng.random() < 0.5 else MAIN))
+    bare = rng.random() < 0.33
+    moved: dict[Path, Path] = {ROOT: ROOT}
+
+    def move(path: Path) -> Path:
+        chain = []
+        while path not in moved:
+            chain.append(path)
+            path = path.before
+        for p in reversed(chain):
+            entry = name if p.entry[0] in ("article", "main") else p.entry
+            moved[p] = Path(moved[p.before], entry[:1] if bare else entry)
+        return moved[chain[0]] if chain else moved[path]
+
+    kept = [((move(path), text, links), y) for (path, text, links), y in zip(leaves, labels) if y or rng.random() < 0.7]
+    body = Path(Path(ROOT, ("html",)), ("body",))
+    main = Path(body, name[:1] if bare else name)
     for _ in range(rng.randint(0, 4)):
         inside, readers = rng.random() < 0.4, rng.random() < 0.4
         kind = _entry(rng.choice(READERS if readers else ASIDE))
-        path = (*base, *((name,) if inside else ()), kind, *((_entry(rng.choice(("p", "div", "li", "span.text", "h3", "td", "button"))),) if rng.random() < 0.8 else ()))
+        if not inside and kind[0] not in ("div", "ul", "section") and rng.random() < 0.3:
+            kind = kind[:1]
+        path = Path(main if inside else body, kind)
+        if rng.random() < 0.8:
+            path = Path(path, (rng.choice(("p", "div", "li", "h3", "td", "button")),))
         first = next((k for k, (_, y) in enumerate(kept) if y), 0)
-        last = max((k for k, (_, y) in enumerate(kept) if y), default=0)
-        spot = rng.randint(first, last + 1) if inside else rng.choice((0, first, last + 1, len(kept)))
-        run = [((path, *rng.choice(spare)[1:]), 0) for _ in range(rng.randint(1, 5))]
-        kept[spot:spot] = run
-    for k in range(len(kept)):  # plain paragraphs of the main text also stand in quotes, lists and headings
-        if kept[k][1] and rng.random() < 0.05:
-            path, text, links = kept[k][0]
-            kept[k] = ((*path[:-1], _entry(rng.choice(("blockquote", "li", "h2", "h3", "pre", "td", "div")))), text, links), 1
+        final = max((k for k, (_, y) in enumerate(kept) if y), default=0)
+        spot = rng.randint(first, final + 1) if inside else rng.choice((0, first, final + 1, len(kept)))
+        kept[spot:spot] = [((path, *rng.choice(spare)[1:]), 0) for _ in range(rng.randint(1, 5))]
+    for k, ((path, text, links), y) in enumerate(kept):  # plain paragraphs of the main text also stand in quotes, lists and headings
+        if y and path.before is not None and rng.random() < 0.05:
+            kept[k] = (Path(path.before, (rng.choice(("blockquote", "li", "h2", "h3", "pre", "td", "div")),)), text, links), 1
     return [x for x, _ in kept], [y for _, y in kept]
 
 
 def train(pages: list[str], seed: int = 5) -> Labeller:
-    """A labeller from pages whose structure tells main text from the rest, and from variants of them."""
+    """A labeller from pages whose structure tells main text from the rest, and from variants of them; without any it is ``untaught``.
+
+    Of a longer page TRAIN_BLOCKS blocks that follow each other are used.
+    """
     rng = random.Random(seed)
     known = [(x, y) for x in map(blocks, pages) if (y := known_labels(x)) is not None]
-    model = Labeller.new(seed)
     if not known:
-        return model
+        return Labeller.untaught()
+    model = Labeller.new(seed)
     spare = [leaf for x, _ in known for leaf in x]
     rows = []
     for x, y in known:
@@ -288,7 +449,7 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
             a, b = (x, y) if not k else variant(x, y, spare, rng)
             at = rng.randint(0, max(0, len(a) - TRAIN_BLOCKS))
             if a:
-                rows.append(([features(leaf) for leaf in a[at : at + TRAIN_BLOCKS]], b[at : at + TRAIN_BLOCKS]))
+                rows.append((features(a)[at : at + TRAIN_BLOCKS], b[at : at + TRAIN_BLOCKS]))
     first = {k: np.zeros_like(w) for k, w in model.weights.items()}
     second = {k: np.zeros_like(w) for k, w in model.weights.items()}
     turn, total = 0, PASSES * ((len(rows) + 31) // 32)
@@ -310,15 +471,19 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
 
 
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html") -> Labeller:
-    """Train on at most TRAIN_PAGES pages (a fixed bound), the first by hash of their key; one task, whose weights come back."""
-    sample = pages.where(F.col(page).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(page).alias("page")).orderBy("h", "page").limit(TRAIN_PAGES)
+    """Train on at most TRAIN_PAGES pages (a fixed bound), the first by hash of their key of those that have an article or main element.
+
+    One task trains, and its weights come back. Without such pages the labeller is ``untaught``.
+    """
+    labelled = pages.where(F.col(page).rlike(r"(?i)<(article|main)[\s/>]"))
+    sample = labelled.select(F.xxhash64(F.col(key)).alias("h"), F.col(page).alias("page")).orderBy("h", "page").limit(TRAIN_PAGES)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = train([p for pdf in batches for p in pdf["page"]])
         yield pd.DataFrame([(k, list(w.shape), w.ravel().tolist()) for k, w in model.weights.items()], columns=["k", "shape", "w"])
 
     rows = sample.coalesce(1).mapInPandas(work, "k string, shape array<int>, w array<double>").collect()
-    return Labeller({r.k: np.array(r.w).reshape(r["shape"]) for r in rows}) if rows else Labeller.new(0)
+    return Labeller({r.k: np.array(r.w).reshape(r["shape"]) for r in rows}) if rows else Labeller.untaught()
 
 
 def extract(pages: DataFrame, model: Labeller, page: str = "html") -> DataFrame:
@@ -326,22 +491,24 @@ def extract(pages: DataFrame, model: Labeller, page: str = "html") -> DataFrame:
 
     * a null or empty page, and one without main blocks, gives an empty text;
     * all blocks of a page are labelled in one pass, however many there are; equal pages get equal texts;
-    * input columns named ``text`` and ``n_chars`` are replaced; an empty input gives an empty result.
+    * malformed tags are read as browsers read them; a tag or comment without an end takes the rest of the page;
+    * input columns named ``text`` and ``n_chars`` are replaced (also where one of them holds the page); an empty input gives an empty result.
     """
-    shipped = pages.sparkSession.sparkContext.broadcast(model)  # some tens of kilobytes
+    shipped = pages.sparkSession.sparkContext.broadcast(model)  # some hundreds of kilobytes
 
     @F.pandas_udf("string")
     def main_text(htmls: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(htmls), 256):
-            leaves = [blocks(h or "") for h in htmls.iloc[at : at + 256]]
+        for at in range(0, len(htmls), 64):
+            leaves = [blocks(h or "") for h in htmls.iloc[at : at + 64]]
             out += [" ".join(text for (_, text, _), is_main in zip(x, y) if is_main) for x, y in zip(leaves, shipped.value.labels(leaves))]
         return pd.Series(out, dtype=object)
 
-    rows = without(pages, "text", "n_chars").withColumn("text", main_text(F.col(page)))
-    return rows.withColumn("n_chars", F.length("text").cast("bigint"))
+    rows = without(pages.withColumn("__html", F.col(f"`{page}`")), "text", "n_chars").withColumn("text", main_text("__html"))
+    return rows.withColumn("n_chars", F.length("text").cast("bigint")).drop("__html")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; the labeller is trained on the table's own pages."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, fit(pages)).select("page_id", "url", "text", "n_chars")
