@@ -67,7 +67,13 @@ sized as (
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
     ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT as h, coalesce('s' || source, 'n') as s
   from hexed, crc_table),
-ranked as (select *, (row_number() over (partition by s order by h, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) over (partition by s) as pt from sized),
+strata as (select s, count(*) as rows_of, ('0x' || substr(md5('{SEED + 1}|' || s), 1, 13))::BIGINT as sh from sized group by s),
+combed as (
+  select s, rows_of, (row_number() over (partition by rows_of order by sh, s) - 0.5::DOUBLE) / count(*) over (partition by rows_of)
+    + ('0x' || substr(md5('{SEED + 2}|' || rows_of), 1, 13))::BIGINT / 4503599627370496::DOUBLE as turned from strata),
+ranked as (
+  select d.*, (row_number() over (partition by d.s order by h, doc_id, size, text_crc32) - 1 + (turned - floor(turned))) / rows_of as pt
+  from sized d join combed c on c.s = d.s),
 placed as (select *, row_number() over (order by pt, s, h, doc_id, size, text_crc32) - 1 as pos, count(*) over () as n from ranked)
 select doc_id, size, text_crc32, 'rows' as law, (pos * {SHARDS} // n)::INTEGER as shard,
   (pos - (pos * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS})::BIGINT as slot, null::INTEGER as grown_shard, source
