@@ -18,17 +18,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small derived table in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    that setting (a local test) gets a temporary one.
+    Only a session on one machine may do without that setting; elsewhere a temporary folder would be one that the others do not see.
     """
-    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stintline-shared-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a small derived table in the shared checkpoint folder and forget its lineage."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stintline-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -44,14 +54,30 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint")
 
 
-def spread_rank(df: DataFrame, groups: list[str], unit: Column, order: list[Column], rank: str, total: str) -> DataFrame:
+def ties(df: DataFrame, *but: str) -> list[Column]:
+    """The other columns that can be ordered, so that an order by them is total but for wholly equal rows."""
+    return [F.col(f"`{c}`") for c, t in df.dtypes if c not in but and "map<" not in t and t != "variant"]
+
+
+def rank_buckets(rows: int) -> int:
+    """Buckets for a distributed rank of so many rows: at most about 100,000 rows each, RANK_BUCKETS at least."""
+    return max(RANK_BUCKETS, 1 << max(0, rows // 100_000).bit_length())
+
+
+def spread_rank(
+    df: DataFrame, groups: list[str], unit: Column, order: list[Column], rank: str, total: str, buckets: int = RANK_BUCKETS, facts: DataFrame | None = None
+) -> DataFrame:
     """Add the rank (from 0) of each row in its group, and the group's row count, without one task per group.
 
-    ``unit`` lies in [0, 1) and must not contradict ``order``. Rows are dealt by (group, bucket of
-    unit); only bucket counts, at most RANK_BUCKETS a group, are summed along a group. A hot group
-    is thus sorted by as many tasks as it has buckets.
+    ``unit`` lies in [0, 1] and must not contradict ``order``. Rows are dealt by (group, bucket of
+    unit); only bucket counts, at most ``buckets`` a group, are summed along a group. A hot group
+    is thus sorted by as many tasks as it has buckets. ``facts`` (one row a group) are added to the
+    rows through the same join.
+
+    * a row whose group column is null is lost (callers give null groups a name); wholly equal rows take
+      neighbouring ranks; an empty input gives an empty result.
     """
-    dealt = df.withColumn("__bucket", F.floor(unit * RANK_BUCKETS).cast("int"))
+    dealt = df.withColumn("__bucket", F.floor(unit * buckets).cast("int"))
     keys = [*groups, "__bucket"]
     along = Window.partitionBy(*groups).orderBy("__bucket")
     whole = Window.partitionBy(*groups)
@@ -64,6 +90,8 @@ def spread_rank(df: DataFrame, groups: list[str], unit: Column, order: list[Colu
             F.sum("__n").over(whole).alias(total),
         )
     )
+    if facts is not None:
+        before = before.join(facts, groups)
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ranked = dealt.withColumn("__within", within).join(before, keys)
     return ranked.withColumn(rank, F.col("__before") + F.col("__within") - 1).drop("__bucket", "__before", "__within")
