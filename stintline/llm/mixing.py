@@ -99,25 +99,24 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-#: The schedule slot by slot, as a recursion over one period.
+#: The schedule slot by slot, as a recursion over one period, for one list of the classes of equal weight.
 OP9_SQL = f"""
 with recursive hashed as (
   select doc_id, source, coalesce('s' || source, 'n') as s, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT as h from documents),
-counts as (select s, count(*) as n from hashed group by s),
-shares as (select s, pow(n::DOUBLE, {TEMPER}::DOUBLE) / sum(pow(n::DOUBLE, {TEMPER}::DOUBLE)) over () as share, count(*) over () as sources from counts),
-exact as (select s, greatest({SLOTS}, 4 * sources)::BIGINT as period, sources, share * (greatest({SLOTS}, 4 * sources) - sources) as x from shares),
-ordered as (select *, period - sum(1 + floor(x)::BIGINT) over () as spare, row_number() over (order by x - floor(x) desc, s) as nth from exact),
-quotas as (select s, (1 + floor(x) + (spare + sources - nth) // sources)::BIGINT as quota, period, row_number() over (order by s) as i from ordered),
-fixed as (select list(quota order by i) as q, any_value(period) as period from quotas),
+counts as (select s, count(*) as n, ('0x' || substr(md5('{SEED}|' || s), 1, 13))::BIGINT as sh from hashed group by s),
+weights as (select s, sh, greatest(1, round({SLOTS} * pow(n::DOUBLE, {TEMPER}::DOUBLE) / sum(pow(n::DOUBLE, {TEMPER}::DOUBLE)) over ()))::BIGINT as w from counts),
+sources as (select s, w, row_number() over (partition by w order by sh, s) - 1 as i, count(*) over (partition by w) as m, sum(w) over ()::BIGINT as period from weights),
+fixed as (select list({{'w': w, 'm': m}} order by w desc) as q, any_value(period) as period from (select distinct w, m, period from sources)),
 edf as (
-  select 0::BIGINT as t, list_transform(q, lambda x: 0::BIGINT) as k, null::BIGINT as pick, q, period from fixed
+  select 0::BIGINT as t, list_transform(q, lambda x: 0::BIGINT) as j, null::BIGINT as pick, q, period from fixed
   union all
-  select t + 1, list_transform(k, lambda v, i: case when i = p.i then v + 1 else v end), p.i, q, period from (
-    select *, list_min(list_filter(list_transform(q, lambda a, i: case when (k[i] * period) // a <= t then {{'due': ((k[i] + 1) * period + a - 1) // a, 'i': i::BIGINT}} end), lambda x: x is not null)) as p from edf where t < period)),
-slots as (select pick as i, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as k from edf where pick is not null),
+  select t + 1, list_transform(j, lambda v, i: case when i = p.i then v + 1 else v end), p.i, q, period from (
+    select *, list_min(list_filter(list_transform(q, lambda a, i: case when (j[i] // a.m * period) // a.w <= t
+      then {{'due': ((j[i] // a.m + 1) * period + a.w - 1) // a.w, 'i': i::BIGINT}} end), lambda x: x is not null)) as p from edf where t < period)),
+slots as (select q[pick].w as w, q[pick].m as m, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as j from edf where pick is not null),
 ranked as (select *, row_number() over (partition by s order by h, doc_id) - 1 as r from hashed),
-blocks as (select r.*, r.r // {BLOCK} as b, q.quota, q.period, q.i from ranked r join quotas q on q.s = r.s)
-select doc_id, source, b::BIGINT as mix_block, (b * period // quota)::BIGINT as mix_release, (((b + 1) * period + quota - 1) // quota)::BIGINT as mix_deadline,
-  ((b // quota) * period + slot)::BIGINT as mix_slot, (((b // quota) * period + slot) * {BLOCK} + r % {BLOCK})::BIGINT as mix_pos
-from blocks join slots on slots.i = blocks.i and slots.k = b % quota
+blocks as (select r.*, r.r // {BLOCK} as b, x.w, x.period, x.i from ranked r join sources x on x.s = r.s)
+select doc_id, source, b::BIGINT as mix_block, (b * period // blocks.w)::BIGINT as mix_release, (((b + 1) * period + blocks.w - 1) // blocks.w)::BIGINT as mix_deadline,
+  ((b // blocks.w) * period + slot)::BIGINT as mix_slot, (((b // blocks.w) * period + slot) * {BLOCK} + r % {BLOCK})::BIGINT as mix_pos
+from blocks join slots on slots.w = blocks.w and slots.j % slots.m = blocks.i and slots.j // slots.m = b % blocks.w
 """
