@@ -3,58 +3,97 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm.common import cut, read, seeded, spread_rank, without
+from stintline.llm.common import cut, rank_buckets, read, seeded, spread_rank, ties, without
 
-#: Rows of a block, slots of a period (more, if there are many sources), and the power of its row count that a source weighs by default.
+#: Rows of a block, sum that default weights are scaled to, and the power of its row count that a source weighs by default.
 BLOCK, SLOTS, TEMPER, SEED = 16, 1000, 0.7, 911
-#: A schedule of up to this many sources is broadcast; beyond it the join is dealt by source and salt.
-BROADCAST_SOURCES, SALTS = 10_000, 32
+#: Given weights are exact up to this common denominator; beyond it they are whole parts of it.
+EXACT = 1 << 20
+#: A plan of up to this many slots and sources is broadcast; beyond it the join is dealt by source and salt. Slots of a step of the schedule.
+BROADCAST_SOURCES, SALTS, STEP = 100_000, 32, 1000
 ADDED = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_pos"]
 
 
-def quotas(counts: DataFrame, weights: Mapping[str, float] | None, slots: int) -> DataFrame:
-    """(s, quota, period): how many slots of a period each source gets; the weights rounded by largest remainder, one slot at least."""
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the given decimals (0.97, 0.02, 0.01: 97, 2, 1); weights of 0 or less are 0.
+
+    Only weights without a common denominator of EXACT or less are rounded, to parts of EXACT (one at least).
+    """
+    exact = {k: max(Fraction(str(w)), Fraction(0)) for k, w in weights.items()}
+    scale = lcm(*[f.denominator for f in exact.values()]) if exact else 1
+    whole = {k: int(f * scale) for k, f in exact.items()}
+    shared = gcd(*whole.values()) or 1
+    whole = {k: w // shared for k, w in whole.items()}
+    total = sum(whole.values())
+    return whole if total <= EXACT else {k: w and max(1, round(w * EXACT / total)) for k, w in whole.items()}
+
+
+def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, slots: int) -> DataFrame:
+    """(s, n, w): the whole weight of each source; by default the power TEMPER of its row count, scaled to a sum of about ``slots``, one at least."""
     if weights is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(TEMPER))
-    else:
-        given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("s" + k, float(w))]) if weights else F.create_map().cast("map<string,double>")
-        weight = F.coalesce(F.element_at(given, F.col("s")), F.lit(0.0))
-    every = Window.partitionBy()
-    shares = counts.withColumn("w", F.greatest(weight, F.lit(0.0))).select(
-        "s", (F.col("w") / F.when(F.sum("w").over(every) > 0, F.sum("w").over(every)).otherwise(1.0)).alias("share"), F.count(F.lit(1)).over(every).alias("sources")
-    )
-    shares = shares.withColumn("period", F.greatest(F.lit(slots), 4 * F.col("sources")).cast("int"))
-    shares = shares.withColumn("exact", F.col("share") * (F.col("period") - F.col("sources")))
-    shares = shares.withColumn("quota", 1 + F.floor("exact").cast("int"))
-    left = F.col("period") - F.sum("quota").over(every)
-    by_rest = F.row_number().over(Window.partitionBy().orderBy((F.col("exact") - F.floor("exact")).desc(), "s"))
-    extra = F.floor((left + F.col("sources") - by_rest) / F.col("sources")).cast("int")
-    return shares.select("s", (F.col("quota") + extra).alias("quota"), "period")
+        own = F.pow(F.col("n").cast("double"), F.lit(TEMPER))
+        total = counts.agg(F.sum(own).alias("total"))
+        w = F.greatest(F.lit(1), F.round(F.lit(slots) * own / F.col("total"))).cast("int")
+        return counts.crossJoin(F.broadcast(total)).select("s", "n", w.alias("w"))  # one row
+    whole = whole_weights(weights)
+    given = F.create_map(*[F.lit(x) for k, w in whole.items() for x in ("s" + k, w)]) if whole else F.create_map().cast("map<string,int>")
+    return counts.select("s", "n", F.coalesce(F.element_at(given, F.col("s")), F.lit(0)).alias("w"))
+
+
+def deal(classes: DataFrame) -> DataFrame:
+    """(w, m, period, j, slot): earliest deadline first over one period, for classes (w, m) of m sources of weight w each.
+
+    The period is the sum of all weights. Block k of a source of weight w may start at floor(k period / w) and is due by
+    ceil((k + 1) period / w); each slot goes to the released block that is due first, among equals to the heavier source. Sources of
+    one weight have the same releases and deadlines, so a class takes its sources in turn: its j-th slot is block j div m of source
+    j mod m. One row is folded, but its work is slots times different weights (at most the root of twice the period), not times sources.
+    """
+    one = classes.agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), F.col("w").cast("bigint").alias("w"), F.col("m").cast("bigint").alias("m")))).alias("q"))
+    one = one.where("size(q) > 0").withColumn("period", F.expr("aggregate(q, 0L, (a, c) -> a + c.w * c.m)"))
+    block = "(st.j[i] div q[i].m)"
+    due = f"struct((({block} + 1) * period + q[i].w - 1) div q[i].w as due, i as i)"
+    pick = f"array_min(filter(transform(sequence(0, size(q) - 1), i -> if(({block} * period) div q[i].w <= t, {due}, null)), x -> x is not null)).i"
+    turn = f"transform(array({pick}), p -> struct(transform(st.j, (v, i) -> if(i = p, v + 1, v)) as j, array_append(st.line, p) as line))[0]"
+    start = "cast(array() as array<int>)"
+    step = f"aggregate(sequence(t0, least(t0 + {STEP}L, period) - 1), struct(big.j as j, {start} as line), (st, t) -> {turn})"
+    steps = f"transform(array({step}), r -> struct(r.j as j, array_append(big.lines, r.line) as lines))[0]"
+    line = f"aggregate(sequence(0L, period - 1, {STEP}L), struct(array_repeat(0L, size(q)) as j, cast(array() as array<array<int>>) as lines), (big, t0) -> {steps}, big -> flatten(big.lines))"
+    slots = one.select("period", "q", F.posexplode(F.expr(line)).alias("slot", "i"))
+    mine = slots.groupBy("period", F.col("q")[F.col("i")]["w"].cast("int").alias("w"), F.col("q")[F.col("i")]["m"].alias("m")).agg(F.sort_array(F.collect_list("slot")).alias("line"))
+    return mine.select("w", "m", "period", F.posexplode("line").alias("j", "slot"))
 
 
 def schedule(quota: DataFrame) -> DataFrame:
-    """(s, quota, period, slots): for each source the slots of one period that are its own.
+    """(s, quota, period, slots) of sources (s, quota): for each the slots of one period (the sum of all quotas) that are its own.
 
-    Block k of a source with weight w may start at floor(k / w) and is due by ceil((k + 1) / w).
-    Each slot goes to the released block that is due first (ties: the earlier source by name).
-    The weights sum to one, so every block is on time, and after t slots a source is less than one
-    block away from w * t. Weights are whole numbers of slots, so the period repeats for ever.
+    After t slots a source is less than one block away from its weight's part of t, and every block is on time. Weights are whole
+    numbers, so the period repeats for ever without an error that adds up.
     """
-    one = quota.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("s", "quota"))).alias("q"))
-    due = (
-        "struct(cast(ceil((st.k[i] + 1L) * period / q[i].quota) as bigint) as due, i as i)"
-    )
-    pick = f"array_min(filter(transform(sequence(0, size(q) - 1), i -> if((st.k[i] * cast(period as bigint)) div q[i].quota <= t, {due}, null)), x -> x is not null)).i"
-    turn = f"transform(array({pick}), p -> struct(transform(st.k, (v, i) -> if(i = p, v + 1, v)) as k, array_append(st.line, p) as line))[0]"
-    line = f"aggregate(sequence(0, period - 1), struct(array_repeat(0, size(q)) as k, cast(array() as array<int>) as line), (st, t) -> {turn}, st -> st.line)"
-    slots = one.select("period", "q", F.posexplode(F.expr(line)).alias("slot", "i"))
-    return slots.groupBy(F.col("q")[F.col("i")]["s"].alias("s"), F.col("q")[F.col("i")]["quota"].alias("quota"), "period").agg(
-        F.sort_array(F.collect_list("slot")).alias("slots")
-    )
+    hashed = quota.select("s", F.col("quota").cast("int").alias("w")).withColumn("h", seeded(SEED, "s"))
+    named = cut(spread_rank(hashed, ["w"], F.col("h") / F.lit(float(2**52)), [F.col("h"), F.col("s")], "i", "m").select("s", "w", "m", "i"))
+    dealt = deal(named.select("w", "m").distinct())
+    own = dealt.groupBy("w", "period", F.expr("j % m").alias("i")).agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    return named.join(own, ["w", "i"]).select("s", F.col("w").alias("quota"), F.col("period").cast("int").alias("period"), "slots")
+
+
+def plan_of(sources: DataFrame, block: int) -> DataFrame:
+    """(s, quota, period, slots, base): the schedule of sources (s, n, w) with a weight, and the turns of those without one.
+
+    The latter come after the last block of all others (``base``), one block each in turn.
+    """
+    weighed = cut(schedule(sources.where("w > 0").select("s", F.col("w").alias("quota"))))
+    last = F.expr(f"((n - 1) div {block} div quota) * cast(period as bigint) + slots[cast((n - 1) div {block} % quota as int)] + 1")
+    base = sources.join(weighed, "s").agg(F.coalesce(F.max(last), F.lit(0)).alias("base"))
+    rest = sources.where("w = 0").withColumn("h", seeded(SEED, "s")).withColumn("one", F.lit(1))
+    rest = spread_rank(rest, ["one"], F.col("h") / F.lit(float(2**52)), [F.col("h"), F.col("s")], "i", "m").crossJoin(F.broadcast(base))  # one row
+    rest = rest.select("s", F.lit(1).alias("quota"), F.col("m").cast("int").alias("period"), F.array(F.col("i").cast("int")).alias("slots"), "base")
+    return weighed.select("s", "quota", "period", "slots", F.lit(0).cast("bigint").alias("base")).unionByName(rest)
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -62,40 +101,45 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
 
     A source's rows are shuffled by seed and cut into blocks of ``block`` rows; blocks take the
     slots of ``schedule``. Every row is in the stream once: nothing is dropped or repeated. Up to
-    the slot where the first source ends, each source is less than one block off its weight; from
+    the slot where the first source ends, each source is less than one block off its weight, however long the stream; from
     there on its slots stay empty and the others keep their proportions.
 
-    * weights default to the power TEMPER of a source's row count; a source that ``weights`` leaves
-      out (or gives 0 or less) has the least share, one slot of a period;
-    * a null source is a source of its own (it has no weight in ``weights``); null and repeated
-      keys sort with their equals, which of two equal rows comes first is open;
+    * weights are the given decimals, exactly (see ``whole_weights``), or else whole numbers in proportion to the power TEMPER of the row counts;
+      sources that ``weights`` leaves out or gives 0 or less follow after all others, in turn;
+    * a null source is a source of its own (it has no weight in ``weights``); rows with null or equal keys are ordered by
+      their other columns, and which of two wholly equal rows comes first makes no difference;
     * an empty input gives an empty result; input columns named like added ones are replaced.
     """
-    rows = without(docs, *ADDED).withColumns({"__h": seeded(seed, key), "__s": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))})
-    counts = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("__s", "s")
-    plan = cut(schedule(cut(quotas(counts, weights, slots))).toDF("__p", "__quota", "__period", "__slots"))
-    ranked = spread_rank(rows, ["__s"], F.col("__h") / F.lit(float(2**52)), [F.col("__h"), F.col(key)], "__rank", "__rows")
-    if plan.count() <= BROADCAST_SOURCES:
+    kept = without(docs, *ADDED)
+    rows = kept.withColumns({"__h": seeded(seed, key), "__s": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))})
+    counts = cut(rows.groupBy(F.col("__s").alias("s")).agg(F.count(F.lit(1)).alias("n")))
+    plan = cut(plan_of(cut(source_weights(counts, weights, slots)), block).toDF("__p", "__quota", "__period", "__slots", "__base"))
+    facts = plan.agg(F.coalesce(F.sum(F.size("__slots") + 4), F.lit(0)).alias("size")).first()
+    order = [F.col("__h"), F.col(f"`{key}`"), *ties(kept, key, source)]
+    buckets = rank_buckets(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    ranked = spread_rank(rows, ["__s"], F.col("__h") / F.lit(float(2**52)), order, "__rank", "__rows", buckets)
+    if facts.size <= BROADCAST_SOURCES:
         placed = ranked.join(F.broadcast(plan), F.col("__s") == F.col("__p"))
     else:
         salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         placed = ranked.join(salted, (F.col("__s") == F.col("__p")) & (F.pmod("__h", F.lit(SALTS)) == F.col("__salt"))).drop("__salt")
-    placed = placed.withColumn("mix_block", F.expr(f"__rank div {block}"))
+    placed = placed.withColumns({"mix_block": F.expr(f"__rank div {block}"), "__period": F.col("__period").cast("bigint")})
     return placed.withColumns(
         {
-            "mix_release": F.expr("(mix_block * __period) div __quota"),
-            "mix_deadline": F.expr("((mix_block + 1) * __period + __quota - 1) div __quota"),
-            "mix_slot": F.expr("(mix_block div __quota) * __period + __slots[cast(mix_block % __quota as int)]"),
+            "mix_release": F.expr("(mix_block * __period) div __quota + __base"),
+            "mix_deadline": F.expr("((mix_block + 1) * __period + __quota - 1) div __quota + __base"),
+            "mix_slot": F.expr("(mix_block div __quota) * __period + __slots[cast(mix_block % __quota as int)] + __base"),
         }
-    ).withColumn("mix_pos", F.expr(f"mix_slot * {block} + __rank % {block}")).select(*without(docs, *ADDED).columns, *ADDED)
+    ).withColumn("mix_pos", F.expr(f"mix_slot * {block} + __rank % {block}")).select(*kept.columns, *ADDED)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows laid out in stream order: part files follow each other, and so do the rows in each."""
+    """The rows laid out in stream order: part files follow each other, and so do the rows in each. Every row has its own ``mix_pos``."""
     return mixed.repartitionByRange("mix_pos").sortWithinPartitions("mix_pos")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the stream, by default weights."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
