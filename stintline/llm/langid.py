@@ -16,8 +16,8 @@ from stintline.llm.common import read, without
 #: N-gram lengths in characters; slots of the filter table; hash functions of an n-gram.
 SIZES, SLOTS, HASHES = (3, 4), 1 << 18, 3
 #: Documents of each language that filters are fitted on at most (in expectation), share of a language's n-grams
-#: that an n-gram must have to enter its filter, and languages at most.
-FIT_DOCS, MIN_SHARE, MAX_LANGUAGES = 4000, 2e-5, 64
+#: that an n-gram must have to enter its filter, and n-grams that a task counts at once.
+FIT_DOCS, MIN_SHARE, COUNTED = 4000, 2e-5, 1 << 21
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -25,7 +25,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 @dataclass(frozen=True)
 class Filters:
-    """``table[slot]`` has bit l set if some n-gram of language l hashes there; ``noise[l]`` is the chance that a foreign n-gram passes."""
+    """``table[slot, l // 64]`` has bit l % 64 set if some n-gram of language l hashes there; ``noise[l]`` is the chance that a foreign n-gram passes.
+
+    A slot has as many 64-bit words as the languages need, so their number is not limited.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -62,7 +65,7 @@ def slots_of(keys: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
 
 
 def masks(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each key the bitmask of all languages whose filter holds it."""
+    """For each key the bitmask (a row of 64-bit words) of all languages whose filter holds it."""
     first, *rest = slots_of(keys, len(table))
     mask = table[first]
     for s in rest:
@@ -70,6 +73,11 @@ def masks(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return mask
 
 
+def popcounts(found: np.ndarray, languages: int) -> np.ndarray:
+    """For each language the number of masks that have its bit."""
+    return np.array([np.count_nonzero(found[:, i // 64] & np.uint64(1 << i % 64)) for i in range(languages)], float)
+
+
 def classify(text: str | None, filters: Filters) -> tuple[str, float]:
     """(language, score): most n-grams of its own after correction; score is its part of all languages' corrected counts."""
     if not text or not filters.languages or not _LETTER.search(text):
@@ -77,8 +85,7 @@ def classify(text: str | None, filters: Filters) -> tuple[str, float]:
     hits, n = np.zeros(len(filters.languages)), 0
     for at in range(0, len(text), 1 << 20):  # a very long text by pieces; a piece's last n-grams are in the next one too
         keys = ngram_keys(text[max(0, at - max(SIZES)) : at + (1 << 20)])
-        found = masks(keys, filters.table)
-        hits += [np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(hits))]
+        hits += popcounts(masks(keys, filters.table), len(hits))
         n += len(keys)
     fixed = np.maximum(hits - n * filters.noise, 0) / (1 - filters.noise)
     # n-grams of every language say nothing: what the least one has is common to all
@@ -93,14 +100,18 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     Each language takes part with about FIT_DOCS documents, chosen by hash of the key (all of
     them, if there are fewer): a fixed bound on what the classifier is fitted on. Spark
     counts their n-grams and ORs the slots; SLOTS bitmasks come to the driver.
+
+    * documents with a null text or language teach nothing, an empty text has one n-gram of blanks; a null key is hashed like any other;
+    * a very long text is counted by pieces; without labelled documents there are no languages, and every text is ``und``.
     """
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     languages = tuple(sorted(sizes))
+    words = max(1, -(-len(languages) // 64))
     if not languages:
-        return Filters((), np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Filters((), np.zeros((SLOTS, words), np.uint64), np.zeros(0))
     part = F.pmod(F.xxhash64(F.col("key"), F.lit("fit")), F.lit(1_000_000)) / F.lit(1e6)
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, FIT_DOCS / n)]), F.col("lang"))
     chosen = rows.where(part < bound).select("lang", "text")
@@ -108,8 +119,20 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, texts in pdf.groupby("lang")["text"]:
-                keys, n = np.unique(np.concatenate([ngram_keys(t) for t in texts]), return_counts=True)
-                yield pd.DataFrame({"lang": name, "key": keys.view(np.int64), "n": n})
+                held, size = [], 0
+                for t in texts:
+                    for at in range(0, max(len(t), 1), 1 << 20):
+                        held.append(ngram_keys(t[max(0, at - max(SIZES)) : at + (1 << 20)]))
+                        size += len(held[-1])
+                        if size >= COUNTED:
+                            yield counted(name, held)
+                            held, size = [], 0
+                if held:
+                    yield counted(name, held)
+
+    def counted(name: str, held: list[np.ndarray]) -> pd.DataFrame:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"lang": name, "key": keys.view(np.int64), "n": n})
 
     grams = chosen.mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -118,16 +141,16 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
 
     def slot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mask = (np.uint64(1) << pdf["bit"].to_numpy(np.uint64)).view(np.int64)
+            own = pdf["bit"].to_numpy(np.int64)
+            mask = (np.uint64(1) << (own % 64).astype(np.uint64)).view(np.int64)
             for s in slots_of(pdf["key"].to_numpy(np.int64).view(np.uint64)):
-                yield pd.DataFrame({"slot": s, "mask": mask})
+                yield pd.DataFrame({"slot": s, "word": own // 64, "mask": mask})
 
     held = grams.where(F.col("n") >= least).select("key", bit.alias("bit"))
-    table = np.zeros(SLOTS, np.uint64)
-    for r in held.mapInPandas(slot, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect():
-        table[r.slot] = np.int64(r["mask"]).view(np.uint64)
-    fill = np.array([np.count_nonzero(table & np.uint64(1 << i)) for i in range(len(languages))]) / SLOTS
-    return Filters(languages, table, fill**HASHES)
+    table = np.zeros((SLOTS, words), np.uint64)
+    for r in held.mapInPandas(slot, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        table[r.slot, r.word] = np.int64(r["mask"]).view(np.uint64)
+    return Filters(languages, table, (popcounts(table, len(languages)) / SLOTS) ** HASHES)
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
@@ -135,7 +158,8 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
 
     * a null text and a text without a letter are ``und`` with score 0, as is every text if nothing was learned;
     * a text with letters and no known n-gram gets the first language and score 0;
-    * equal texts get equal results; input columns of these names are replaced.
+    * equal texts get equal results, and a very long text is read whole, by pieces; an empty input gives an empty result;
+    * input columns of these names are replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS bitmasks, whatever the corpus
 
@@ -153,6 +177,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones that are not held out."""
     docs = read(spark, sf_dir, "documents")
     filters = fit(docs, ~held_out())
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
