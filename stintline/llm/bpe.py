@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from stintline.llm.common import read, without
 
-#: Characters of text whose words are replayed together, and words a task remembers between chunks.
-CHUNK_CHARS, MEMORY_WORDS = 4_000_000, 500_000
+#: Characters of text whose words are replayed together, and bytes of words and ids that a task remembers between chunks.
+CHUNK_CHARS, MEMORY_BYTES = 1_000_000, 64 << 20
+#: Bytes that Python needs for a remembered word besides its characters and ids.
+OVERHEAD = 180
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +52,9 @@ class MergeReplay:
                     pairs[left << 32 | right] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.held = 0
+        self.shown = {i: str(i) for i in self.bytes_of}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or -1."""
@@ -136,23 +140,26 @@ class MergeReplay:
         bounds = np.searchsorted(word[kept], np.arange(len(words) + 1)).tolist()
         return [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[list[int]]:
-        """Ids of each text; the words new to this chunk are replayed together."""
+    def encode_ids(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
+        """Ids (32 bits each) of each text; the words new to this chunk are replayed together."""
         split = [pattern.findall(t) for t in texts]
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory = {}
+        if self.held > MEMORY_BYTES:
+            self.memory, self.held = {}, 0
         memory, ranks = self.memory, self.ranks
         new = list({w for words in split for w in words if w not in memory})
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         whole = [ranks.get(b) for b in raw]
-        memory.update((w, [i]) for w, i in zip(new, whole) if i is not None)
         left = [k for k, i in enumerate(whole) if i is None]
-        memory.update(zip([new[k] for k in left], self.replay([raw[k] for k in left]) if left else []))
+        replayed = iter(self.replay([raw[k] for k in left]) if left else [])
+        for w, b, i in zip(new, raw, whole):
+            ids = np.array([i] if i is not None else next(replayed), "<i4").tobytes()
+            memory[w] = ids
+            self.held += len(b) + len(ids) + OVERHEAD
         for words in split:
-            out: list[int] = []
-            for w in words:
-                out += memory[w]
-            yield out
+            yield np.frombuffer(b"".join([memory[w] for w in words]), "<i4")
+
+    def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[list[int]]:
+        return (ids.tolist() for ids in self.encode_ids(texts, pattern))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -162,7 +169,7 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
     """Add ``token_ids`` (array of int) and ``decoded`` (binary), or with ``digests`` their counts and hashes.
 
     A task reads its rows in chunks of about CHUNK_CHARS characters and replays the merges over the
-    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk
+    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk, by MEMORY_BYTES
     and by the longest text. ``rank_lines`` are the bytes of a rank file, shipped once to each
     executor (they do not grow with the corpus).
 
@@ -193,13 +200,18 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
                     chars += len(texts[stop])
                     stop += 1
                 counts, ids_out, decoded_out = [], [], []
-                for ids in engine.encode(texts[start:stop], splitter):
-                    decoded = engine.decode(ids)
+                for ids in engine.encode_ids(texts[start:stop], splitter):
+                    listed = ids.tolist()
+                    decoded = engine.decode(listed)
                     counts.append(len(ids))
-                    ids_out.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() if digests else ids)
+                    ids_out.append(hashlib.sha256(" ".join(map(engine.shown.__getitem__, listed)).encode()).hexdigest() if digests else ids)
                     decoded_out.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
-                kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
-                made = [pa.array(v, k) for v, k in zip((counts, ids_out, decoded_out), kinds)]
+                if digests:
+                    made = [pa.array(counts, pa.int64()), pa.array(ids_out, pa.string()), pa.array(decoded_out, pa.string())]
+                else:
+                    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids_out), pa.int32()))
+                    made = [pa.array(counts, pa.int64()), lists, pa.array(decoded_out, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *made], names=[*batch.schema.names, *[n for n, _ in new]])
                 start = stop
 
@@ -228,6 +240,7 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digests of every document's token ids, and the digest of what they decode to."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"))
     lines, pattern = public_vocabulary()
     return encode(docs, lines, pattern, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -15,8 +15,8 @@ from stintline.llm.common import cut, read, without
 RADIUS, SHINGLE = 2, 3
 #: Rows of a tile. A pair of tiles is compared in blocks of BLOCK rows, so a task holds BLOCK * 2 * TILE bits at once.
 TILE, BLOCK = 4096, 64
-#: Table of hot groups up to this many rows is broadcast; beyond it the join is dealt by key.
-BROADCAST_ROWS = 100_000
+#: Table of hot groups up to this many rows is broadcast; beyond it the join is dealt by key. Rows of one fingerprint beyond HOT_ROWS are not dealt by it.
+BROADCAST_ROWS, HOT_ROWS = 100_000, 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -48,7 +48,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Add the column ``fp`` (long, the fingerprint's bits)."""
+    """Add the column ``fp`` (long, the fingerprint's bits; an input column of that name gives way). A null text has fingerprint zero, equal texts have equal ones."""
     column = f"`{text}`"
 
     @F.pandas_udf("long")
@@ -167,7 +167,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     ``fps`` has one row per fingerprint. Fingerprints within the radius agree on at least one of
     radius + 1 bit fields, so only rows with an equal field meet. A field value with more than
     ``tile`` rows is split into tiles by population count and hash, and only pairs of tiles
-    whose counts are within the radius are dealt out; no task sees more than two tiles at once.
+    whose counts are within the radius are dealt out; no task sees more than two tiles at once. Null fingerprints link to nothing;
+    without rows there are no links.
     """
     fields = radius + 1
     edges = [64 * i // fields for i in range(fields + 1)]
@@ -210,7 +211,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round moves every set to the neighbour of least seeded hash (itself included) and
     keeps only edges between different sets. That at least halves, in expectation, the number of
     sets that still have edges, so the rounds grow with the logarithm of the longest chain.
-    Rounds are cut through the checkpoint folder; nothing but an edge count comes to the driver.
+    Rounds are cut through the checkpoint folder; nothing but an edge count comes to the driver. Repeated edges and edges from a node
+    to itself change nothing; a node without edges is its own root; without nodes there are no rows.
     """
     moved = None
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
@@ -241,11 +243,27 @@ def _classes(docs: DataFrame, key: str, text: str, radius: int, shingle: int) ->
     """(key, fp) of every row, and (node, root, component_id) of every distinct fingerprint."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     marked = cut(fingerprints(rows, "text", shingle).select("key", "fp"))
-    least = marked.groupBy("fp").agg(F.min("key").alias("least"))
+    least = marked.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
     parts = components(least.select(F.col("fp").alias("node")), links(least.select("fp"), radius))
-    named = least.join(parts, F.col("fp") == F.col("node")).select("node", "least", "root")
+    named = least.join(parts, F.col("fp") == F.col("node")).select("node", "n", "least", "root")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, cut(named.join(ids, "root").select("node", "root", "component_id"))
+    return marked, cut(named.join(ids, "root").select("node", "n", "root", "component_id"))
+
+
+def named_rows(marked: DataFrame, named: DataFrame) -> DataFrame:
+    """Every row (key, fp) with its node's class.
+
+    A text may be copied to a third of the rows: nodes of more than HOT_ROWS rows, of which there are rows / HOT_ROWS at most,
+    are sent to all tasks (if that is a small table), so that no task takes all rows of one.
+    """
+    named = named.select("node", "n", "root", "component_id")
+    hot = named.where(F.col("n") > HOT_ROWS)
+    n_hot = hot.count()
+    same = F.col("fp") == F.col("node")
+    if not n_hot or n_hot > BROADCAST_ROWS:
+        return marked.join(named, same)
+    cold = marked.join(F.broadcast(hot.select("node")), same, "left_anti").join(named.where(F.col("n") <= HOT_ROWS), same)
+    return cold.unionByName(marked.join(F.broadcast(hot), same))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -257,7 +275,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     * other columns are not looked at; an empty input gives an empty result.
     """
     marked, named = _classes(docs, key, text, radius, shingle)
-    return marked.join(named, F.col("fp") == F.col("node")).select(F.col("key").alias(key), "fp", "component_id")
+    return named_rows(marked, named).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -272,7 +290,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
 
 def first_of_each(docs: DataFrame, key: str, text: str, marked: DataFrame, named: DataFrame, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The document ``keep_first`` leaves of each component, given ``_classes`` of the rows and what adds ``fp`` to them."""
-    own = marked.join(named, F.col("fp") == F.col("node")).withColumn("own", F.col("key").eqNullSafe(F.col("component_id")))
+    own = named_rows(marked, named).withColumn("own", F.col("key").eqNullSafe(F.col("component_id")))
     keys = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("own").select(F.col("key").alias("__key"), "n"))
     same = F.col(key).eqNullSafe(F.col("__key"))
     once = docs.join(keys.where("n = 1 and __key is not null").select("__key"), F.col(key) == F.col("__key"), "left_semi")
@@ -288,5 +306,6 @@ def first_of_each(docs: DataFrame, key: str, text: str, marked: DataFrame, named
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document."""
     near = near_duplicates(read(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -52,3 +52,28 @@ def test_frame_keeps_rows_and_columns(spark, awkward):
 
 def test_empty(spark, make):
     assert bpe.encode(make([]), LINES, PATTERN, digests=True).count() == 0
+
+
+def test_registered_query_against_the_library(spark, library):
+    """Every document of the smallest tables: counts and both digests."""
+    import hashlib
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = bpe.op6_bpe(spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode_bytes(ids)).hexdigest() == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_forgetting_words_changes_nothing(library, monkeypatch):
+    import regex
+
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 0)
+    own = bpe.MergeReplay(library._mergeable_ranks)
+    for turn in range(3):
+        texts = [f"some words {turn} and others", "and others again"]
+        assert list(own.encode(texts, regex.compile(PATTERN))) == [library.encode_ordinary(t) for t in texts]
+        assert own.held > 0

@@ -100,3 +100,18 @@ def test_keep_first_leaves_one_row_of_each_component(spark, awkward):
 def test_empty(spark, make):
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_first(make([])).count() == 0
+
+
+def test_a_hot_fingerprint_is_not_dealt_by_its_value(spark, make, monkeypatch):
+    rows = [(i, "the same words in all of these", "en", "s") for i in range(60)] + [(100 + i, f"other words number {i} stand here", "en", "s") for i in range(20)]
+    want = sorted((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(make(rows)).collect())
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    assert sorted((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(make(rows)).collect()) == want
+
+
+def test_registered_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    fps = [brute_fingerprint(r.text) for r in rows]
+    want = sorted((r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, brute_components([r.doc_id for r in rows], fps)))
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op5_simhash(spark, folder).collect()) == want
