@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintline.llm.common import cut, read, without
+from stintline.llm.common import cut, read, ties, without
 
 #: A line on more than RATIO of a site's pages, and on at least MIN_PAGES of them, is boilerplate.
 RATIO, MIN_PAGES = 0.02, 5
 #: A flagged table up to this many rows is broadcast; beyond it the join is dealt by site and salt.
-BROADCAST_ROWS, SALTS = 200_000, 32
+BROADCAST_ROWS, SALTS = 200_000, 256
 
 
 def _line_hashes(text: str) -> str:
@@ -54,7 +54,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     * a null text stays null, and a row without a site stays as it is, for it has no pages to compare with;
     * the site's page total and a line's page count are over distinct texts, so copies and
       repeated rows do not make a page's own lines boilerplate;
-    * equal lines are equal strings; an input column ``n_lines_dropped`` is replaced.
+    * lines, and texts, are equal if their 64-bit hashes are; an input column ``n_lines_dropped`` is replaced;
+    * an empty input gives an empty result.
     """
     flagged = cut(boilerplate(docs, host, text, ratio, min_pages).toDF("__site", "__flagged"))
     size = flagged.agg(F.coalesce(F.sum(F.size("__flagged") + 4), F.lit(0))).first()[0]
@@ -63,7 +64,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
         joined = rows.join(F.broadcast(flagged), F.col(host) == F.col("__site"), "left")
     else:
         salted = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__key", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        # by all columns: copies of one page and rows without a text or a site are spread as well
+        rows = rows.withColumn("__key", F.pmod(F.xxhash64(*ties(rows)), F.lit(SALTS)).cast("int"))
         joined = rows.join(salted, (F.col(host) == F.col("__site")) & (F.col("__key") == F.col("__salt")), "left").drop("__key", "__salt")
     hits = F.expr(f"array_intersect({_line_hashes(f'`{text}`')}, __flagged)")
     joined = joined.withColumn("__hits", F.when(F.col("__flagged").isNotNull() & F.col(text).isNotNull(), hits))
@@ -76,6 +78,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines."""
     return drop_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines_dropped")
 
 

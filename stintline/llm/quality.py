@@ -17,7 +17,7 @@ BUCKETS, LABELLED, STEPS = 1 << 15, 8192, 1000
 PRIOR = 8.0
 #: What losing a trusted document weighs against keeping a rejected one when the threshold is set.
 TRUST = 4.0
-MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+MIN_WORDS, MAX_REPEAT_PERCENT, PACKED = 50, 50, 4096
 _SPACE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -49,15 +49,19 @@ def _repeat_words() -> str:
 
     A window's hash stands above its position in one number; sorted, equal windows are neighbours
     (the full hashes are compared). The positions found, each covering three words, are then
-    merged.
+    merged. In a text of more than PACKED words the position would leave too few bits to the hash, so another window could come
+    between equal ones: there pairs of hash and position are sorted, which is slower.
     """
     windows = "transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> xxhash64(x, h[i + 1], h[i + 2]))"
     keys = "sort_array(transform(w, (x, i) -> shiftleft(x, b) | cast(i as bigint)))"
     place = "cast({} & (shiftleft(1L, b) - 1) as int)"
     same = "(shiftrightunsigned(v, b) = shiftrightunsigned({o}, b) and w[" + place.format("v") + "] = w[" + place.format("{o}") + "])"
     found = "sort_array(transform(filter(k, (v, j) -> " + " or ".join(same.format(o=o) for o in ("get(k, j - 1)", "get(k, j + 1)")) + "), v -> " + place.format("v") + "))"
-    covered = f"aggregate({found}, struct(0L as c, -3 as p), (a, v) -> struct(a.c + least(3, v - a.p) as c, v as p), a -> a.c)"
-    return _let("b", "length(bin(size(h)))", _let("w", windows, _let("k", keys, covered)))
+    merged = "aggregate({}, struct(0L as c, -3 as p), (a, v) -> struct(a.c + least(3, v - a.p) as c, v as p), a -> a.c)"
+    packed = _let("k", keys, merged.format(found))
+    pairs = "sort_array(transform(w, (x, i) -> struct(x, i)))"
+    twice = "sort_array(transform(filter(k, (v, j) -> get(k, j - 1).x = v.x or get(k, j + 1).x = v.x), v -> v.i))"
+    return _let("b", "length(bin(size(h)))", _let("w", windows, f"if(size(h) > {PACKED}, {_let('k', pairs, merged.format(twice))}, {packed})"))
 
 
 def _measured(text: str, model: Model) -> Column:
@@ -156,11 +160,15 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
+    """The documents that pass, with the columns they came with.
+
+    A null text does not pass; repeated rows all stay or all go; without labels the base rules alone decide; an empty input gives an empty result.
+    """
     return docs.where(_measured(f"`{text}`", fit(docs, labels, key, text))["kept"])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read(spark, sf_dir, "labels"))
     return judge(docs, model).select("doc_id", *BASE, "base_failed", "kept", "score")

@@ -98,3 +98,20 @@ def test_threshold():
 def test_empty(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.keep_good(make([]), none).count() == 0
+
+
+def test_long_texts_count_repeats_the_slow_way(spark, make, monkeypatch):
+    monkeypatch.setattr(quality, "PACKED", 3)
+    texts = ["a b c a b c", "a a a a", "a a a", "a b a b a", "x y z w x y z", "p q r s t", " ".join("abcab" * 30), "a b", " ".join(str(i % 97) for i in range(500))]
+    for r in quality.judge(make([(i, t, "en", "s") for i, t in enumerate(texts)]), quality.Model((0,) * quality.BUCKETS, None)).collect():
+        assert r.n_repeat_words == brute(r.text)["n_repeat_words"], r.text
+
+
+def test_registered_query(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = quality.op3_quality(spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        expect = brute(texts[r.doc_id])
+        assert {k: r[k] for k in expect} == expect and not (r.base_failed and r.kept)

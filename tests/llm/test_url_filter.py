@@ -84,3 +84,37 @@ def test_clashing_columns_and_empty(spark):
     extra = frame.withColumns({c: F.lit("own") for c in ("host", "path", "rule", "verdict", "score", "line", "x", "g", "s")})
     assert uf.judge(extra, uf.fit(extra)).count() == len(rows)
     assert uf.judge(frame.where("false"), uf.fit(frame.where("false"))).count() == 0
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://a.com/en/" + "x" * 200_000), (2, "http://" + "b" * 100_000), (3, "http://a.net/de/ok"), (4, "x" * 50_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in uf.judge(frame, uf.fit(frame)).collect()}
+    assert got[1].verdict == "block" and got[1].path == "/en/" + "x" * 200_000 and got[2].host == "b" * 100_000 and got[4].host == ""
+
+
+def test_long_urls_are_scored_alike(spark, monkeypatch):
+    frame, _ = pages(spark, 50)
+    short = {r.page_id: r.score for r in uf.judge(frame, uf.fit(frame)).collect()}
+    monkeypatch.setattr(uf, "LONG_URL", 0)
+    assert {r.page_id: r.score for r in uf.judge(frame, uf.fit(frame)).collect()} == short
+
+
+def test_threshold_parts_unseen_urls(spark):
+    """The registered rules on urls of two kinds: models and threshold judge urls that no rule fits."""
+    rows = [(i, f"https://h{i % 9}.{'com/en' if i % 2 else 'net/de'}/{'casino-win' if i % 2 else 'garten-haus'}-{i * 37 % 1000}") for i in range(400)]
+    rows += [(1000 + i, f"https://other{i}.info/{'casino-win' if i % 2 else 'garten-haus'}-{i * 41 % 1000}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = [r for r in uf.judge(frame, uf.fit(frame)).collect() if r.rule is None]
+    assert sum(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got) >= 54
+
+
+def test_registered_query(spark):
+    folder = "/root/testdata/sf0.001"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = uf.op10_url_filter(spark, folder).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = host_path(urls[r.page_id])
+        rule, says = rule_of(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (says or r.verdict) in ("allow", "block")
