@@ -8,6 +8,7 @@ reads will do.
 from __future__ import annotations
 
 import json
+import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,16 @@ from stintline.operators.point_in_time import LeakageError, check_frame
 SUFFIX = {"pre-fp1": "pre", "post-sprint": "post-sprint", "post-q": "post-q"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a session on one machine may do without and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="stintline-shared-")
+
+
 class FrozenError(RuntimeError):
     """The artifact may not change any more."""
 
@@ -178,4 +189,4 @@ def replace_rounds(spark: SparkSession, path: str, rows: DataFrame) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "round").parquet(path)
 
 
-__all__ = ["Folder", "FrozenError", "LeakageError", "NotFrozenError", "Predictions", "Snapshot", "replace_rounds", "snapshot_listing"]
+__all__ = ["Folder", "FrozenError", "LeakageError", "NotFrozenError", "Predictions", "Snapshot", "replace_rounds", "shared_folder", "snapshot_listing"]

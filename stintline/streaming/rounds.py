@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stintline.operators import pace
 from stintline.operators.point_in_time import as_date
-from stintline.sources.artifacts import replace_rounds
+from stintline.sources.artifacts import replace_rounds, shared_folder
 
 
 def lap_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -59,7 +58,7 @@ def event_windows(spark: SparkSession, sf_dir: str, width: str = "6 hours") -> D
     The state is the windows; each batch overwrites the result table in the shared checkpoint
     folder with what is known so far.
     """
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stintline-stream-')}/windows-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     counted = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
