@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 #: Buckets a distributed rank deals rows into. A bucket is one sort of about rows / RANK_BUCKETS rows.
 RANK_BUCKETS = 2048
+#: Bytes of an Arrow batch that goes to a Python worker. Texts are of any length, so a bound in rows alone is none in memory.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. Python workers on this machine find the package where the driver did."""
+    """A table of the corpus. Python workers on this machine find the package where the driver did, and get batches of BATCH_BYTES at most."""
+    if int(spark.conf.get(BATCH_KEY, None) or BATCH_BYTES + 1) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
