@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stintline.llm.common import cut, read, without
 
-RADIUS, SHINGLE = 2, 3
+RADIUS, SHINGLE, HUB_ROUNDS = 2, 3, 2
 #: Rows of a tile. A pair of tiles is compared in blocks of BLOCK rows, so a task holds BLOCK * 2 * TILE bits at once.
 TILE, BLOCK = 4096, 64
 #: Table of hot groups up to this many rows is broadcast; beyond it the join is dealt by key. Rows of one fingerprint beyond HOT_ROWS are not dealt by it.
@@ -210,7 +210,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round moves every set to the neighbour of least seeded hash (itself included) and
     keeps only edges between different sets. That at least halves, in expectation, the number of
-    sets that still have edges, so the rounds grow with the logarithm of the longest chain.
+    sets that still have edges, so the rounds grow with the logarithm of the longest chain. In the first HUB_ROUNDS the neighbour with
+    most edges comes first: the stars that tiles and bands give then collapse at once.
     Rounds are cut through the checkpoint folder; nothing but an edge count comes to the driver. Repeated edges and edges from a node
     to itself change nothing; a node without edges is its own root; without nodes there are no rows.
     """
@@ -220,8 +221,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while edges.count():
         turn += 1
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
-        step = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(F.col("m"), rank("a"))["v"].alias("to"))
+        rank = lambda c, d: F.struct((-d).alias("d"), F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
+        if turn <= HUB_ROUNDS:
+            degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+            both = both.join(degrees.select(F.col("a").alias("b"), "d"), "b")
+        else:
+            both = both.withColumn("d", F.lit(0).cast("bigint"))
+        own = F.count(F.lit(1)) if turn <= HUB_ROUNDS else F.lit(0).cast("bigint")
+        step = both.groupBy("a").agg(F.min(rank("b", F.col("d"))).alias("m"), own.alias("d")).select("a", F.least(F.col("m"), rank("a", F.col("d")))["v"].alias("to"))
         step = cut(step)
         moved = step.select(F.col("a").alias("node"), F.col("to").alias("root")) if moved is None else (
             moved.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
