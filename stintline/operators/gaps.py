@@ -47,3 +47,11 @@ def fill_teams(features: DataFrame, key: str = "driver", order: str = "round", c
     before = F.last(column, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(column, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
     return features.withColumn(column, F.coalesce(before, after))
+
+
+def full_features(pace: DataFrame, by: tuple[str, ...] = ("season", "round"), long_run_s: float = PACE.suspect_long_run_s, quali_s: float = PACE.suspect_quali_s) -> DataFrame:
+    """Pace features as they are stored: missing teams filled over rounds, gaps to the team mate (null without one), suspect flags."""
+    filled = fill_teams(pace)
+    flagged = flag_suspects(filled, by, long_run_s, quali_s)
+    both = teammate_gaps(filled, by).select(*by, "driver", F.col("gap_race").alias("gap_to_teammate_race"), F.col("gap_quali").alias("gap_to_teammate_quali"))
+    return flagged.join(both, [*by, "driver"], "left")

@@ -84,14 +84,26 @@ def session_best(laps: DataFrame, session: list[str] = SESSION, name: str = "fp_
 def pace_features(practice: DataFrame, quali: DataFrame | None = None, session: list[str] = SESSION) -> DataFrame:
     """Long-run pace, best practice lap and best qualifying lap of each driver, with one team a driver."""
     keys = [*session, "driver"]
-    joined = long_run_pace(practice, session).withColumnRenamed("team", "run_team").join(session_best(practice, session), keys, "full_outer")
+    # one pass over practice gives the best lap and the team; a driver with a long run has a valid lap
+    usable, named = F.col("lap_s") > PACE.min_lap_s, F.when(F.col("team").isNotNull(), F.struct(*LAP_ORDER))
+    best = practice.groupBy(*keys).agg(F.min(F.when(usable, F.col("lap_s"))).alias("fp_best_lap_s"), F.min_by("team", named).alias("any_team"))
+    joined = best.where("fp_best_lap_s is not null").join(long_run_pace(practice, session).withColumnRenamed("team", "run_team"), keys, "left")
     if quali is None:
         joined = joined.withColumn("quali_pace_s", F.lit(None).cast("double"))
     else:
         joined = joined.join(session_best(quali, session, "quali_pace_s"), keys, "left")
-    teams = practice.where(F.col("team").isNotNull()).groupBy(*keys).agg(F.min_by("team", F.struct(*LAP_ORDER)).alias("any_team"))
-    named = joined.join(teams, keys, "left").withColumn("team", F.coalesce("run_team", "any_team"))
-    return named.select(*keys, "team", "long_run_pace_s", "long_run_n", "fp_best_lap_s", "quali_pace_s")
+    return joined.select(*keys, F.coalesce("run_team", "any_team").alias("team"), "long_run_pace_s", "long_run_n", "fp_best_lap_s", "quali_pace_s")
+
+
+def extra_pace(rows: DataFrame, session: list[str] = SESSION) -> DataFrame:
+    """A weekend's own qualifying (``best_lap_s``) or sprint (``sprint_pace_s``, ``n``) in the shape of pace features; drivers without a time are left out."""
+    value = "best_lap_s" if "best_lap_s" in rows.columns else "sprint_pace_s"
+    none, own = F.lit(None).cast("double"), F.col(value)
+    quali = value == "best_lap_s"
+    return rows.where(own.isNotNull()).select(
+        *session, "driver", "team", (none if quali else own).alias("long_run_pace_s"), (F.lit(0) if quali else F.col("n")).cast("bigint").alias("long_run_n"),
+        none.alias("fp_best_lap_s"), (own if quali else none).alias("quali_pace_s"),
+    )
 
 
 def trimmed_pace(laps: DataFrame, stint_keys: list[str], group: list[str], min_laps: int = PACE.min_long_run_laps, quantile: float = PACE.trim_quantile) -> DataFrame:

@@ -19,9 +19,10 @@ def _shown(value: Column, digits: int) -> Column:
 
 
 def driver_rows(forecast: DataFrame, results: DataFrame) -> DataFrame:
-    """(round, driver, win_prob, podium_prob, points_prob, expected_points, actual_position), rounded as shown."""
+    """(round, driver, win_prob, podium_prob, points_prob, expected_points, actual_position), rounded as shown; by cutoff where the forecast has several."""
+    keys = ["round", *[c for c in ("cutoff", "cutoff_date") if c in forecast.columns], "driver"]
     p, pos = F.col("probability"), F.col("finish_pos")
-    rows = forecast.groupBy("round", "driver").agg(
+    rows = forecast.groupBy(*keys).agg(
         *[_shown(F.sum(F.when(pos <= k, p).otherwise(0.0)), 4).alias(n) for n, k in (("win_prob", 1), ("podium_prob", 3), ("points_prob", 10))],
         _shown(F.sum(p * points(pos, RACE_POINTS)), 2).alias("expected_points"),
     )
@@ -46,6 +47,13 @@ def default_cutoffs(available: DataFrame) -> DataFrame:
     return available.groupBy("round").agg(F.min_by("cutoff", rank).alias("cutoff"))
 
 
+def default_round(available: DataFrame, schedule: DataFrame, as_of: str) -> DataFrame:
+    """(round): the one a page opens with: the next race that has a forecast, else the last round that has one."""
+    rounds = available.select("round").distinct().join(schedule.select("round", "date"), "round")
+    coming = F.when(F.col("date") >= F.lit(as_of).cast("date"), F.col("round"))
+    return rounds.agg(F.coalesce(F.min(coming), F.max("round")).alias("round"))
+
+
 def predictions_document(rows: DataFrame) -> DataFrame:
     """(round, document): JSON of a round's forecasts by cutoff, drivers from the most likely winner down.
 
