@@ -1,7 +1,7 @@
 """Command line: the batch steps of a season over a folder of landed data.
 
-The folder holds ``landing/`` (JSON documents and timing Parquet), ``features``, ``strengths``,
-``snapshots``, ``predictions``, ``championship`` and ``reports``.
+The folder holds ``landing/`` (JSON documents; timing laps and session results as Parquet), ``session_map``, ``features``, ``testing``, ``strengths``,
+``snapshots``, ``predictions``, ``championship``, ``reports`` and ``export``.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.operators import evaluate, pace, point_in_time, records, simulate, strength
+from stintline.operators import evaluate, gaps, pace, point_in_time, sessions, simulate, strength
 from stintline.plans import export
-from stintline.plans.model import Replay, StrengthModel, freeze_round
+from stintline.plans.model import Replay, StrengthModel, freeze_round, testing_as_pace
 from stintline.rules import SIMULATION
 from stintline.sources import landings
-from stintline.sources.artifacts import Folder, Predictions, Snapshot, replace_rounds
+from stintline.sources.artifacts import Folder, Predictions, Snapshot, materialised, replace_rounds
 
 
 class Season:
@@ -36,8 +36,26 @@ class Season:
         rows = landings.standings(self.spark, f"{self.root}/landing/{kind}", kind)
         return rows.where((F.col("season") == self.season) & (F.col("round") == after))
 
+    def has(self, name: str) -> bool:
+        return Folder(self.spark, self.path(name)).exists()
+
+    def timing(self) -> DataFrame:
+        return landings.timing_laps(self.spark, f"{self.root}/landing/laps", False).where(F.col("season") == self.season)
+
     def laps(self) -> DataFrame:
-        return landings.as_pace_laps(landings.timing_laps(self.spark, f"{self.root}/landing/laps", False)).where(F.col("season") == self.season)
+        return landings.as_pace_laps(self.timing().where("test_number is null"))
+
+    def sessions(self) -> DataFrame:
+        return landings.session_results(self.spark, f"{self.root}/landing/sessions").where(F.col("season") == self.season)
+
+    def session_map(self) -> DataFrame:
+        return self.spark.read.parquet(self.path("session_map")).where(F.col("season") == self.season)
+
+    def identities(self, ids: DataFrame) -> DataFrame:
+        """(driver, full_name, team, id): abbreviations of the timing tables and the results' ids; empty before the session map is built."""
+        if not self.has("session_map"):
+            return self.spark.createDataFrame([], "driver string, full_name string, team string, id string")
+        return sessions.identities(self.session_map(), ids)
 
     def features(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/features").where(F.col("season") == self.season)
@@ -46,26 +64,66 @@ class Season:
         return f"{self.root}/{name}"
 
 
+def build_session_map(season: Season, args) -> None:
+    """Who drove in each session, and who is a regular driver; all rounds at once."""
+    mapped = sessions.session_map(landings.session_drivers(season.sessions()), sessions.event_formats(season.schedule()))
+    replace_rounds(season.spark, season.path("session_map"), mapped)
+
+
 def build_features(season: Season, args) -> None:
-    laps = season.laps()
-    laps = laps if args.round is None else laps.where(F.col("round") == args.round)
-    practice = pace.accurate_laps(laps.where(F.col("session_type").isin("FP1", "FP2")))
-    replace_rounds(season.spark, season.path("features"), pace.pace_features(practice, pace.accurate_laps(laps.where("session_type = 'Q'"))))
+    """Pace of the session that a weekend's format names, with gaps, suspects and filled teams; testing, if any was landed."""
+    laps, formats = season.laps(), sessions.event_formats(season.schedule())
+    practice = pace.accurate_laps(landings.pace_session(laps, formats))
+    features = gaps.full_features(materialised(pace.pace_features(practice, pace.accurate_laps(laps.where("session_type = 'Q'")))))
+    # teams are filled over all rounds before one of them is chosen
+    replace_rounds(season.spark, season.path("features"), features if args.round is None else features.where(F.col("round") == args.round))
+    testing = landings.testing_laps(season.timing())
+    if testing.limit(1).count():
+        paced = pace.trimmed_pace(testing, ["driver", "season", "test_number", "day", "stint"], ["season", "driver", "team"])
+        paced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(season.path("testing"))
+
+
+def _testing(season: Season) -> DataFrame | None:
+    if not season.has("testing"):
+        return None
+    return testing_as_pace(season.spark.read.parquet(season.path("testing")).where(F.col("season") == season.season))
 
 
 def freeze_history(season: Season, args) -> None:
     schedule = season.schedule()
     guard = point_in_time.Guard(schedule)
     rounds = [args.round] if args.round is not None else sorted(guard.cutoffs)
+    mapped = season.session_map() if season.has("session_map") else None
     for round_ in rounds:
-        freeze_round(Snapshot(season.spark, season.root, season.season, round_), guard, schedule, season.features(), season.results())
+        snapshot = Snapshot(season.spark, season.root, season.season, round_)
+        if args.rebuild:
+            snapshot.rebuild(args.rebuild)
+        tables = {f"{kind}_standings": season.standings(kind, round_ - 1) for kind in ("drivers", "constructors") if round_ > 1 and season.has(f"landing/{kind}")}
+        freeze_round(snapshot, guard, schedule, season.features(), season.results(), mapped, tables)
     if not args.no_predict:
-        model = StrengthModel(args.n_sims, SIMULATION.seed)
+        model = StrengthModel(args.n_sims, SIMULATION.seed, testing=_testing(season))
         out = Replay(season.spark, season.root, season.season, model, guard).run_all(rounds, args.force)
         for round_, result in out.items():
             print(f"round {round_}: {result if isinstance(result, Exception) else 'predicted'}")
 
 
+def predict_weekend(season: Season, args) -> None:
+    """A round's forecast after its sprint or its qualifying: the frozen snapshot and what the weekend itself showed."""
+    guard = point_in_time.Guard(season.schedule())
+    snapshot = Snapshot(season.spark, season.root, season.season, args.round)
+    if args.step == "post-sprint":
+        laps = season.laps().where((F.col("round") == args.round) & (F.col("session_type") == "S"))
+        extra, grid = pace.extra_pace(pace.sprint_pace(pace.accurate_laps(laps))), None
+    else:
+        quali = landings.qualifying_results(season.sessions().where((F.col("round") == args.round) & (F.col("session_type") == "Q")))
+        extra, grid = pace.extra_pace(quali), quali.where("quali_pos is not null").select("driver", F.col("quali_pos").alias("grid"))
+    extra = materialised(extra)
+    if not extra.limit(1).count():
+        raise SystemExit(f"round {args.round} has no times for {args.step}")
+    model = StrengthModel(args.n_sims, SIMULATION.seed, testing=_testing(season), extra_pace=extra, grid=grid, signal="race" if args.step == "post-sprint" else None)
+    Predictions(season.spark, season.root, season.season).save(model.predict(snapshot, args.round, guard), args.round, guard.cutoff(args.round), args.step, model.version, args.force)
+
+
 def fit_models(season: Season, args) -> None:
     fits = strength.fit_all(season.features(), args.signal, args.min_rounds, as_of_round=args.as_of_round)
     rows = strength.strength_long(fits["driver"], fits["team"], fits["engine"], args.as_of_round).withColumn("season", F.lit(season.season))
@@ -75,18 +133,24 @@ def fit_models(season: Season, args) -> None:
 def simulate_championship(season: Season, args) -> None:
     fits = season.spark.read.parquet(season.path("strengths")).where((F.col("season") == season.season) & (F.col("as_of_round") == args.as_of_round))
     drivers = season.standings("drivers", args.as_of_round)
-    known = fits.where("entity_type = 'driver'").select(F.col("entity_id").alias("full_name"), "mean", "sd")
-    known = records.bridge_names(known, drivers.select(F.col("driver").alias("id"))).where("id is not null").select(F.col("id").alias("driver"), "mean", "sd")
+    of = lambda kind, key: fits.where(F.col("entity_type") == kind).select(F.col("entity_id").alias(key), "mean", "sd")
+    people = season.identities(drivers.select(F.col("driver").alias("id")))
+    # a driver's chance is the driver's own strength and the team's
+    total = strength.total_strength(of("driver", "driver"), of("team", "team"), people.select("driver", "team"))
+    known = evaluate.bridged(total, people).groupBy("driver").agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"))
     teams = season.results().where(F.col("round") <= args.as_of_round).groupBy("driver").agg(F.max_by("team", "round").alias("team"))
     left = season.schedule().where(F.col("round") > args.as_of_round)
     run = simulate.simulate_season(season.spark, simulate.season_field(drivers, known, teams=teams), left, args.n_sims, seed=args.seed)
     out = f"{season.path('championship')}/{season.season}/as_of_r{args.as_of_round:02d}"
-    run.write.mode("overwrite").parquet(f"{out}/driver_points")
-    stored = season.spark.read.parquet(f"{out}/driver_points")
-    simulate.title_probability(stored).orderBy(F.desc("title_prob"), "driver").write.mode("overwrite").parquet(f"{out}/drivers")
-    constructors = season.standings("constructors", args.as_of_round)
-    simulate.constructor_title(stored, constructors).orderBy(F.desc("title_prob"), "team").write.mode("overwrite").parquet(f"{out}/constructors")
-    season.spark.read.parquet(f"{out}/drivers").orderBy(F.desc("title_prob")).limit(10).show()
+    run.write.mode("overwrite").parquet(f"{out}/seasons")
+    results = simulate.championship(season.spark.read.parquet(f"{out}/seasons"), season.standings("constructors", args.as_of_round))
+    summary = simulate.championship_summary(results).orderBy("entity_type", F.desc("title_prob"), "entity_id")
+    for name, frame in (*results.items(), ("summary", summary)):
+        frame.write.mode("overwrite").parquet(f"{out}/{name}")
+    best = season.spark.read.parquet(f"{out}/summary")
+    best.where("entity_type = 'driver'").orderBy(F.desc("title_prob")).limit(10).show()
+    best.where("entity_type = 'constructor'").orderBy(F.desc("title_prob")).limit(10).show()
+    Folder(season.spark, out).write("summary.json", {"as_of_round": args.as_of_round, "n_sims": args.n_sims, "seed": args.seed})
 
 
 def _forecasts(season: Season) -> DataFrame | None:
@@ -96,18 +160,20 @@ def _forecasts(season: Season) -> DataFrame | None:
         frame, meta = stored.load(round_, cutoff)
         frame = frame.withColumns({"round": F.lit(round_), "cutoff": F.lit(cutoff), "cutoff_date": F.lit(meta["cutoff_date"])})
         out = frame if out is None else out.unionByName(frame)
-    return out
+    return out if out is None else evaluate.bridged(out, season.identities(season.results().select(F.col("driver").alias("id"))))
 
 
 def evaluate_season(season: Season, args) -> None:
     forecast, results = _forecasts(season), season.results()
     if forecast is None:
         raise SystemExit("there are no predictions")
-    forecast = forecast.where("cutoff = 'pre-fp1'")
-    per_round = evaluate.evaluate_rounds(forecast, results)
-    summary = evaluate.summarize(per_round, evaluate.win_pairs(forecast, results))
     out = f"{season.path('reports')}/{season.season}"
-    for name, frame in (("per_round", per_round), ("accuracy", evaluate.accuracy(forecast, results)), ("summary", summary), ("reliability", evaluate.reliability_diagram(evaluate.win_pairs(forecast, results)))):
+    forecast = materialised(forecast.where(F.col("cutoff") == args.cutoff))
+    per_round = evaluate.evaluate_rounds(forecast, results)
+    pairs = evaluate.win_pairs(forecast, results)
+    summary = materialised(evaluate.summarize(per_round, pairs))
+    frames = {"per_round": per_round.orderBy("round"), "accuracy": evaluate.accuracy(forecast, results).orderBy("round"), "summary": summary, "reliability": evaluate.reliability_diagram(pairs).orderBy("bin")}
+    for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{out}/{name}")
     Folder(season.spark, out).write("summary.json", summary.first().asDict())
 
@@ -115,11 +181,24 @@ def evaluate_season(season: Season, args) -> None:
 def export_json(season: Season, args) -> None:
     forecast, folder = _forecasts(season), Folder(season.spark, season.path("export"))
     folder.write("schedule.json", {"document": export.schedule_document(season.schedule(), args.as_of).first().document})
+    written = {"season": season.season, "has_predictions": forecast is not None, "has_championship": False, "has_evaluation": season.has(f"reports/{season.season}/summary")}
     if forecast is not None:
-        rows = export.driver_rows(forecast, season.results()).join(forecast.select("round", "cutoff", "cutoff_date").distinct(), "round")
+        rows = export.driver_rows(forecast, season.results())
         for row in export.predictions_document(rows).toLocalIterator():  # a season's rounds
             folder.write(f"predictions_{row['round']:02d}.json", {"document": row.document})
-    folder.write("manifest.json", {"season": season.season, "has_predictions": forecast is not None})
+        available = forecast.select("round", "cutoff").distinct()
+        written["default_round"] = export.default_round(available, season.schedule(), args.as_of).first()["round"]
+        written["default_cutoffs"] = {str(r["round"]): r.cutoff for r in export.default_cutoffs(available).collect()}  # a season's rounds
+    titles = Folder(season.spark, f"{season.path('championship')}/{season.season}").names()
+    if titles:
+        summary = season.spark.read.parquet(f"{season.path('championship')}/{season.season}/{titles[-1]}/summary").where("entity_type = 'driver'")
+        value = lambda c: summary.select("entity_id", F.col(c).alias("value"))
+        folder.write("championship.json", {"document": export.championship_document(value("title_prob"), value("expected_points"), int(titles[-1][-2:])).first().document})
+        written["has_championship"] = True
+    if written["has_evaluation"]:
+        read = lambda name: season.spark.read.parquet(f"{season.path('reports')}/{season.season}/{name}")
+        folder.write("evaluation.json", {"document": export.evaluation_document(read("summary"), read("per_round")).first().document})
+    folder.write("manifest.json", written)
 
 
 def last_round(season: Season, args) -> None:
@@ -140,11 +219,14 @@ def parser() -> argparse.ArgumentParser:
 
     whole, flag, need = {"type": int, "default": None}, {"action": "store_true"}, {"type": int, "required": True}
     sims = {"type": int, "default": SIMULATION.n_sims}
+    step("session-map", build_session_map)
     step("features", build_features, round=whole)
-    step("freeze", freeze_history, round=whole, force=flag, no_predict=flag, n_sims=sims)
+    step("freeze", freeze_history, round=whole, force=flag, no_predict=flag, n_sims=sims, rebuild={"default": None, "metavar": "AS_OF"})
+    for name in ("post-sprint", "post-q"):
+        step(name, predict_weekend, round=need, force=flag, n_sims=sims)
     step("fit", fit_models, as_of_round=need, signal={"choices": ["quali", "race"], "default": "quali"}, min_rounds={"type": int, "default": 1})
     step("championship", simulate_championship, as_of_round=need, n_sims=sims, seed={"type": int, "default": SIMULATION.seed})
-    step("evaluate", evaluate_season)
+    step("evaluate", evaluate_season, cutoff={"choices": ["pre-fp1", "post-sprint", "post-q"], "default": "pre-fp1"})
     step("export", export_json, as_of={"required": True})
     step("last-round", last_round, as_of={"required": True})
     return top

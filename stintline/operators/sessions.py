@@ -23,7 +23,7 @@ def session_map(drivers: DataFrame, formats: DataFrame) -> DataFrame:
     if the car had the same driver in the race before (in the first round: in its own race); a car that race does not know counts as
     regular, and so does everybody in all other sessions. A newcomer with a new number is therefore not noticed: see ``records.absent_regulars``.
     """
-    car = F.ltrim(F.lit("0"), F.trim(F.col("car_number").cast("string")))
+    car = F.ltrim(F.trim(F.col("car_number").cast("string")), F.lit("0"))
     rows = drivers.select("season", "round", "session_type", car.alias("car_number"), F.upper("driver").alias("driver"), "full_name", "team").join(formats, ["season", "round"])
     races = rows.where("session_type = 'R'").groupBy("season", "round", "car_number").agg(F.max("driver").alias("expected"))
     judged = (F.col("session_type") == ROOKIE_SESSION) & (F.col("event_format") == ROOKIE_FORMAT)

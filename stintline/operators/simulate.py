@@ -214,3 +214,15 @@ def magic_numbers(standings: DataFrame, rounds_left: int, rules: SimulationRules
     rows = standings.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(second))
     other = F.when(F.col("driver") == F.col("who"), F.col("second")).otherwise(F.col("best"))
     return rows.select("driver", (F.col("points") - (other + rounds_left * rules.max_points_per_round)).alias("magic_number"))
+
+
+def championship(season: DataFrame, constructors: DataFrame) -> dict[str, DataFrame]:
+    """All results of simulated seasons: ``drivers`` and ``constructors`` (with title chance and expected points), and ``points``, each driver's distribution."""
+    points = season.groupBy("driver", F.round(F.col("start_points") + F.col("sim_points"), 6).alias("points")).agg(F.count(F.lit(1)).alias("n"))
+    return {"drivers": title_probability(season), "constructors": constructor_title(season, constructors), "points": points}
+
+
+def championship_summary(results: dict[str, DataFrame]) -> DataFrame:
+    """(entity_type, entity_id, title_prob, expected_points) of drivers and constructors."""
+    rows = lambda df, kind, key: df.select(F.lit(kind).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), "title_prob", "expected_points")
+    return rows(results["drivers"], "driver", "driver").unionByName(rows(results["constructors"], "constructor", "team"))

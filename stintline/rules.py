@@ -33,6 +33,7 @@ SESSIONS = {"conventional": ("FP1", "FP2", "FP3", "Q", "R"), "sprint": ("FP1", "
 PACE_SESSION = {"conventional": "FP2", "sprint": "FP1"}
 
 
+# Defaults of the season's rules and models.
 @dataclass(frozen=True)
 class PaceRules:
     min_lap_s: float = 60.0
@@ -88,8 +89,8 @@ class SimulationRules:
     chaos: ChaosRules = field(default_factory=ChaosRules)
 
     def __post_init__(self) -> None:
-        if self.n_sims < 1:
-            raise ValueError("n_sims must be positive")
+        if self.n_sims < 1000:
+            raise ValueError("n_sims must be 1000 or more")
         if min(self.noise, self.development_sd) < 0:
             raise ValueError("standard deviations must not be negative")
 

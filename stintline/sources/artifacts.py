@@ -135,8 +135,10 @@ class Snapshot:
             raise FileNotFoundError(f"no frame {name} in {self.path}; there are {', '.join(self.frames) or 'none'}")
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    def rebuild(self) -> Snapshot:
-        """Forget a snapshot of a round that is still to come."""
+    def rebuild(self, as_of: str | None = None) -> Snapshot:
+        """Forget a snapshot, to build it anew. With ``as_of`` only that of a round still to come: what was frozen for a past one stays."""
+        if as_of is not None and self.exists and self.metadata.get("cutoff", "") <= as_of:
+            raise FrozenError(f"{self.path} is of a round that is not to come after {as_of}")
         self.folder.delete()
         return self
 
@@ -184,9 +186,17 @@ def snapshot_listing(spark: SparkSession, root: str, season: int, version: str =
     return [r for r in rounds if (s := Snapshot(spark, root, season, r, version)).exists and (s.is_frozen or not frozen)]
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder: for tables that several plans read, as a stored table would be."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def replace_rounds(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Overwrite only the (season, round) partitions that ``rows`` has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "round").parquet(path)
 
 
-__all__ = ["Folder", "FrozenError", "LeakageError", "NotFrozenError", "Predictions", "Snapshot", "replace_rounds", "shared_folder", "snapshot_listing"]
+__all__ = ["Folder", "FrozenError", "LeakageError", "NotFrozenError", "Predictions", "Snapshot", "materialised", "replace_rounds", "shared_folder", "snapshot_listing"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import lookup, points
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def engine_of_team(team: Column) -> Column:
+    return team % 5
+
+
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -29,7 +33,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.year("l_shipdate") - 1994).alias("round"),
         F.col("l_suppkey").alias("driver"),
         team.alias("team"),
-        (team % 5).alias("engine"),
+        engine_of_team(team).alias("engine"),
         F.col("s_nationkey").alias("nation_team"),
         F.concat("l_returnflag", "l_linestatus").alias("stint"),
         F.col("l_linenumber").alias("lap_number"),

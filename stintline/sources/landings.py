@@ -29,7 +29,13 @@ LAP_TYPES = {
     "Driver": "string", "DriverNumber": "string", "Team": "string", "LapNumber": "int", "LapTime": "bigint", "Stint": "int", "Sector1Time": "bigint", "Sector2Time": "bigint",
     "Sector3Time": "bigint", "SpeedI1": "double", "SpeedI2": "double", "SpeedFL": "double", "SpeedST": "double", "Compound": "string", "TyreLife": "int", "PitInTime": "bigint",
     "PitOutTime": "bigint", "TrackStatus": "string", "IsAccurate": "boolean", "Position": "int", "season": "int", "round": "int", "session_type": "string",
+    "test_number": "int", "day": "int",
 }
+RESULT_TYPES = {
+    "season": "int", "round": "int", "session_type": "string", "DriverNumber": "string", "Abbreviation": "string", "FullName": "string", "TeamName": "string",
+    "Position": "double", "GridPosition": "double", "Status": "string", "Points": "double", "Q1": "double", "Q2": "double", "Q3": "double",
+}
+EVENT_TYPES = {"season": "int", "RoundNumber": "int", "EventName": "string", "EventFormat": "string", "EventDate": "date", "Country": "string", "Location": "string"}
 
 
 def documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -103,6 +109,31 @@ def as_pace_laps(laps: DataFrame) -> DataFrame:
     )
 
 
+def session_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of all sessions of the timing source; absent columns are null, NaN too."""
+    return fill_columns(null_nan(spark.read.parquet(path)), RESULT_TYPES)
+
+
+def session_drivers(results: DataFrame) -> DataFrame:
+    """(season, round, session_type, car_number, driver, full_name, team): who took part; rows without a number or an abbreviation are left out."""
+    return results.where(F.col("DriverNumber").isNotNull() & F.col("Abbreviation").isNotNull()).select(
+        "season", "round", "session_type", F.col("DriverNumber").alias("car_number"), F.col("Abbreviation").alias("driver"), F.col("FullName").alias("full_name"), F.col("TeamName").alias("team")
+    )
+
+
+def event_schedule(spark: SparkSession, path: str) -> DataFrame:
+    """(season, round, event_name, event_format, date, country, location) of the timing source; testing (round 0) is left out."""
+    rows = fill_columns(spark.read.parquet(path), EVENT_TYPES).where(F.col("RoundNumber") > 0)
+    return rows.withColumnsRenamed({"RoundNumber": "round", "EventName": "event_name", "EventFormat": "event_format", "EventDate": "date", "Country": "country", "Location": "location"})
+
+
+def testing_laps(laps: DataFrame) -> DataFrame:
+    """Accurate laps of landed testing, with test number and day beside the names that the pace operators use."""
+    return laps.where("test_number is not null and IsAccurate").select(
+        "season", "test_number", "day", F.col("Driver").alias("driver"), F.col("Team").alias("team"), F.col("Stint").cast("string").alias("stint"), F.col("LapNumber").alias("lap_number"), "lap_s"
+    )
+
+
 def pace_session(laps: DataFrame, formats: DataFrame) -> DataFrame:
     """Laps of the session that gives race pace; ``formats`` has (season, round, event_format)."""
     wanted = F.when(F.col("event_format").startswith("sprint"), PACE_SESSION["sprint"]).otherwise(PACE_SESSION["conventional"])
