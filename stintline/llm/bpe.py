@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stintline.llm.common import read, without
 
 #: Characters of text whose words are replayed together, and bytes of words and ids that a task remembers between chunks.
-CHUNK_CHARS, MEMORY_BYTES = 1_000_000, 64 << 20
+CHUNK_CHARS, MEMORY_BYTES = 4_000_000, 128 << 20
 #: Bytes that Python needs for a remembered word besides its characters and ids.
 OVERHEAD = 180
 
