@@ -16,8 +16,12 @@ from stintline.llm.common import cut, read
 SUB, WORDS, FIT_VECTORS, ROUNDS = 2, 16, 20_000, 6
 #: Cosine above which a pair matters; it sets how much more a residual along the vector costs than one across it.
 THRESHOLD = 0.2
-#: Candidates a block and queries a block hold on average, queries scanned at once, vectors reranked for each query and block.
-CANDIDATES, QUERIES, SCAN, RERANK = 8192, 2048, 64, 160
+#: Candidates a cell holds on average and a block at most, cells at most, turns of fitting them.
+CANDIDATES, CELLS, TURNS = 8192, 1024, 10
+#: Vectors of the sample that set how many cells a query visits, and the share of their near neighbours that must lie in those.
+QUERIES, VISITED = 512, 0.98
+#: Queries scanned at once, vectors reranked for each query and block, tasks of the scan at most.
+SCAN, RERANK, TASKS = 64, 160, 4096
 SALTS = 64
 
 
@@ -30,9 +34,10 @@ class Codebook:
     dim: int
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, pairs of subspaces, 256): inner products with every pair of codewords, by two four-bit codes."""
+        """(queries, pairs of subspaces, 256): inner products with every pair of codewords, by two four-bit codes, each query's to a scale of its own."""
         q = _split(queries, self.dim)
-        each = np.einsum("qsd,swd->qsw", q, self.words).astype(np.float32)
+        each = np.einsum("qsd,swd->qsw", q, self.words)
+        each = (each / np.maximum(np.abs(each).max((1, 2), keepdims=True), 1e-300)).astype(np.float32)
         return (each[:, ::2, :, None] + each[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS)
 
 
@@ -92,6 +97,60 @@ def train(x: np.ndarray, seed: int = 3) -> Codebook:
     return Codebook(words, eta, dim)
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a bounded sample teaches: the codebook, the cells' centres, how many cells a query visits, and the scale of components."""
+
+    book: Codebook
+    centres: np.ndarray
+    visits: int
+    scale: float
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector: the nearest centre."""
+        return _nearest(self.centres, x / self.scale)
+
+    def tour(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, visits): the cells whose centres have the largest inner products."""
+        return np.argsort(-(_unit(queries) @ self.centres.T), axis=1, kind="stable")[:, : self.visits]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Each row divided by its largest component, so that no product overflows."""
+    return x / np.abs(x).max(1, keepdims=True)
+
+
+def _nearest(centres: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+
+
+def learn(x: np.ndarray, n_cells: int, scale: float, near: int) -> Index:
+    """Codebook and cells (k-means) of a sample; the visits are the fewest that reach a share VISITED of the ``near`` neighbours within it.
+
+    The vectors that set the visits take no part in the k-means. Neighbours within a sample are
+    farther than those within the whole table, so the share there is no smaller as a rule.
+    """
+    x = x / scale
+    book = train(x)
+    asked, rest = x[:QUERIES], x[QUERIES:]
+    if n_cells == 1 or len(rest) <= n_cells:
+        return Index(book, x[:1], 1, scale)
+    rng = np.random.default_rng(5)
+    centres = rest[rng.choice(len(rest), n_cells, replace=False)]
+    for _ in range(TURNS):
+        home = _nearest(centres, rest)
+        counts = np.bincount(home, minlength=n_cells)
+        total = np.zeros_like(centres)
+        np.add.at(total, home, rest)
+        centres = np.where(counts[:, None] > 0, total / np.maximum(counts, 1)[:, None], centres)
+    home = _nearest(centres, rest)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    near = min(near, len(rest))
+    best = np.argpartition(-(asked @ rest.T), near - 1, axis=1)[:, :near]
+    needed = np.sort(place[np.arange(len(asked))[:, None], home[best]].ravel())
+    return Index(book, centres, int(needed[int(np.ceil(VISITED * len(needed))) - 1]) + 1, scale)
+
+
 def usable(vector: str) -> Column:
     """Not null, not all zero, every component finite."""
     v = f"`{vector}`"
@@ -120,9 +179,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
 
     Nearness is the inner product in double precision, ties go to the smaller key. Equal vectors
     are indexed once with their k + 1 least keys (no more can be among the k nearest), so groups
-    of copies cost nothing and hide nobody. Candidates and queries are dealt into blocks by
-    hash; for each pair of blocks a task scans four-bit tables and reranks the best by the original
-    vectors; the pairs' results meet in one window by query.
+    of copies cost nothing and hide nobody. A vector goes to the cell of its nearest centre, large
+    cells are dealt into blocks by hash, and a query goes to all blocks of the cells it visits. So a
+    vector is shuffled and encoded once; a task holds one block, scans its four-bit tables for the
+    queries that stream past, and reranks the best by the original vectors. The blocks' results meet
+    in one window by query. Cells, visits and codebook come from FIT_VECTORS vectors at most.
 
     * vectors that are null, zero, hold a null or a non-finite component, or differ in length
       from most of the table, and rows without a key, take no part;
@@ -133,7 +194,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")
     )
-    length = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    size = F.max(F.array_max(F.transform("v", F.abs)))
+    length = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), size.alias("most")).orderBy(F.desc("n"), F.desc("d")).first()
     schema = f"query_id bigint, rank int, `{key}` bigint, score double"
     if length is None:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -146,56 +208,95 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     distinct = cut(_bytes(distinct.select("ids", "v"), "ids array<bigint>"))
     sample = distinct.select(F.xxhash64("b").alias("h"), "b").orderBy("h", "b").limit(FIT_VECTORS)
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n_cells = min(CELLS, -(-distinct.count() // CANDIDATES))
+    scale = length.most
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [_rows(pdf["b"], np.float64) for pdf in batches if len(pdf)]
         if parts:
-            book = train(np.concatenate(parts))
-            yield pd.DataFrame({"w": [book.words.ravel().tolist()], "eta": [book.eta]})
-
-    learned = sample.coalesce(1).mapInPandas(learn, "w array<double>, eta double").first()
-    book = Codebook(np.array(learned.w).reshape(-1, WORDS, SUB), learned.eta, dim)
-    shipped = vectors.sparkSession.sparkContext.broadcast(book)  # dim * WORDS doubles
-    asked = rows.where("q").select("id", "v").groupBy("id", "v").agg(F.first(F.lit(1)).alias("one"))
-    asked = cut(_bytes(asked.select("id", "v"), "id bigint"))
-    n_c, n_q = (max(1, -(-x.count() // size)) for x, size in ((distinct, CANDIDATES), (asked, QUERIES)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = distinct.withColumn("c", F.pmod(F.xxhash64("b"), F.lit(n_c)).cast("int")).withColumn("p", every(n_q))
-    right = asked.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("c", every(n_c))
-
-    def pair(some: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        return scan(shipped.value, _rows(some["b"], np.float64), some["ids"].tolist(), _rows(wanted["b"], np.float64), wanted["id"].to_numpy(), k, rerank)
-
-    near = left.groupBy("p", "c").cogroup(right.groupBy("p", "c")).applyInPandas(pair, "query_id bigint, id bigint, score double")
+            found = learn(np.concatenate(parts), n_cells, scale, k)
+            yield pd.DataFrame({"w": [found.book.words.ravel().tolist()], "eta": [found.book.eta], "c": [found.centres.ravel().tolist()], "visits": [found.visits]})
+
+    got = sample.coalesce(1).mapInPandas(fit, "w array<double>, eta double, c array<double>, visits int").first()
+    book = Codebook(np.array(got.w).reshape(-1, WORDS, SUB), got.eta, dim)
+    index = Index(book, np.array(got.c).reshape(-1, dim), got.visits, scale)
+    shipped = vectors.sparkSession.sparkContext.broadcast(index)  # dim * (WORDS + CELLS) doubles at most
+
+    def house(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=shipped.value.home(_rows(pdf["b"], np.float64)))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cells = shipped.value.tour(np.array(pdf["v"].tolist(), np.float64))
+                b = [np.asarray(v, np.float64).tobytes() for v in pdf["v"]]
+                yield pd.DataFrame({"ids": [[i] for i in pdf["id"]], "b": b, "cell": cells.tolist()})
+
+    housed = distinct.mapInPandas(house, "ids array<bigint>, b binary, cell int")
+    asked = rows.where("q").select("id", "v").distinct().mapInPandas(route, "ids array<bigint>, b binary, cell array<int>")
+    facts, blocks = [], 0
+    for cell, n in sorted((r.cell, r.n) for r in housed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()):  # CELLS rows at most
+        facts.append((cell, blocks, -(-n // CANDIDATES)))
+        blocks += facts[-1][2]
+    cells = F.broadcast(vectors.sparkSession.createDataFrame(facts, "cell int, start int, blocks int"))
+    own = F.col("start") + F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("blocks") - 1))
+    held = housed.join(cells, "cell").select(own.alias("block"), F.lit(0).alias("kind"), "ids", "b")
+    sent = asked.withColumn("cell", F.explode("cell")).join(cells, "cell").select(every.alias("block"), F.lit(1).alias("kind"), "ids", "b")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, some, block = None, [], None
+        for pdf in batches:
+            for (number, kind), part in pdf.groupby(["block", "kind"], sort=True):
+                if number != at:
+                    at, some, block = number, [], None
+                if kind == 0:
+                    some.append(part)
+                elif some or block is not None:
+                    if block is None:
+                        block, some = Block(shipped.value, pd.concat(some)), []
+                    yield block.nearest(_rows(part["b"], np.float64), np.array([i[0] for i in part["ids"]]), k, rerank)
+
+    dealt = held.unionByName(sent).repartition(min(TASKS, 4 * blocks), "block").sortWithinPartitions("block", "kind")
+    near = dealt.mapInPandas(scan, "query_id bigint, id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
-def scan(book: Codebook, x: np.ndarray, ids: list, queries: np.ndarray, query_ids: np.ndarray, k: int, rerank: int) -> pd.DataFrame:
-    """The k nearest of a block for each query of a block, as (query_id, id, score)."""
-    codes = encode(book, x)
-    code = (codes[:, ::2] * WORDS + codes[:, 1::2]).astype(np.intp)
-    least = np.array([i[0] for i in ids])
-    keep = min(max(rerank, 2 * k + 2), len(x))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), SCAN):
-        q = queries[at : at + SCAN]
-        table = book.tables(q)
-        rough = np.zeros((len(q), len(x)), np.float32)
-        for s in range(code.shape[1]):
-            rough += np.take(table[:, s], code[:, s], axis=1)
-        best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-        exact = np.einsum("qrd,qd->qr", x[best], q)
-        for n in range(len(q)):
-            own = query_ids[at + n]
-            first = np.lexsort((least[best[n]], -exact[n]))[: k + 1]
-            got = [(i, s) for i, s in ((i, exact[n, f]) for f in first for i in ids[best[n, f]]) if i != own]
-            got.sort(key=lambda y: (-y[1], y[0]))
-            out.append((np.full(len(got[:k]), own), np.array([i for i, _ in got[:k]], np.int64), np.array([s for _, s in got[:k]], np.float64)))
-    a, b, c = (np.concatenate(z) for z in zip(*out))
-    return pd.DataFrame({"query_id": a, "id": b, "score": c})
+class Block:
+    """At most about CANDIDATES vectors with their codes."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame):
+        self.book, self.x, self.ids = index.book, _rows(rows["b"], np.float64), rows["ids"].tolist()
+        codes = encode(index.book, self.x / index.scale)
+        self.code = (codes[:, ::2] * WORDS + codes[:, 1::2]).astype(np.intp)
+        self.least = np.array([i[0] for i in self.ids])
+
+    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, k: int, rerank: int) -> pd.DataFrame:
+        """The k nearest of the block for each query, as (query_id, id, score)."""
+        x, ids, code = self.x, self.ids, self.code
+        keep = min(max(rerank, 2 * k + 2), len(x))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(queries), SCAN):
+            q = queries[at : at + SCAN]
+            table = self.book.tables(_unit(q))
+            rough = np.zeros((len(q), len(x)), np.float32)
+            for s in range(code.shape[1]):
+                rough += np.take(table[:, s], code[:, s], axis=1)
+            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+            exact = np.einsum("qrd,qd->qr", x[best], q)
+            for n in range(len(q)):
+                own = query_ids[at + n]
+                first = np.lexsort((self.least[best[n]], -exact[n]))[: k + 1]
+                got = [(i, s) for i, s in ((i, exact[n, f]) for f in first for i in ids[best[n, f]]) if i != own]
+                got.sort(key=lambda y: (-y[1], y[0]))
+                out.append((np.full(len(got[:k]), own), np.array([i for i, _ in got[:k]], np.int64), np.array([s for _, s in got[:k]], np.float64)))
+        a, b, c = (np.concatenate(z) for z in zip(*out))
+        return pd.DataFrame({"query_id": a, "id": b, "score": c})
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -69,3 +69,41 @@ def test_copies_ties_and_unusable_vectors(spark):
 def test_few_and_none(spark):
     assert run(spark, [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0)]) == {0: [(1, 0.0)]}
     assert run(spark, []) == {} and run(spark, [(0, None, 0)]) == {}
+
+
+def test_registered_query_by_cells_at_two_sizes(spark, monkeypatch):
+    """Recall of the whole query with many cells, and rows sent to blocks that follow the vectors, not their square."""
+    monkeypatch.setattr(ann, "CANDIDATES", 300)
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding]
+        rows = [(i, v) for i, v in rows if np.isfinite(v).all() and v.any()]
+        want, got = exact(rows, 20), {}
+        for r in ann.op8_ann(spark, folder).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got.keys() == want.keys() and all(len(v) == min(20, len(rows) - 1) for v in got.values())
+        hits = sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+        assert hits >= 0.9
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(40, 24)) * 3
+    x = middles[rng.integers(40, size=6000)] + rng.normal(size=(6000, 24)) * 0.3
+    index = ann.learn(x, 40, float(np.abs(x).max()), 20)
+    assert 1 <= index.visits <= 10
+    asked = x[:50]
+    near = np.argsort(-(asked @ x.T), axis=1)[:, :20]
+    home = index.home(x)
+    assert np.mean([home[i] in index.tour(asked)[n] for n in range(50) for i in near[n]]) >= 0.9
+
+
+def test_very_large_and_very_small_vectors(spark):
+    for factor in (1e150, 1e-150):
+        rng = np.random.default_rng(4)
+        x = rng.normal(size=(60, 6)) * factor
+        frame = spark.createDataFrame([(i, v.tolist(), "other") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string")
+        got = {}
+        for r in ann.search(frame, ann.F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = exact(list(enumerate(x)), 20)
+        assert got == {q: [i for i, _ in v] for q, v in want.items()}
