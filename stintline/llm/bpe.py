@@ -5,20 +5,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintline.llm.common import read, without
 
-#: Characters of text whose words are replayed together, and bytes of words and ids that a task remembers between chunks.
-CHUNK_CHARS, MEMORY_BYTES = 4_000_000, 128 << 20
+#: Characters of text, over Arrow batches, whose words are replayed together, and bytes of words and ids that a task remembers between chunks.
+CHUNK_CHARS, MEMORY_BYTES = 8_000_000, 128 << 20
 #: Bytes that Python needs for a remembered word besides its characters and ids.
-OVERHEAD = 180
+OVERHEAD = 200
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,10 +56,15 @@ class MergeReplay:
                     pairs[left << 32 | right] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.memory: dict[str, bytes] = {}
-        self.held = 0
+        self.forget()
         self.shown = {i: str(i) for i in self.bytes_of}
 
+    def forget(self) -> None:
+        """Words are numbered as they first occur; ``pieces`` holds the ids of word number n as bytes."""
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.pieces: list[bytes] = []
+        self.held = 0
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or -1."""
         key = left << 32 | right
@@ -142,21 +151,20 @@ class MergeReplay:
 
     def encode_ids(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
         """Ids (32 bits each) of each text; the words new to this chunk are replayed together."""
-        split = [pattern.findall(t) for t in texts]
         if self.held > MEMORY_BYTES:
-            self.memory, self.held = {}, 0
-        memory, ranks = self.memory, self.ranks
-        new = list({w for words in split for w in words if w not in memory})
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+            self.forget()
+        number, pieces, ranks = self.number, self.pieces, self.ranks
+        split = [array("i", map(number.__getitem__, pattern.findall(t))) for t in texts]
+        raw = [w.encode("utf-8", "surrogatepass") for w in islice(number, len(pieces), None)]
         whole = [ranks.get(b) for b in raw]
         left = [k for k, i in enumerate(whole) if i is None]
         replayed = iter(self.replay([raw[k] for k in left]) if left else [])
-        for w, b, i in zip(new, raw, whole):
-            ids = np.array([i] if i is not None else next(replayed), "<i4").tobytes()
-            memory[w] = ids
+        for b, i in zip(raw, whole):
+            ids = array("i", [i] if i is not None else next(replayed)).tobytes()
+            pieces.append(ids)
             self.held += len(b) + len(ids) + OVERHEAD
         for words in split:
-            yield np.frombuffer(b"".join([memory[w] for w in words]), "<i4")
+            yield np.frombuffer(b"".join(map(pieces.__getitem__, words)), np.intc)
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[list[int]]:
         return (ids.tolist() for ids in self.encode_ids(texts, pattern))
@@ -191,16 +199,12 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(shipped.value)
         splitter = regex.compile(pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= CHUNK_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
+        for held in _chunks(batches, at):
+            texts = [t or "" for batch in held for t in batch.column(at).to_pylist()]
+            results = engine.encode_ids(texts, splitter)
+            for batch in held:
                 counts, ids_out, decoded_out = [], [], []
-                for ids in engine.encode_ids(texts[start:stop], splitter):
+                for ids in islice(results, batch.num_rows):
                     listed = ids.tolist()
                     decoded = engine.decode(listed)
                     counts.append(len(ids))
@@ -212,12 +216,27 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
                     ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids_out), pa.int32()))
                     made = [pa.array(counts, pa.int64()), lists, pa.array(decoded_out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *made], names=[*batch.schema.names, *[n for n, _ in new]])
-                start = stop
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[n for n, _ in new]])
 
     return rows.mapInArrow(work, schema)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of batches, about CHUNK_CHARS characters of text (UTF-8 bytes count) together, and one text at least."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for stop, length in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 1):
+            size += length
+            if size >= CHUNK_CHARS:
+                yield [*held, batch.slice(start, stop - start)]
+                held, size, start = [], 0, stop
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield held
+
+
 _ENGINES: dict[int, MergeReplay] = {}
 
 
