@@ -19,8 +19,8 @@ from stintline.sources.artifacts import Snapshot, materialised, shared_folder
 from stintline.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Simulations of the registered queries (the engine's default is SimulationRules.n_sims).
-RACE_SIMS, SEASON_SIMS, FORECAST_SIMS = 200, 40, 40
+#: Simulations of the registered queries: the fewest that SimulationRules accepts (its default is more). The SQL holds the same number.
+RACE_SIMS = SEASON_SIMS = FORECAST_SIMS = 1000
 SUSPECT_S = 0.5
 LAP_KEYS = ["season", "round", "driver", "stint", "lap_number"]
 _FOUND: dict[str, Query] = {}

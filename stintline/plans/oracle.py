@@ -80,10 +80,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         case when driver % 6 = 0 then 10 when driver % 10 = 1 then 20 else 0 end as penalty_positions, driver % 10 = 1 as pit_lane from standings"""),
     "penalised": (("field",), "select *, mean - penalty_positions * 0.02::DOUBLE * (case when pit_lane then 1.5::DOUBLE else 1.0::DOUBLE end) as eff, avg(mean) over () as field_mean from field"),
     "orders_raw": (("penalised",), f"""select s.sim_id, 'race' as race, driver, eff + -ln(-ln({unit('order', 'sim_id', "'race'", 'driver')})) * 0.5::DOUBLE as speed,
-        {unit('dnf', 'sim_id', "'race'", 'driver')} < dnf as dnf_flag from (select unnest(range(200)) as sim_id) s, penalised"""),
+        {unit('dnf', 'sim_id', "'race'", 'driver')} < dnf as dnf_flag from (select unnest(range(1000)) as sim_id) s, penalised"""),
     "sims": (("orders_raw",), f"""select *, case when dnf_flag then 0.0::DOUBLE else {points_of('pos', RACE_POINTS)} end as points from
         (select *, row_number() over (partition by sim_id, race order by dnf_flag, round(speed, 9) desc, driver) as pos from orders_raw)"""),
-    "chaos_flags": (("penalised",), f"select *, {unit('car', 'sim_id', chr(39) + 'race' + chr(39))} < 0.55 as car, {unit('rain', 'sim_id', chr(39) + 'race' + chr(39))} < 0.1 as rain from (select unnest(range(200)) as sim_id) s, penalised"),
+    "chaos_flags": (("penalised",), f"select *, {unit('car', 'sim_id', chr(39) + 'race' + chr(39))} < 0.55 as car, {unit('rain', 'sim_id', chr(39) + 'race' + chr(39))} < 0.1 as rain from (select unnest(range(1000)) as sim_id) s, penalised"),
     "chaos_raw": (("chaos_flags",), f"""select sim_id, driver, car, rain, (case when rain then field_mean + (eff - field_mean) * 0.65::DOUBLE else eff end)
         + -ln(-ln({unit('order', 'sim_id', "'race'", 'driver')})) * (0.5::DOUBLE * (case when car then 1.35::DOUBLE else 1.0::DOUBLE end) * (case when rain then 1.25::DOUBLE else 1.0::DOUBLE end)) as speed,
         {unit('dnf', 'sim_id', "'race'", 'driver')} < least(greatest(dnf + 0.02::DOUBLE, 0), 1) as dnf_flag from chaos_flags"""),
@@ -91,7 +91,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         (select *, row_number() over (partition by sim_id order by dnf_flag, round(speed, 9) desc, driver) as pos from chaos_raw)"""),
     "races": (("schedule",), "select round, false as is_sprint, round::VARCHAR || 'r' as race from schedule union all select round, true, round::VARCHAR || 's' from schedule where has_sprint"),
     "season_raw": (("races", "field"), f"""select sim_id, race, is_sprint, driver, mean + {normal('post', 'sim_id', 'race', 'driver')} * greatest(sd, 1e-9) + {normal('dev', 'sim_id', 'driver')} * 0.4::DOUBLE
-        + -ln(-ln({unit('order', 'sim_id', 'race', 'driver')})) * 0.5::DOUBLE as speed, {unit('dnf', 'sim_id', 'race', 'driver')} < dnf as dnf_flag from (select unnest(range(40)) as sim_id) s, races, field"""),
+        + -ln(-ln({unit('order', 'sim_id', 'race', 'driver')})) * 0.5::DOUBLE as speed, {unit('dnf', 'sim_id', 'race', 'driver')} < dnf as dnf_flag from (select unnest(range(1000)) as sim_id) s, races, field"""),
     "season": (("season_raw", "standings"), f"""select p.sim_id, p.driver, p.driver // 2 as team, s.position as standing, s.points as start_points, p.sim_points from (
         select sim_id, driver, sum(case when dnf_flag then 0.0::DOUBLE when is_sprint then {points_of('pos', SPRINT_POINTS)} else {points_of('pos', RACE_POINTS)} end) as sim_points
         from (select *, row_number() over (partition by sim_id, race order by dnf_flag, round(speed, 9) desc, driver) as pos from season_raw) group by sim_id, driver) p join standings s on p.driver = s.driver"""),
@@ -99,8 +99,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "win": (("scores",), "select round, driver, e / sum(e) over (partition by round) as p from (select *, exp(score - max(score) over (partition by round)) as e from scores)"),
     "winy": (("win", "results"), "select w.round, w.driver, w.p, coalesce((r.position = 1)::INTEGER, 0) as y from win w left join results r on w.round = r.round and w.driver = r.driver where w.round in (select round from results where position = 1)"),
     "canon_raw": (("scores",), f"""select sim_id, round, driver, row_number() over (partition by sim_id, round order by round(score + -ln(-ln({unit('order', 'sim_id', 'round', 'driver')})) * 0.5::DOUBLE, 9) desc, driver) as pos
-        from (select unnest(range(40)) as sim_id) s, scores"""),
-    "canon": (("canon_raw",), """select g.round, g.driver, p.pos as finish_pos, coalesce(n, 0) / 40.0::DOUBLE as probability from (select distinct round, driver from canon_raw) g
+        from (select unnest(range(1000)) as sim_id) s, scores"""),
+    "canon": (("canon_raw",), """select g.round, g.driver, p.pos as finish_pos, coalesce(n, 0) / 1000.0::DOUBLE as probability from (select distinct round, driver from canon_raw) g
         join (select distinct round, pos from canon_raw) p on g.round = p.round left join (select round, driver, pos, count(*) as n from canon_raw group by 1, 2, 3) c on c.round = g.round and c.driver = g.driver and c.pos = p.pos"""),
     "bins": (("winy",), """select i::INTEGER as bin, i * (1 / 10.0::DOUBLE) as lo, (i + 1) * (1 / 10.0::DOUBLE) as hi from (select unnest(range(10)) as i)"""),
     "pairs": (("winy", "results"), "select p, y from winy where driver in (select driver from results)"),
@@ -230,7 +230,7 @@ def _base() -> dict[str, str]:
         "plackett_luce_orders": q("select sim_id, driver, row_number() over (partition by sim_id order by round(speed, 9) desc, driver)::BIGINT as pos from orders_raw", "orders_raw"),
         "dnf_reorder": q("select sim_id, driver, dnf_flag, pos::BIGINT as pos, (count(*) filter (not dnf_flag) over (partition by sim_id))::BIGINT as n_finishers from sims", "sims"),
         "race_summary": q(summary.format("sims"), "sims"),
-        "finish_distribution": q(f"""select d.driver, p.pos::BIGINT as finish_pos, {rounded('coalesce(n, 0) / 200.0::DOUBLE')} as probability from (select distinct driver from sims) d, (select distinct pos from sims) p
+        "finish_distribution": q(f"""select d.driver, p.pos::BIGINT as finish_pos, {rounded('coalesce(n, 0) / 1000.0::DOUBLE')} as probability from (select distinct driver from sims) d, (select distinct pos from sims) p
             left join (select driver, pos, count(*) as n from sims group by driver, pos) c on c.driver = d.driver and c.pos = p.pos""", "sims"),
         "race_chaos": q(summary.format("chaos_sims"), "chaos_sims"),
         "season_points": q(f"select sim_id, driver, {rounded('sim_points')} as sim_points from season", "season"),
