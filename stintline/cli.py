@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stintline.operators import evaluate, gaps, pace, point_in_time, sessions, simulate, strength
 from stintline.plans import export
-from stintline.plans.model import Replay, StrengthModel, freeze_round, testing_as_pace
+from stintline.plans.model import StrengthModel, freeze_round, testing_as_pace, walk_forward
 from stintline.rules import SIMULATION
 from stintline.sources import landings
 from stintline.sources.artifacts import Folder, Predictions, Snapshot, materialised, replace_rounds
@@ -102,7 +102,7 @@ def freeze_history(season: Season, args) -> None:
         freeze_round(snapshot, guard, schedule, season.features(), season.results(), mapped, tables)
     if not args.no_predict:
         model = StrengthModel(args.n_sims, SIMULATION.seed, testing=_testing(season))
-        out = Replay(season.spark, season.root, season.season, model, guard).run_all(rounds, args.force)
+        out = walk_forward(season.spark, season.root, season.season, model, guard, rounds, force=args.force)
         for round_, result in out.items():
             print(f"round {round_}: {result if isinstance(result, Exception) else 'predicted'}")
 

@@ -10,7 +10,7 @@ from stintline import cli
 from stintline.operators import point_in_time as pit
 from stintline.operators import records
 from stintline.plans import export
-from stintline.plans.model import Model, Replay, Status, StrengthModel, freeze_round
+from stintline.plans.model import Model, StrengthModel, freeze_round, replay_statuses, walk_forward
 from stintline.sources import landings
 from stintline.sources.artifacts import FrozenError, NotFrozenError, Predictions, Snapshot, snapshot_listing
 from stintline.streaming import rounds as streams
@@ -85,17 +85,21 @@ class Counting:
 def test_replay_predicts_once(spark, schedule, tmp_path):
     guard, model = pit.Guard(schedule), Counting()
     assert isinstance(model, Model)
-    replay = Replay(spark, str(tmp_path), 2026, model, guard)
-    assert replay.status(2) is Status.SNAPSHOT_MISSING
+    root = str(tmp_path)
+    status = lambda: replay_statuses(spark, root, 2026, [2]).first()["status"]
+    walk = lambda *rounds, **how: walk_forward(spark, root, 2026, model, guard, rounds, **how)
+    assert status() == "snapshot_missing"
     with pytest.raises(NotFrozenError):
-        replay.run_round(2)
+        walk(2, errors="raise")
+    with pytest.raises(TypeError):
+        walk_forward(spark, root, 2026, object(), guard, [2])
     results = pace_rows(spark, schedule).select("season", "round", "driver")
-    freeze_round(Snapshot(spark, str(tmp_path), 2026, 2), guard, schedule, pace_rows(spark, schedule), results)
-    assert replay.status(2) is Status.PREDICTION_MISSING
-    assert replay.run_round(2).count() == 1 and replay.run_round(2).count() == 1 and model.calls == 1
-    replay.run_round(2, force=True)
-    out = replay.run_all([1, 2])
-    assert model.calls == 2 and replay.status(2) is Status.PREDICTION_FROZEN and isinstance(out[1], NotFrozenError)
+    freeze_round(Snapshot(spark, root, 2026, 2), guard, schedule, pace_rows(spark, schedule), results)
+    assert status() == "prediction_missing"
+    assert walk(2)[2].count() == 1 and walk(2)[2].count() == 1 and model.calls == 1
+    walk(2, force=True)
+    out = walk(2, 1)
+    assert list(out) == [1, 2] and model.calls == 2 and status() == "prediction_frozen" and isinstance(out[1], NotFrozenError)
     stored = Predictions(spark, str(tmp_path), 2026)
     assert stored.listing() == [(2, "pre-fp1")] and stored.load(3) is None and stored.load(2)[1]["model_version"] == "counting"
     with pytest.raises(FrozenError):
