@@ -83,13 +83,18 @@ def bridge_names(people: DataFrame, ids: DataFrame, accents: bool = True) -> Dat
     return joined.select(*people.columns, F.coalesce("__by_last", "__by_tail", "__by_all").alias("id"), rule.alias("rule"))
 
 
-def regular_drivers(session: DataFrame, reference: DataFrame) -> DataFrame:
-    """Add ``is_regular``: false if the car's driver in the reference race is somebody else; an unknown car counts as regular."""
-    ref = reference.select(F.trim(F.col("car").cast("string")).alias("__car"), F.col("driver").alias("__expected")).distinct()
-    joined = session.join(ref, F.trim(F.col("car").cast("string")) == F.col("__car"), "left")
+def regular_drivers(session: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Add ``is_regular``: false if the car's driver in the reference race is somebody else; an unknown car counts as regular.
+
+    ``by`` names columns of both frames that part many sessions, each with its own reference race.
+    """
+    by = by or []
+    ref = reference.select(*by, F.trim(F.col("car").cast("string")).alias("__car"), F.col("driver").alias("__expected")).distinct()
+    joined = session.withColumn("__car", F.trim(F.col("car").cast("string"))).join(ref, [*by, "__car"], "left")
     return joined.withColumn("is_regular", F.coalesce(F.upper("driver") == F.upper("__expected"), F.lit(True))).drop("__car", "__expected")
 
 
-def absent_regulars(session: DataFrame, reference: DataFrame) -> DataFrame:
-    """Drivers of the reference race who are not in the session."""
-    return reference.select("driver").distinct().join(session.select("driver"), "driver", "left_anti")
+def absent_regulars(session: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Drivers of the reference race who are not in the session; ``by`` as in ``regular_drivers``."""
+    keys = [*(by or []), "driver"]
+    return reference.select(*keys).distinct().join(session.select(*keys), keys, "left_anti")

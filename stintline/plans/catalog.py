@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class, team_slug
 from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, sessions, simulate, strength
 from stintline.plans import export, oracle
-from stintline.plans.model import Replay, freeze_round
+from stintline.plans.model import freeze_round, replay_statuses, walk_forward
 from stintline.rules import ChaosRules
 from stintline.sources import bindings as fx
 from stintline.sources import landings
@@ -233,16 +233,15 @@ def penalty_risk(spark, d):
 @registered
 def rookie_flags(spark, d):
     cars = fx.results(spark, d).select("round", F.col("grid").alias("car"), F.col("driver").cast("string").alias("driver"))
-    before = cars.select((F.col("round") + 1).alias("round"), "car", F.col("driver").alias("expected"))
-    return cars.join(before, ["round", "car"], "left").select("round", "car", "driver", F.coalesce(F.col("driver") == F.col("expected"), F.lit(True)).alias("is_regular"))
+    return records.regular_drivers(cars, cars.withColumn("round", F.col("round") + 1), ["round"])
 
 
 @registered
 def absent_regulars(spark, d):
     results = fx.results(spark, d).select("round", "driver")
     last = results.agg(F.max("round").alias("last"))
-    due = results.crossJoin(F.broadcast(last)).where("round < last").select((F.col("round") + 1).alias("round"), "driver").distinct()  # one row
-    return due.join(results, ["round", "driver"], "left_anti")
+    due = results.crossJoin(F.broadcast(last)).where("round < last").select((F.col("round") + 1).alias("round"), "driver")  # one row
+    return records.absent_regulars(results, due, ["round"])
 
 
 @registered
@@ -576,6 +575,29 @@ def streamed_windows(spark, d):
     return rounds.event_windows(spark, d)
 
 
+def _streamed_laps(spark, d):
+    """(folder, path): laps written to a new folder of the shared one, to be read as a stream of files."""
+    folder = f"{shared_folder(spark)}/laps-{uuid.uuid4().hex}"
+    fx.laps(spark, d).write.parquet(f"{folder}/laps")
+    return folder, f"{folder}/laps"
+
+
+@registered
+def streamed_features(spark, d):
+    folder, path = _streamed_laps(spark, d)
+    stream = rounds.lap_stream(spark, path, spark.read.parquet(path).schema)
+    rounds.feature_sink(stream, path, f"{folder}/features", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/features").select(*pace_table(spark, d).columns)
+
+
+@registered
+def streamed_best(spark, d):
+    folder, path = _streamed_laps(spark, d)
+    cutoffs = fx.schedule(spark, d).select("round", F.date_add("first_practice", 180).alias("cutoff"))
+    stream = rounds.lap_stream(spark, path, spark.read.parquet(path).schema)
+    return rounds.drained(rounds.running_best(rounds.guarded(stream, cutoffs)), folder)
+
+
 @registered
 def fuel_corrected_auto(spark, d):
     worn = _long(spark, d).withColumn("tyre_life", F.lit(None).cast("int"))
@@ -684,17 +706,16 @@ def frozen_replay(spark, d):
     snapshots = {r: Snapshot(spark, root, 1998, r) for r in (2, 3, 4)}
     for snapshot in snapshots.values():
         freeze_round(snapshot, guard, calendar, features, features.select("season", "round", "driver"))
-    replay = Replay(spark, root, 1998, _Uniform(), guard)
-    replay.run_all([2, 3], fail_fast=True)
+    forecasts = walk_forward(spark, root, 1998, _Uniform(), guard, [2, 3], errors="raise")
     stored = [s.frame("pace_features").agg(F.count(F.lit(1)).alias("rows"), F.max("round").alias("last_round")).withColumn("round", F.lit(r)) for r, s in snapshots.items()]
-    chances = [replay.predictions.load(r)[0].agg(F.avg("probability").alias("mean_chance")).withColumn("round", F.lit(r)) for r in (2, 3)]
+    chances = [forecasts[r].agg(F.avg("probability").alias("mean_chance")).withColumn("round", F.lit(r)) for r in (2, 3)]
     late = Snapshot(spark, root, 1998, 5).start(guard.cutoff(5))
     try:
         late.write_frame("leaky", fx.laps(spark, d).where("round = 5"))
         refused = False
     except point_in_time.LeakageError:
         refused = True
-    out = replay.statuses(sorted(guard.cutoffs)).join(stored[0].unionByName(stored[1]).unionByName(stored[2]), "round", "left")
+    out = replay_statuses(spark, root, 1998, sorted(guard.cutoffs)).join(stored[0].unionByName(stored[1]).unionByName(stored[2]), "round", "left")
     return out.join(chances[0].unionByName(chances[1]), "round", "left").withColumn("leak_refused", F.lit(refused))
 
 

@@ -320,6 +320,9 @@ def sql() -> dict[str, str]:
         "reliability_features": " union all ".join(f"select '{k}' as kind, {k}::VARCHAR as id, starts, total_dnfs, total_dnf_rate from ({bare(k + '_reliability')})" for k in ("driver", "team", "engine")),
         "team_slugs": "select n_nationkey, case lower(trim(n_name)) when 'united states' then 'usa' when 'united kingdom' then 'britain' else replace(lower(trim(n_name)), ' ', '_') end as slug from nation",
         "default_round": q("""select coalesce(min(round) filter (date >= date '1998-06-30'), max(round))::BIGINT as round from (select round, max(date) as date from laps group by round) where round <= 5""", "laps"),
+        "streamed_features": bare("pace_features"),
+        "streamed_best": q(f"""select l.driver, {rounded('min(l.lap_s)')} as best_lap_s, count(*)::BIGINT as laps from laps l join schedule s on s.season = l.season and s.round = l.round
+            where l.date < s.first_practice + 180 and l.lap_s > 60 group by l.driver""", "laps", "schedule"),
         "frozen_replay": q(f"""select r.round::BIGINT as round, case when r.round in (2, 3) then 'prediction_frozen' when r.round = 4 then 'prediction_missing' else 'snapshot_missing' end as status,
             case when r.round between 2 and 4 then (select count(*) from pace p where p.round < r.round) end as rows, (case when r.round between 2 and 4 then r.round - 1 end)::BIGINT as last_round,
             case when r.round in (2, 3) then (select {rounded('1.0::DOUBLE / count(distinct driver)')} from pace p where p.round < r.round) end as mean_chance, true as leak_refused from (select distinct round from laps) r""", "pace", "laps"),

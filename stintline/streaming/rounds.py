@@ -52,23 +52,23 @@ def guarded(rows: DataFrame, cutoffs: DataFrame, date: str = "date") -> DataFram
     return rows.join(F.broadcast(cutoffs) if cutoffs.count() <= 10_000 else cutoffs, "round").where(as_date(F.col(date)) < F.col("cutoff")).drop("cutoff")
 
 
-def event_windows(spark: SparkSession, sf_dir: str, width: str = "6 hours") -> DataFrame:
-    """(window_start, event_type, n, total) of the events table read as a stream of files, until none is left.
-
-    The state is the windows; each batch overwrites the result table in the shared checkpoint
-    folder with what is known so far.
-    """
-    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    counted = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    rows = counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+def drained(totals: DataFrame, folder: str) -> DataFrame:
+    """A streaming aggregate's table once all its files are read; each batch overwrites ``folder``'s result with what is known so far."""
     query = (
-        rows.writeStream.outputMode("complete")
+        totals.writeStream.outputMode("complete")
         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result"))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/result")
+    return totals.sparkSession.read.parquet(f"{folder}/result")
+
+
+def event_windows(spark: SparkSession, sf_dir: str, width: str = "6 hours") -> DataFrame:
+    """(window_start, event_type, n, total) of the events table read as a stream of files, until none is left; the state is the windows."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    counted = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    rows = counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+    return drained(rows, f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}")
