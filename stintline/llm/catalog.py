@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stintline.llm import ann, bpe, html_extract, langid, line_dedup, mixing, quality, sharding, simhash, url_filter
+from stintline.llm import ann, audit, bpe, html_extract, langid, line_dedup, mixing, quality, runs, sharding, simhash, url_filter
 
 
 def queries():
@@ -17,8 +17,10 @@ def queries():
         "op8_ann": ann.op8_ann,
         "op9_mixing": mixing.op9_mixing,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_runs": runs.op11_runs,
+        "op12_audit": audit.op12_audit,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_sharding": sharding.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_sharding": sharding.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op12_audit": audit.OP12_SQL}

@@ -46,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, so any store that Spark reads will do."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns an operator is about to add; an input column of that name gives way."""
     taken = {n.lower() for n in names}

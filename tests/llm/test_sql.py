@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     answer = con.sql(catalog.oracle_sql()[name])
     df = catalog.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(answer.columns)
