@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stintline.llm import ann, audit, bpe, html_extract, langid, line_dedup, mixing, quality, runs, sharding, simhash, url_filter
+from stintline.llm import ann, audit, bpe, html_extract, langid, line_dedup, mixing, quality, runs, sharding, simhash, substrings, url_filter
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_runs": runs.op11_runs,
         "op12_audit": audit.op12_audit,
+        "op13_substrings": substrings.op13_substrings,
     }
 
 
