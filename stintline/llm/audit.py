@@ -1,7 +1,7 @@
 """Filter interaction audit: what each of five filters removes in every order, kept current as files arrive.
 
-The documents are read as a stream of files until none is left. Per distinct text a keyed state holds the least id seen; when a
-smaller id arrives, the earlier holder's mask is retracted from its part's counters and counted again as a copy.
+The documents are read as a stream of files until none is left. Texts are dealt by hash into buckets, whose keyed state holds the least id
+seen of each text; when a smaller id arrives, the earlier holder's mask is retracted from its part's counters and counted again as a copy.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,6 +24,8 @@ COPY = 1 << FILTERS.index("E")
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 #: Micro-batches that the files of a table are read in, about. The result does not depend on it.
 BATCHES = 4
+#: Documents for each bucket of texts. A batch reads and writes the state of every bucket that it has rows of.
+BUCKET_ROWS = 2000
 #: Stands for a null id: it comes after all others, and null ids are not smaller than each other.
 LAST = (1 << 63) - 1
 STATES = "spark.sql.streaming.stateStore.providerClass"
@@ -43,70 +46,71 @@ def failures(text: Column) -> Column:
     return bits + F.when(100 * capitals.cast("bigint") > 2 * F.length(text).cast("bigint"), 4).otherwise(0) + F.when(text.rlike("[#$%&*|]"), 8).otherwise(0)
 
 
+FACTS = ["text_key", "mask", "least", "first", "part", "good", "toxic"]
+
+
 def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Before the shuffle: of each text a batch's least id with its rows, and how many others there are, by part and labels. A hot text sends few rows."""
     for rows in batches:
         if len(rows):
-            least = rows.groupby("text_key")["id"].transform("min")
-            rows = rows.assign(least=least, first=rows["id"] == least)
-            keys = ["text_key", "mask", "least", "first", "part", "good", "toxic"]
-            yield rows.groupby(keys, sort=False).size().rename("n").reset_index()[[*keys, "n"]]
+            rows = rows.assign(least=rows.groupby("text_key")["id"].transform("min"))
+            rows["first"] = rows["id"] == rows["least"]
+            yield rows.groupby(["bucket", *FACTS], sort=False).size().rename("n").reset_index()
 
 
-COMBINED = "text_key binary, mask int, least bigint, first boolean, part string, good int, toxic int, n bigint"
-HELD = "least bigint, parts array<string>, goods array<int>, toxics array<int>, counts array<bigint>"
+COMBINED = "bucket int, text_key binary, mask int, least bigint, first boolean, part string, good int, toxic int, n bigint"
+HELD = "texts binary"
+OUT = ["part", "mask", "good", "toxic"]
+
+
+def merged(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """What a bucket holds after new rows, and the changes to the counters.
+
+    Held is one row for each text's least id, part and labels (repeated rows share an id) with their count. Where a smaller id is new, what was held
+    is taken back as an original and counted as a copy; new rows count as originals if theirs is the least id, else as copies.
+    """
+    rows = pd.concat([held.assign(first=True, old=True), new.assign(old=False)], ignore_index=True)
+    least = rows.groupby("text_key")["least"].transform("min")
+    stays = rows["first"] & (rows["least"] == least)
+    fresh, lost = rows[~rows["old"]], rows[rows["old"] & ~stays]
+    fresh = fresh.assign(mask=fresh["mask"] | (~stays[~rows["old"]]).astype("int64") * COPY)
+    changes = pd.concat([fresh, lost.assign(n=-lost["n"]), lost.assign(mask=lost["mask"] | COPY)])
+    kept = rows[stays].groupby(["text_key", "mask", "least", "part", "good", "toxic"], sort=False)["n"].sum().reset_index()
+    return kept, changes.groupby(OUT, sort=False)["n"].sum().reset_index()
 
 
 def retracting(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes to the counters that a text's new rows make. The state is the least id and its rows by part and labels (repeated rows share an id)."""
-    rows = [r for batch in batches for r in batch[["mask", "least", "first", "part", "good", "toxic", "n"]].itertuples(index=False, name=None)]
-    if not rows:
-        return
-    mask = int(rows[0][0])
-    held: dict[tuple[str, int, int], int] = {}
-    before = None
-    if state.exists:
-        before, parts, goods, toxics, counts = state.get
-        held = dict(zip(zip(parts, goods, toxics), counts))
-    least = min([r[1] for r in rows] + ([before] if before is not None else []))
-    changes: dict[tuple[str, int, int, int], int] = {}
-
-    def change(part: str, bits: int, good: int, toxic: int, n: int) -> None:
-        changes[part, bits, good, toxic] = changes.get((part, bits, good, toxic), 0) + int(n)
-
-    if before is not None and before > least:
-        for (part, good, toxic), n in held.items():
-            change(part, mask, good, toxic, -n)
-            change(part, mask | COPY, good, toxic, n)
-        held = {}
-    for _, own, first, part, good, toxic, n in rows:
-        if first and own == least:
-            change(part, mask, good, toxic, n)
-            held[part, good, toxic] = held.get((part, good, toxic), 0) + int(n)
-        else:
-            change(part, mask | COPY, good, toxic, n)
-    state.update((int(least), [k[0] for k in held], [int(k[1]) for k in held], [int(k[2]) for k in held], list(held.values())))
-    cells = [(*k, n) for k, n in changes.items() if n]
-    if cells:
-        yield pd.DataFrame(cells, columns=["part", "mask", "good", "toxic", "n"])
-
-
-def changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Changes to the counters that new rows of a bucket of texts make; the state is the bucket's texts with their least ids, as an Arrow table."""
+    new = pd.concat(list(batches), ignore_index=True).drop(columns="bucket")
+    if len(new):
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new.iloc[:0].drop(columns="first")
+        kept, changes = merged(held, new)
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(kept, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        yield changes[changes["n"] != 0]
+
+
+def changes(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Changes to the counters of (part, failed filters, labels), from a stream of documents (doc_id, text, source) and a table of labels (doc_id, quality, toxic)."""
+    key = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
     flags = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = docs.select(
         F.col("doc_id").alias("__doc"),
         F.coalesce("doc_id", F.lit(LAST)).cast("bigint").alias("id"),
         F.coalesce("source", F.lit("")).alias("part"),
-        F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key"),
+        key.alias("text_key"),
         failures(F.col("text")).cast("int").alias("mask"),
     )
     labelled = rows.join(flags, F.col("__doc") == F.col("__id"), "left").select(
-        "text_key", "mask", "id", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
-    )
+        F.pmod(F.xxhash64("text_key"), F.lit(buckets)).cast("int").alias("bucket"),
+        "text_key", "mask", "id", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
+    )
     return (
         labelled.mapInPandas(combined, COMBINED)
-        .groupBy("text_key")
+        .groupBy("bucket")
         .applyInPandasWithState(retracting, CELL, HELD, "update", GroupStateTimeout.NoTimeout)
     )
 
@@ -119,7 +123,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     """
     folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     table = spark.read.parquet(path)
-    files = len(table.inputFiles())
+    files, buckets = len(table.inputFiles()), max(1, table.count() // BUCKET_ROWS)  # the count comes from the files' footers
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{path}*")
 
     def store(batch: DataFrame, number: int) -> None:
@@ -129,7 +133,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     before = spark.conf.get(STATES, None)
     spark.conf.set(STATES, ROCKS)
     try:
-        query = changes(stream, labels).writeStream.outputMode("update").foreachBatch(store)
+        query = changes(stream, labels, buckets).writeStream.outputMode("update").foreachBatch(store)
         running = query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     finally:
         spark.conf.unset(STATES) if before is None else spark.conf.set(STATES, before)

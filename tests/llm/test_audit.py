@@ -24,7 +24,7 @@ def check(spark, folder, batches):
     return rows
 
 
-def test_smaller_ids_arrive_later(spark, make, tmp_path):
+def test_smaller_ids_arrive_later(spark, make, tmp_path, monkeypatch):
     """Three files, ids going down: each batch retracts what the last one held."""
     texts = {0: LONG, 1: "short $", 2: LONG + " Capital", 3: None, 4: "A B C D " * 100}
     for file, low in enumerate((60, 30, 0)):
@@ -32,33 +32,30 @@ def test_smaller_ids_arrive_later(spark, make, tmp_path):
         make(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, i % 2, i % 3 % 2) for i in range(0, 90, 2)] + [(1, 1, 1), (1, 0, None), (None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(audit, "BUCKET_ROWS", 30)
     assert check(spark, tmp_path, 3) == check(spark, tmp_path, 1)
 
 
-def test_changes_retract(spark):
-    """The keyed function by itself: a smaller id takes its predecessor's count back."""
+def test_changes_retract():
+    """The keyed function by itself: a smaller id takes its predecessor's count back; texts of a bucket keep apart."""
     import pandas as pd
 
     class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
+        exists, get = False, None
 
         def update(self, value):
-            self.exists, self.value = True, value
+            self.exists, self.get = True, value
 
     def feed(rows):
-        batch = pd.DataFrame(rows, columns=["mask", "least", "first", "part", "good", "toxic", "n"])
-        return sorted(r for df in audit.retracting((b"k",), iter([batch]), state) for r in df.itertuples(index=False, name=None))
+        batch = pd.DataFrame([(0, *r) for r in rows], columns=["bucket", *audit.FACTS, "n"])
+        return sorted(r for df in audit.retracting((0,), iter([batch]), state) for r in df[["part", "mask", "good", "toxic", "n"]].itertuples(index=False, name=None))
 
     state = State()
-    assert feed([(1, 50, True, "a", 1, 0, 2), (1, 50, False, "b", 0, 0, 3)]) == [("a", 1, 1, 0, 2), ("b", 17, 0, 0, 3)]
-    assert feed([(1, 60, True, "a", 0, 0, 1)]) == [("a", 17, 0, 0, 1)]
-    assert feed([(1, 50, True, "b", 0, 0, 1)]) == [("b", 1, 0, 0, 1)]
-    assert feed([(1, 7, True, "c", 0, 1, 1)]) == [("a", 1, 1, 0, -2), ("a", 17, 1, 0, 2), ("b", 1, 0, 0, -1), ("b", 17, 0, 0, 1), ("c", 1, 0, 1, 1)]
-    assert state.value[:2] == (7, ["c"])
+    assert feed([(b"k", 1, 50, True, "a", 1, 0, 2), (b"k", 1, 50, False, "b", 0, 0, 3), (b"j", 8, 60, True, "a", 0, 0, 1)]) == [("a", 1, 1, 0, 2), ("a", 8, 0, 0, 1), ("b", 17, 0, 0, 3)]
+    assert feed([(b"k", 1, 60, True, "a", 0, 0, 1)]) == [("a", 17, 0, 0, 1)]
+    assert feed([(b"k", 1, 50, True, "b", 0, 0, 1)]) == [("b", 1, 0, 0, 1)]
+    assert feed([(b"k", 1, 7, True, "c", 0, 1, 1)]) == [("a", 1, 1, 0, -2), ("a", 17, 1, 0, 2), ("b", 1, 0, 0, -1), ("b", 17, 0, 0, 1), ("c", 1, 0, 1, 1)]
+    assert feed([(b"k", 1, 7, True, "c", 0, 1, 1), (b"j", 8, 60, True, "a", 0, 0, 1)]) == [("a", 8, 0, 0, 1), ("c", 1, 0, 1, 1)]
 
 
 def test_awkward_rows(spark, awkward, tmp_path):
