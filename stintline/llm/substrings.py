@@ -18,7 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from stintline.llm.common import read, without
 
-WINDOW, PROBE = 50, 12
+#: Shorter probes make longer pieces, but more of them are shared by chance: at 12 bytes twice as many as at 20.
+WINDOW, PROBE = 50, 20
 #: Bytes of text in a block of documents and in a bucket, about; bytes of pieces that are sorted at once; strings in a piece at most.
 BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, LONGEST = 8 << 20, 16 << 20, 1 << 20, 64
 #: Pieces of one minimizer beyond which its strings are dealt one by one, by a hash of the whole string.
@@ -28,7 +29,7 @@ LAST = (1 << 63) - 1
 #: Suffixes are compared to this depth, at least the longest piece.
 DEPTH = 128
 SEGMENT = 16
-C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+C1, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,22 +50,17 @@ class Suffixes:
         values = rng.integers(1 << 63, size=256, dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[self.data] * np.multiply.accumulate(powers), dtype=np.uint64)])
         self.back = np.multiply.accumulate(back)
-        self.hashes: dict[int, np.ndarray] = {}
 
-    def hashes_of(self, size: int) -> np.ndarray:
-        """The hash of the ``size`` bytes from each place on, from the prefix hashes."""
-        if size not in self.hashes:
-            whole = (self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size]
-            self.hashes[size] = np.concatenate([whole, np.zeros(size, np.uint64)])
-        return self.hashes[size]
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The hash of ``size`` bytes from each place on, from the prefix hashes."""
+        return (self.sums[at + size] - self.sums[at]) * self.back[at]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes from a and b have in common, DEPTH - 1 at most, by binary search over the length."""
         a, b, start = a.copy(), b.copy(), a
         size = DEPTH // 2
         while size:
-            hashes = self.hashes_of(size)
-            step = (hashes[a] == hashes[b]) * size
+            step = (self.hashes(a, size) == self.hashes(b, size)) * size
             a += step
             b += step
             size //= 2
@@ -74,53 +70,60 @@ class Suffixes:
         same = self.common(a, b)
         return self.data[a + same] <= self.data[b + same]
 
-    def sort(self, starts: np.ndarray) -> np.ndarray:
-        """The starts in the order of their suffixes: a mergesort whose merges run in step, each cut into segments of equal output.
+    def sort(self, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Numbers of the starts by group, and in a group by suffix: a mergesort of each group, whose merges run in step, cut into segments of equal output.
 
-        Where a segment begins in the two runs is found by binary search, so all segments of a level are merged at once.
+        Where a segment begins in its two runs is found by binary search, so all segments of a level, of all groups, are merged at once.
         """
-        order, n, width = starts.astype(np.int64), len(starts), 1
-        while width < n:
+        order = np.argsort(groups, kind="stable")
+        new = np.concatenate([[True], np.diff(groups[order]) != 0]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        first, size = np.repeat(first, size), np.repeat(size, size)
+        local, stop, width = np.arange(len(order)) - first, first + size, 1
+        while width < size.max(initial=0):
             piece = min(2 * width, SEGMENT)
-            begin = np.arange(0, n, piece)
-            low = begin - begin % (2 * width)
-            middle, high = np.minimum(low + width, n), np.minimum(low + 2 * width, n)
-            diagonal, size_a, size_b = begin - low, middle - low, high - middle
-            x, upper = np.maximum(0, diagonal - size_b), np.minimum(diagonal, size_a)
-            while len(open_ := np.flatnonzero(x < upper)):
-                half = (x[open_] + upper[open_]) // 2
-                right = self.not_above(order[low[open_] + half], order[middle[open_] + diagonal[open_] - 1 - half])
-                x[open_] = np.where(right, half + 1, x[open_])
-                upper[open_] = np.where(right, upper[open_], half)
-            y, out = diagonal - x, np.empty_like(order)
+            begin = np.flatnonzero((local % piece == 0) & (size > width))
+            low = begin - local[begin] % (2 * width)
+            middle, high = np.minimum(low + width, stop[begin]), np.minimum(low + 2 * width, stop[begin])
+            x, y, out = np.maximum(0, begin - low - (high - middle)), np.minimum(begin - low, middle - low), order.copy()
+            while len(open_ := np.flatnonzero(x < y)):
+                half = (x[open_] + y[open_]) // 2
+                before = self.not_above(starts[order[low[open_] + half]], starts[order[(middle + begin - low)[open_] - 1 - half]])
+                x[open_] = np.where(before, half + 1, x[open_])
+                y[open_] = np.where(before, y[open_], half)
+            a, b = low + x, middle + begin - low - x
             for step in range(piece):
-                alive = begin + step < n
+                alive = begin + step < high
                 if not alive.all():
-                    begin, low, middle, size_a, size_b, x, y = (v[alive] for v in (begin, low, middle, size_a, size_b, x, y))
-                a, b = order[np.minimum(low + x, n - 1)], order[np.minimum(middle + y, n - 1)]
-                first = (x < size_a) & ((y >= size_b) | self.not_above(a, b))
-                out[begin + step] = np.where(first, a, b)
-                x += first
-                y += ~first
+                    begin, middle, high, a, b = (v[alive] for v in (begin, middle, high, a, b))
+                one, other = order[np.minimum(a, middle - 1)], order[np.minimum(b, len(order) - 1)]
+                both = np.flatnonzero((a < middle) & (b < high))
+                take = b >= high
+                take[both] = self.not_above(starts[one[both]], starts[other[both]])
+                out[begin + step] = np.where(take, one, other)
+                a += take
+                b += ~take
             order, width = out, 2 * width
         return order
 
 
-def equal_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def equal_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """A number for each (start, size), equal where the strings are: neighbours in suffix order whose common extension reaches the size.
 
-    Strings that only their hashes hold to be equal are seen when the bytes are compared; then all is done again with other hashes.
+    Equal strings are in one group. Strings that only their hashes hold to be equal are seen when the bytes are compared; then all
+    is done again with other hashes.
     """
     classes = np.zeros(len(starts), np.int64)
     seed = 0
     while len(starts):
         suffixes = Suffixes(data, seed)
-        rank = np.empty(len(suffixes.data), np.int64)
-        ordered = suffixes.sort(np.unique(starts))
-        rank[ordered] = np.arange(len(ordered))
-        order = np.lexsort((rank[starts], sizes))
+        order = suffixes.sort(starts, groups)
+        order = order[np.lexsort((sizes[order], groups[order]))]  # stable, so strings of one size stay in suffix order
         a, b, size = starts[order[:-1]], starts[order[1:]], sizes[order[1:]]
-        same = (sizes[order[:-1]] == size) & (suffixes.common(a, b) >= size)
+        same = (sizes[order[:-1]] == size) & (groups[order[:-1]] == groups[order[1:]])
+        near = np.flatnonzero(same)
+        same[near] = suffixes.common(a[near], b[near]) >= size[near]
         a, b, size = a[same], b[same], size[same]
         longest = int(sizes.max())
         shared = np.lib.stride_tricks.sliding_window_view(suffixes.data, longest)
@@ -151,10 +154,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def minimizers(data: np.ndarray) -> np.ndarray:
     """For each place the least hash of a PROBE-byte string within the WINDOW bytes from there on."""
     n = len(data) - PROBE + 1
-    padded = np.ascontiguousarray(data)
-    low = np.ndarray((n,), "<u8", padded, strides=(1,)).astype(np.uint64)
-    high = np.ndarray((n,), "<u4", padded, offset=8, strides=(1,)).astype(np.uint64)
-    least = mixed((low * C1) ^ (high * C2))
+    padded, hashes = np.ascontiguousarray(data), np.zeros(n, np.uint64)
+    for offset in range(0, PROBE, 4):
+        hashes = (hashes ^ np.ndarray((n,), "<u4", padded, offset=offset, strides=(1,))) * C1
+        hashes ^= hashes >> np.uint64(31)
+    least = mixed(hashes)
     span, wanted = 1, WINDOW - PROBE + 1
     while 2 * span <= wanted:
         least = np.minimum(least[:-span], least[span:])
@@ -290,7 +294,7 @@ def send_pieces(docs: pa.Table, flags: pa.Table, doc_id: str, text: str, buckets
     home = docs.column(HOME)[0].as_py()
     block = Block(docs, doc_id, text)
     block.pieces()
-    keys, bucket, place, _ = block.keys(buckets)
+    keys, bucket, place, several = block.keys(buckets)
     shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     of_bucket = dict(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()))
     for b, x, y in _groups(bucket):
@@ -306,9 +310,12 @@ def send_pieces(docs: pa.Table, flags: pa.Table, doc_id: str, text: str, buckets
     key = np.concatenate([block.key[whole], np.repeat(block.key[single], block.strings[single])])
     at, length, ids = first[number] + start, strings + WINDOW - 1, block.ids[number]
     later = np.zeros(len(at), bool)
-    for part in _slices(key, length):
+    here = np.flatnonzero(np.concatenate([several[place[whole]], np.repeat(several[place[single]], block.strings[single])]))
+    for part in _slices(key[here], length[here]):
+        part = here[part]
         ends = np.cumsum(length[part])
-        later[part] = ids[part] > least_of(equal_classes(data[ragged(at[part], length[part])], ends - length[part], length[part]), ids[part])
+        classes = equal_classes(data[ragged(at[part], length[part])], ends - length[part], length[part], key[part])
+        later[part] = ids[part] > least_of(classes, ids[part])
     by_self = mixed(_string_hashes(data, at[len(whole) :])) % np.uint64(buckets)
     to = np.concatenate([bucket[place[whole]], by_self.astype(np.int64)])
     stay, gone, out = np.flatnonzero(~later), np.flatnonzero(later), []
@@ -340,7 +347,18 @@ def _slices(key: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
         yield order[x:y]
 
 
-def later_strings(data: np.ndarray, starts: np.ndarray, strings: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _of_two(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places whose value stands with two different ids."""
+    order = np.argsort(values)
+    if not len(order):
+        return order
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
+    ordered = ids[order]
+    several = np.minimum.reduceat(ordered, cuts) < np.maximum.reduceat(ordered, cuts)
+    return np.sort(order[np.repeat(several, np.diff(np.append(cuts, len(order))))])
+
+
+def later_strings(data: np.ndarray, starts: np.ndarray, strings: np.ndarray, ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first string, strings) of the stretches whose every string a piece with a smaller id has too.
 
     Equal pieces first: of those only the least document's are looked at further. Then the strings of different pieces: those whose hash
@@ -348,18 +366,15 @@ def later_strings(data: np.ndarray, starts: np.ndarray, strings: np.ndarray, ids
     """
     sizes = strings + WINDOW - 1
     piece = np.arange(len(starts))
-    classes = equal_classes(data, starts, sizes)
+    classes = equal_classes(data, starts, sizes, key)
     least = least_of(classes, ids)
     late = ids > least
     _, stand_in = np.unique(np.where(late, -1, classes), return_index=True)
     stand_in = stand_in[~late[stand_in]]
     at = ragged(starts[stand_in], strings[stand_in])
     owner = np.repeat(stand_in, strings[stand_in])
-    hashes = Suffixes(data).hashes_of(WINDOW)[at]
-    by_hash = np.unique(hashes, return_inverse=True)[1]
-    low, high = least_of(by_hash, ids[owner]), -least_of(by_hash, -ids[owner])
-    asked = np.flatnonzero(low < high)
-    same = equal_classes(data, at[asked], np.full(len(asked), WINDOW))
+    asked = _of_two(Suffixes(data).hashes(at, WINDOW), ids[owner])
+    same = equal_classes(data, at[asked], np.full(len(asked), WINDOW), key[owner[asked]])
     taken = np.zeros(len(at), bool)
     taken[asked] = ids[owner[asked]] > least_of(same, ids[owner[asked]])
     edge = np.diff(np.concatenate([[0], taken.astype(np.int8), [0]]))
@@ -401,7 +416,7 @@ def sort_bucket(table: pa.Table) -> pa.Table:
         found = []
         for part in _slices(key, sizes):
             ends = np.cumsum(sizes[part])
-            piece, first, count = later_strings(data[ragged(at[part], sizes[part])], ends - sizes[part], strings[part], ids[part])
+            piece, first, count = later_strings(data[ragged(at[part], sizes[part])], ends - sizes[part], strings[part], ids[part], key[part])
             found.append((part[piece], first, count))
         piece, first, count = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(home[piece], kind="stable")

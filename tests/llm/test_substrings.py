@@ -44,10 +44,11 @@ def got(df):
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=400))
 def test_suffix_sort(x):
     data = np.array(x, np.uint8)
-    order = sub.Suffixes(data).sort(np.arange(len(x)))
     padded = bytes(x) + b"\0" * sub.DEPTH
-    cut = [padded[i : i + sub.DEPTH - 1] for i in order]
-    assert sorted(order.tolist()) == list(range(len(x))) and all(a <= b for a, b in zip(cut, cut[1:]))
+    for groups in (np.zeros(len(x), np.int64), np.arange(len(x)) % 3, np.arange(len(x)) // 7 * np.array([1, 5])[np.arange(len(x)) // 60 % 2]):
+        order = sub.Suffixes(data).sort(np.arange(len(x)), groups)
+        cut = [(groups[i], padded[i : i + sub.DEPTH - 1]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(x))) and all(a <= b for a, b in zip(cut, cut[1:]))
 
 
 @settings(max_examples=60, deadline=None)
@@ -55,7 +56,7 @@ def test_suffix_sort(x):
 def test_equal_classes(x, cuts):
     data = np.array(x, np.uint8)
     cuts = [(min(s, len(x) - 113 if len(x) > 113 else 0), n) for s, n in cuts]
-    found = sub.equal_classes(data, np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts]))
+    found = sub.equal_classes(data, np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts]), np.zeros(len(cuts), np.int64))
     strings = [bytes(x[s : s + n]) for s, n in cuts]
     for i, a in enumerate(strings):
         for j, b in enumerate(strings):
@@ -75,7 +76,7 @@ def test_false_hashes_are_seen(monkeypatch):
 
     monkeypatch.setattr(sub.Suffixes, "__init__", noted)
     data = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
-    assert len(set(sub.equal_classes(data, np.arange(100), np.full(100, 50)).tolist())) == 100
+    assert len(set(sub.equal_classes(data, np.arange(100), np.full(100, 50), np.zeros(100)).tolist())) == 100
     assert seeds == [0, 1]
 
 
