@@ -96,8 +96,8 @@ def freeze_history(season: Season, args) -> None:
     mapped = season.session_map() if season.has("session_map") else None
     for round_ in rounds:
         snapshot = Snapshot(season.spark, season.root, season.season, round_)
-        if args.rebuild:
-            snapshot.rebuild(args.rebuild)
+        if args.rebuild and (args.round is not None or not snapshot.is_past(args.rebuild)):
+            snapshot.rebuild(args.rebuild)  # over a season past rounds keep theirs; asked for alone, one is refused
         tables = {f"{kind}_standings": season.standings(kind, round_ - 1) for kind in ("drivers", "constructors") if round_ > 1 and season.has(f"landing/{kind}")}
         freeze_round(snapshot, guard, schedule, season.features(), season.results(), mapped, tables)
     if not args.no_predict:
@@ -137,7 +137,8 @@ def simulate_championship(season: Season, args) -> None:
     people = season.identities(drivers.select(F.col("driver").alias("id")))
     # a driver's chance is the driver's own strength and the team's
     total = strength.total_strength(of("driver", "driver"), of("team", "team"), people.select("driver", "team"))
-    known = evaluate.bridged(total, people).groupBy("driver").agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"))
+    # of several names of one driver the strongest row counts, whole
+    known = evaluate.bridged(total, people).groupBy("driver").agg(F.max_by(F.struct("mean", "sd"), F.struct("mean", "sd")).alias("row")).select("driver", "row.*")
     teams = season.results().where(F.col("round") <= args.as_of_round).groupBy("driver").agg(F.max_by("team", "round").alias("team"))
     left = season.schedule().where(F.col("round") > args.as_of_round)
     run = simulate.simulate_season(season.spark, simulate.season_field(drivers, known, teams=teams), left, args.n_sims, seed=args.seed)
@@ -179,25 +180,33 @@ def evaluate_season(season: Season, args) -> None:
 
 
 def export_json(season: Season, args) -> None:
+    """The page's documents, each a file of its own JSON."""
     forecast, folder = _forecasts(season), Folder(season.spark, season.path("export"))
-    folder.write("schedule.json", {"document": export.schedule_document(season.schedule(), args.as_of).first().document})
-    written = {"season": season.season, "has_predictions": forecast is not None, "has_championship": False, "has_evaluation": season.has(f"reports/{season.season}/summary")}
+    folder.write("schedule.json", export.schedule_document(season.schedule(), args.as_of).first().document)
+    written = {"season": season.season, "updated_at": args.as_of, "has_predictions": forecast is not None, "has_championship": False, "has_evaluation": season.has(f"reports/{season.season}/summary")}
+    available = season.spark.createDataFrame([], "round int, cutoff string")
     if forecast is not None:
         rows = export.driver_rows(forecast, season.results())
         for row in export.predictions_document(rows).toLocalIterator():  # a season's rounds
-            folder.write(f"predictions_{row['round']:02d}.json", {"document": row.document})
+            folder.write(f"predictions_{row['round']:02d}.json", row.document)
         available = forecast.select("round", "cutoff").distinct()
-        written["default_round"] = export.default_round(available, season.schedule(), args.as_of).first()["round"]
         written["default_cutoffs"] = {str(r["round"]): r.cutoff for r in export.default_cutoffs(available).collect()}  # a season's rounds
+    written["default_round"] = export.default_round(available, season.schedule(), args.as_of).first()["round"]
     titles = Folder(season.spark, f"{season.path('championship')}/{season.season}").names()
     if titles:
-        summary = season.spark.read.parquet(f"{season.path('championship')}/{season.season}/{titles[-1]}/summary").where("entity_type = 'driver'")
-        value = lambda c: summary.select("entity_id", F.col(c).alias("value"))
-        folder.write("championship.json", {"document": export.championship_document(value("title_prob"), value("expected_points"), int(titles[-1][-2:])).first().document})
-        written["has_championship"] = True
+        as_of_round = int(titles[-1][-2:])
+        summary = season.spark.read.parquet(f"{season.path('championship')}/{season.season}/{titles[-1]}/summary")
+        drivers = summary.where("entity_type = 'driver'")
+        people = season.identities(drivers.select(F.col("entity_id").alias("id"))).where("id is not null")
+        people = people.groupBy(F.col("id").alias("entity_id")).agg(F.max(F.element_at(F.split(F.trim("full_name"), r"\s+"), -1)).alias("display_name"))
+        teams = season.results().where(F.col("round") <= as_of_round).groupBy(F.col("driver").alias("entity_id")).agg(F.max_by("team", "round").alias("team"))
+        named = drivers.join(people, "entity_id", "left").join(teams, "entity_id", "left").withColumn("display_name", F.coalesce("display_name", "entity_id"))
+        document = export.championship_document(named, summary.where("entity_type = 'constructor'"), as_of_round).first().document
+        folder.write(f"championship_{season.season}.json", document)
+        written |= {"has_championship": True, "championship_round": as_of_round}
     if written["has_evaluation"]:
         read = lambda name: season.spark.read.parquet(f"{season.path('reports')}/{season.season}/{name}")
-        folder.write("evaluation.json", {"document": export.evaluation_document(read("summary"), read("per_round")).first().document})
+        folder.write("evaluation.json", export.evaluation_document(read("summary"), read("per_round")).first().document)
     folder.write("manifest.json", written)
 
 

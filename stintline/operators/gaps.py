@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import require
+from stintline.operators.strength import named_team
 from stintline.rules import PACE
 
 
@@ -41,11 +42,12 @@ def flag_suspects(
     return pace.withColumns({"long_run_suspect": slower("long_run_pace_s", long_run_s), "quali_suspect": slower("quali_pace_s", quali_s)})
 
 
-def fill_teams(features: DataFrame, key: str = "driver", order: str = "round", column: str = "team") -> DataFrame:
-    """A missing team is the driver's last known one, else the next known one."""
-    along = Window.partitionBy(key).orderBy(order)
-    before = F.last(column, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+def fill_teams(features: DataFrame, key: str = "driver", order: tuple[str, ...] = ("season", "round"), column: str = "team") -> DataFrame:
+    """A missing or blank team is the driver's last known one in calendar order, else the next known one. A frame of one season needs no season."""
+    along = Window.partitionBy(key).orderBy(*[c for c in order if c in features.columns])
+    known = F.when(named_team(F.col(column)), F.col(column))
+    before = F.last(known, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(known, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
     return features.withColumn(column, F.coalesce(before, after))
 
 

@@ -8,10 +8,12 @@ sums all work within that dealing.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintline.functions.random import gumbel, normal, uniform
+from stintline.functions.random import gumbel, normal, spawn, uniform, uniforms, words
 from stintline.functions.scalars import points
 from stintline.rules import RACE_POINTS, SIMULATION, SPRINT_POINTS, ChaosRules, SimulationRules
 
@@ -54,12 +56,38 @@ def simulations(spark: SparkSession, n_sims: int) -> DataFrame:
     return spark.range(n_sims).withColumnRenamed("id", "sim_id").repartition(tasks, "sim_id")
 
 
-def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_races: int, n_sims: int) -> DataFrame:
-    """Every simulation x race x driver. Fields and calendars are small; they are sent to all tasks only if they are."""
+def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_races: int, n_sims: int, season_seed: int | None = None) -> DataFrame:
+    """Every simulation x race x driver. Fields and calendars are small; they are sent to all tasks only if they are.
+
+    With ``season_seed`` what a driver draws once a season is drawn before races multiply the rows.
+    """
     hint = F.broadcast if entrants * n_races <= SMALL_ROWS else (lambda x: x)
+    if season_seed is not None:
+        return _season_draws(simulations(spark, n_sims).crossJoin(hint(field)), season_seed).crossJoin(hint(races))
     return simulations(spark, n_sims).crossJoin(hint(races.crossJoin(hint(field))))
 
 
+#: Streams of the counter-based engine.
+RACE_STREAM, SEASON_STREAM, CHAOS_STREAM = 0, 1, 2
+
+
+def _season_draws(rows: DataFrame, seed: int) -> DataFrame:
+    """Two uniforms for each simulation and driver, for the whole season; before races multiply the rows."""
+    counter = [F.col("sim_id"), F.lit(0), *words(F.col("driver"), dict(rows.dtypes)["driver"])]
+    return uniforms(rows, spawn(seed, SEASON_STREAM), counter, ["__dev1", "__dev2", "__dev3", "__dev4"]).drop("__dev3", "__dev4")
+
+
+def _race_draws(rows: DataFrame, seed: int, chaos: bool, develop: bool) -> DataFrame:
+    """Four uniforms for each simulation, race and driver, from one block; two more for each race under chaos."""
+    if develop and "__dev1" not in rows.columns:
+        rows = _season_draws(rows, seed)
+    if chaos:
+        block = [F.col("sim_id"), F.col("race_no"), F.lit(0), F.lit(0)]
+        rows = uniforms(rows, spawn(seed, CHAOS_STREAM), block, ["__car", "__rain", "__c3", "__c4"]).drop("__c3", "__c4")
+    counter = [F.col("sim_id"), F.col("race_no"), *words(F.col("driver"), dict(rows.dtypes)["driver"])]
+    return uniforms(rows, spawn(seed, RACE_STREAM), counter, ["__order", "__dnf", "__post1", "__post2"])
+
+
 def race_orders(
     rows: DataFrame, rules: SimulationRules = SIMULATION, seed: int | None = None, chaos: ChaosRules | None = None, sample: bool = False, develop: bool = False, engine: str = "xxhash64"
 ) -> DataFrame:
@@ -69,10 +97,15 @@ def race_orders(
     order among themselves, and score nothing. ``sample`` draws each strength from its posterior,
     ``develop`` adds one offset a simulation and driver for the whole season. ``chaos`` draws a safety
     car and rain for each simulation and race: both widen the noise, rain pulls strengths
-    towards the field's mean, and everybody retires a little more often.
+    towards the field's mean, and everybody retires a little more often. The engine ``philox`` also needs ``race_no``,
+    a number of 32 bits for each race.
     """
     seed = rules.seed if seed is None else seed
-    u = lambda what, *key: uniform(F.lit(seed), F.lit(what), *[F.col(k) for k in key], engine=engine)
+    if engine == "philox":
+        rows = _race_draws(rows, seed, chaos is not None, develop)
+        u = lambda what, *key: F.col(f"__{what}")
+    else:
+        u = lambda what, *key: uniform(F.lit(seed), F.lit(what), *[F.col(k) for k in key], engine=engine)
     mean, noise, dnf = F.col("mean"), F.lit(rules.noise), F.coalesce(F.col("dnf"), F.lit(rules.default_dnf))
     if chaos is not None:
         car, rain = u("car", "sim_id", "race") < chaos.safety_car, u("rain", "sim_id", "race") < chaos.rain
@@ -88,7 +121,8 @@ def race_orders(
         {"speed": mean + gumbel(u("order", "sim_id", "race", "driver")) * noise, "dnf_flag": u("dnf", "sim_id", "race", "driver") < dnf}
     )
     order = Window.partitionBy("sim_id", "race").orderBy("dnf_flag", F.round("speed", 9).desc(), "driver")
-    placed = raced.withColumn("pos", F.row_number().over(order))
+    drawn = [c for c in raced.columns if c.startswith("__")]
+    placed = raced.drop(*drawn).withColumn("pos", F.row_number().over(order))
     return placed.withColumn("points", score(F.col("pos"), F.col("dnf_flag"), F.col("is_sprint")))
 
 
@@ -103,7 +137,7 @@ def with_field_mean(field: DataFrame) -> DataFrame:
 
 
 def one_race(spark: SparkSession, name: str = "race", is_sprint: bool = False) -> DataFrame:
-    return spark.range(1).select(F.lit(name).alias("race"), F.lit(is_sprint).alias("is_sprint"))
+    return spark.range(1).select(F.lit(name).alias("race"), F.lit(crc32(name.encode())).cast("bigint").alias("race_no"), F.lit(is_sprint).alias("is_sprint"))
 
 
 def simulate_race(
@@ -143,10 +177,11 @@ def finish_distribution(orders: DataFrame) -> DataFrame:
 
 
 def races_of(schedule: DataFrame) -> DataFrame:
-    """(race, round, is_sprint): a race a round, and before it a sprint where the round has one."""
+    """(race, race_no, round, is_sprint): a race a round, and before it a sprint where the round has one."""
     kinds = F.when(F.col("has_sprint"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     rows = schedule.select("round", F.explode(kinds).alias("is_sprint"))
-    return rows.withColumn("race", F.concat(F.col("round").cast("string"), F.when(F.col("is_sprint"), "s").otherwise("r")))
+    number = F.col("round").cast("bigint") * 2 + F.col("is_sprint").cast("bigint")
+    return rows.withColumns({"race": F.concat(F.col("round").cast("string"), F.when(F.col("is_sprint"), "s").otherwise("r")), "race_no": number})
 
 
 def season_points(orders: DataFrame, *facts: str) -> DataFrame:
@@ -182,7 +217,8 @@ def simulate_season(
         hint = F.broadcast if facts.n <= SMALL_ROWS else (lambda x: x)
         known = field.select("driver", "team", "standing", "start_points", F.lit(0.0).alias("sim_points"))
         return simulations(spark, n_sims).crossJoin(hint(known))
-    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races, n_races, n_sims)
+    by_counter = (rules.seed if seed is None else seed) if engine == "philox" and develop else None
+    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races, n_races, n_sims, by_counter)
     orders = race_orders(rows, rules, seed, chaos, sample, develop, engine)
     return season_points(orders, "team", "standing", "start_points")
 

@@ -38,7 +38,7 @@ def clean_signal(pace: DataFrame, signal: str, by_season: bool = False, outlier_
     return drop_suspects(cleaned, column, flag).where(F.col(column).isNotNull() & named_team(F.col("team")))
 
 
-def _standard_error(std: Column, n: Column) -> Column:
+def standard_error(std: Column, n: Column) -> Column:
     return F.when(n >= 2, F.greatest(std / F.sqrt(n), F.lit(STRENGTH.min_sd))).otherwise(STRENGTH.wide_sd)
 
 
@@ -52,7 +52,7 @@ def driver_strengths(pace: DataFrame, signal: str = "quali", min_rounds: int = 1
     per = per.where(F.col("n_obs") >= min_rounds)
     centre = per.agg(F.avg("mean").alias("centre"))
     return per.crossJoin(F.broadcast(centre)).select(  # one row
-        "driver", (F.col("mean") - F.col("centre")).alias("mean"), _standard_error(F.col("std"), F.col("n_obs")).alias("sd"), "n_obs"
+        "driver", (F.col("mean") - F.col("centre")).alias("mean"), standard_error(F.col("std"), F.col("n_obs")).alias("sd"), "n_obs"
     )
 
 
@@ -65,21 +65,21 @@ def team_strengths(pace: DataFrame, signal: str = "quali", by_season: bool = Fal
     centre = rounds.groupBy(*field).agg(F.avg("pace").alias("centre"))
     rounds = rounds.join(F.broadcast(centre), field).withColumn("speed", F.col("centre") - F.col("pace"))  # one row a round
     per = rounds.groupBy("team").agg(F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std"), F.count(F.lit(1)).alias("n_obs"))
-    per = per.select("team", "mean", _standard_error(F.col("std"), F.col("n_obs")).alias("sd"), "n_obs")
+    per = per.select("team", "mean", standard_error(F.col("std"), F.col("n_obs")).alias("sd"), "n_obs")
     return per.withColumn("engine", F.lit(None).cast("string")) if engine_of is None else per.join(engine_of, "team", "left")
 
 
-def engine_strengths(teams: DataFrame) -> DataFrame:
-    """(engine, mean, sd, n_teams): means weighted by observations; teams without an engine are left out."""
-    rows = teams.where(F.col("engine").isNotNull())
+def engine_strengths(teams: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, engine, mean, sd, n_teams): means weighted by observations; teams without an engine are left out."""
+    rows, keys = teams.where(F.col("engine").isNotNull()), [*by, "engine"]
     weight = F.col("n_obs").cast("double")
-    means = rows.groupBy("engine").agg(
+    means = rows.groupBy(*keys).agg(
         F.try_divide(F.sum(weight * F.col("mean")), F.sum(weight)).alias("centre"), F.sum(weight).alias("w"), F.max(weight).alias("most"), F.count(F.lit(1)).alias("n_teams")
     )
-    spread = rows.join(means.select("engine", "centre"), "engine").groupBy("engine").agg(F.sum(weight * F.pow(F.col("mean") - F.col("centre"), 2)).alias("ss"))
+    spread = rows.join(means.select(*keys, "centre"), keys).groupBy(*keys).agg(F.sum(weight * F.pow(F.col("mean") - F.col("centre"), 2)).alias("ss"))
     wide = F.sqrt(F.col("ss") / F.col("w")) / F.sqrt(F.col("w") / F.col("most"))
     sd = F.when((F.col("w") > 0) & (F.col("n_teams") >= 2), F.greatest(wide, F.lit(STRENGTH.min_sd))).otherwise(STRENGTH.wide_sd)
-    return means.join(spread, "engine").select("engine", F.coalesce("centre", F.lit(0.0)).alias("mean"), sd.alias("sd"), "n_teams")
+    return means.join(spread, keys).select(*keys, F.coalesce("centre", F.lit(0.0)).alias("mean"), sd.alias("sd"), "n_teams")
 
 
 def strength_long(drivers: DataFrame, teams: DataFrame, engines: DataFrame, as_of_round: int) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class, team_slug
-from stintline.operators import evaluate, gaps, pace, penalties, point_in_time, records, reliability, sessions, simulate, strength
+from stintline.operators import asof, evaluate, gaps, moments, pace, penalties, point_in_time, records, reliability, sessions, simulate, strength
 from stintline.plans import export, oracle
 from stintline.plans.model import freeze_round, replay_statuses, walk_forward
-from stintline.rules import ChaosRules
+from stintline.rules import STRENGTH, ChaosRules
 from stintline.sources import bindings as fx
 from stintline.sources import landings
 from stintline.sources.artifacts import Snapshot, materialised, shared_folder
-from stintline.streaming import rounds
+from stintline.streaming import rounds, strengths
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Simulations of the registered queries: the fewest that SimulationRules accepts (its default is more). The SQL holds the same number.
@@ -26,21 +26,26 @@ LAP_KEYS = ["season", "round", "driver", "stint", "lap_number"]
 _FOUND: dict[str, Query] = {}
 
 
-def registered(build: Query) -> Query:
+def registered(build: Query, places: int = 8) -> Query:
     """Register a query; its floats come rounded to eight places, its integers long, its dates as text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tidy(build(spark, sf_dir))
+        return tidy(build(spark, sf_dir), places)
 
     _FOUND[build.__name__] = run
     return run
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def registered_to(places: int) -> Callable[[Query], Query]:
+    """For means over a few rounds, which are often exact ties at any number of places: other places, and ties moved by NUDGE, in SQL too."""
+    return lambda build: registered(build, places)
+
+
+def tidy(df: DataFrame, places: int = 8) -> DataFrame:
     def one(name: str, kind: str):
         c = F.col(name)
         if kind in ("double", "float"):
-            return F.round(c, 8) + F.lit(0.0)
+            return F.round(c if places == 8 else c + F.lit(oracle.NUDGE), places) + F.lit(0.0)
         if kind in ("int", "smallint", "tinyint"):
             return c.cast("bigint")
         return c.cast("string") if kind in ("date", "timestamp") else c
@@ -187,6 +192,13 @@ def strength_long(spark, d):
     return strength.strength_long(fits["driver"], fits["team"], fits["engine"], 7)
 
 
+@registered_to(10)
+def strength_walk(spark, d):
+    """Strengths as of every round, from one plan over the stored features."""
+    flagged = _flagged(spark, d)
+    return moments.strengths_by_round(materialised(moments.round_moments(flagged, "race")), engine_of=_engine_of(flagged))
+
+
 @registered
 def driver_total_strength(spark, d):
     flagged = _flagged(spark, d)
@@ -344,7 +356,7 @@ def _season(spark, d):
     standings = fx.standings(spark, d)
     teams = standings.select("driver", F.floor(F.col("driver") / 2).alias("team"))
     field = simulate.season_field(standings, entrants.select("driver", "mean", "sd"), entrants.select("driver", "dnf"), teams)
-    return simulate.simulate_season(spark, field, fx.schedule(spark, d), SEASON_SIMS, engine="md5", most=None)
+    return simulate.simulate_season(spark, field, fx.schedule(spark, d), SEASON_SIMS, engine="philox", most=None)
 
 
 @registered
@@ -400,7 +412,7 @@ def brier_topk(spark, d):
 @registered
 def brier_full(spark, d):
     # every driver and place occurs, so the grid's size is known from the cells that did; the others add nothing to the sum
-    return evaluate.brier_full(forecasts(spark, d, zeros=False), fx.results(spark, d))
+    return evaluate.brier_full(materialised(forecasts(spark, d, zeros=False)), fx.results(spark, d))
 
 
 @registered
@@ -456,6 +468,19 @@ def leakage_violations(spark, d):
     return point_in_time.leaks(fx.laps(spark, d).select("season", "round", "date"), cutoffs, ["season", "round"])
 
 
+@registered
+def known_at_cutoffs(spark, d):
+    """Each driver's last team, lap and place in a round before every round's cutoff."""
+    laps = fx.laps(spark, d)
+    raced = laps.groupBy("season", "round", "driver").agg(F.max("date").alias("date"), F.min("lap_s").alias("best"))
+    place = raced.select("driver", "date", F.floor(F.col("best") * 10).cast("bigint").alias("standing"))
+    told = laps.select("driver", "date", F.when((F.col("order_key") % 5) != 0, F.col("team")).alias("team"), F.round("lap_s", 6).alias("lap_s"))
+    facts = told.unionByName(place, allowMissingColumns=True)
+    cutoffs = point_in_time.round_cutoffs(fx.schedule(spark, d))
+    asks = laps.select("driver").distinct().crossJoin(simulate.small(cutoffs))  # a calendar, its size checked
+    return asof.known_as_of(asks, facts, ["driver"], ["team", "lap_s", "standing"])
+
+
 @registered
 def prior_rounds_snapshot(spark, d):
     return point_in_time.before_round(pace_table(spark, d), fx.schedule(spark, d), 5).select("season", "round", "driver", "quali_pace_s", "date")
@@ -598,6 +623,30 @@ def streamed_best(spark, d):
     return rounds.drained(rounds.running_best(rounds.guarded(stream, cutoffs)), folder)
 
 
+def _followed(spark, d):
+    """(folder, engines): features with missing teams, as three files that cut across rounds and teams, late rounds first, followed by the streams."""
+    folder = f"{shared_folder(spark)}/strengths-{uuid.uuid4().hex}"
+    table = pace_table(spark, d).withColumn("team", F.when((F.col("driver") + F.col("round")) % 3 != 0, F.col("team")))
+    table.write.parquet(f"{folder}/all")
+    features = spark.read.parquet(f"{folder}/all")
+    part = F.when(F.col("round") >= 6, 0).when(F.col("driver") % 4 < 2, 1).otherwise(2)
+    limits = features.groupBy("round").agg((F.min("long_run_pace_s") + F.lit(STRENGTH.long_run_outlier_s)).alias("most"))
+    for k in range(3):
+        features.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/features")
+        strengths.follow(spark, f"{folder}/features", folder, "long_run_pace_s", limits, SUSPECT_S)  # each time a new start from the checkpoint
+    return folder
+
+
+@registered
+def streamed_teams(spark, d):
+    return strengths.filled_teams(spark, _followed(spark, d)).withColumn("driver", F.col("driver").cast("bigint")).withColumn("team", F.col("team").cast("bigint"))
+
+
+@registered_to(10)
+def streamed_strengths(spark, d):
+    return moments.strengths_by_round(materialised(strengths.streamed_moments(spark, _followed(spark, d))))
+
+
 @registered
 def fuel_corrected_auto(spark, d):
     worn = _long(spark, d).withColumn("tyre_life", F.lit(None).cast("int"))
@@ -682,8 +731,11 @@ def team_slugs(spark, d):
 
 @registered
 def default_round(spark, d):
-    calendar = fx.schedule(spark, d)
-    return export.default_round(calendar.where("round <= 5").select("round"), calendar, "1998-06-30")
+    """Before all rounds, between two, after all, and in the weekend of a round without a forecast."""
+    calendar = materialised(fx.schedule(spark, d))
+    weekend = calendar.where("round = 6").agg(F.date_sub(F.max("date"), 3).cast("string")).first()[0]
+    found = [export.default_round(calendar.where("round <= 5").select("round"), calendar, day).withColumn("as_of", F.lit(day)) for day in ("1990-01-01", "1998-06-30", "2050-01-01", weekend)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 class _Uniform:

@@ -36,6 +36,10 @@ def with_meta(rows: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+#: Days before a race from which its forecast is shown (a fixed value).
+WEEKEND_DAYS = 4
+
+
 def results_lookup(first: DataFrame, fallback: DataFrame) -> DataFrame:
     """All rows of the first source, and those of the fallback for rounds that the first lacks."""
     return first.unionByName(fallback.join(first.select("round").distinct(), "round", "left_anti"))
@@ -48,10 +52,18 @@ def default_cutoffs(available: DataFrame) -> DataFrame:
 
 
 def default_round(available: DataFrame, schedule: DataFrame, as_of: str) -> DataFrame:
-    """(round): the one a page opens with: the next race that has a forecast, else the last round that has one."""
-    rounds = available.select("round").distinct().join(schedule.select("round", "date"), "round")
-    coming = F.when(F.col("date") >= F.lit(as_of).cast("date"), F.col("round"))
-    return rounds.agg(F.coalesce(F.min(coming), F.max("round")).alias("round"))
+    """(round): the one a page opens with; null if there is none.
+
+    It is the first round whose race is at most WEEKEND_DAYS ahead or one day past, with a forecast or not; else the last completed round (its race on ``as_of`` or
+    before) that has a forecast; else the next one that has.
+    """
+    day = F.lit(as_of).cast("date")
+    rounds = schedule.select("round", "date").join(available.select("round", F.lit(True).alias("known")).distinct(), "round", "left")
+    ahead, order = F.datediff("date", day), F.struct("date", "round")
+    first = lambda test: F.min_by("round", F.when(test, order))
+    weekend = first(ahead.between(-1, WEEKEND_DAYS))
+    past = F.max_by("round", F.when(F.col("known") & (ahead <= 0), order))
+    return rounds.agg(F.coalesce(weekend, past, first(F.col("known") & (ahead > 0))).alias("round"))
 
 
 def predictions_document(rows: DataFrame) -> DataFrame:
@@ -66,21 +78,30 @@ def predictions_document(rows: DataFrame) -> DataFrame:
     return per.groupBy("round").agg(F.to_json(F.struct(F.col("round"), cutoffs.alias("cutoffs"))).alias("document"))
 
 
-def championship_document(titles: DataFrame, expected: DataFrame, as_of_round: int) -> DataFrame:
-    """One row: the title chances and expected points of a season, each from the highest down."""
+def championship_document(drivers: DataFrame, constructors: DataFrame, as_of_round: int) -> DataFrame:
+    """One row: a season's title chances and expected points, each from the highest down.
+
+    ``drivers`` has (entity_id, title_prob, expected_points, display_name, team), ``constructors`` (entity_id, title_prob).
+    """
 
-    def ordered(df: DataFrame, name: str) -> DataFrame:
-        rows = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("o"), "entity_id", "value")))
-        return df.agg(F.transform(rows, lambda r: F.struct(r["entity_id"].alias("entity_id"), r["value"].alias("value"))).alias(name))
+    def ordered(df: DataFrame, value: str, name: str, *more: str) -> DataFrame:
+        rows = F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("o"), "entity_id", F.col(value).alias("value"), *more)))
+        return df.agg(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in ("entity_id", "value", *more)])).alias(name))
 
-    both = ordered(titles, "title_probs").crossJoin(F.broadcast(ordered(expected, "expected_points")))  # one row each
-    return both.select(F.to_json(F.struct(F.lit(as_of_round).alias("as_of_round"), "title_probs", "expected_points")).alias("document"))
+    lists = [
+        ordered(drivers, "title_prob", "driver_title_probs", "display_name", "team"),
+        ordered(constructors, "title_prob", "constructor_title_probs"),
+        ordered(drivers, "expected_points", "driver_expected_points"),
+    ]
+    whole = lists[0].crossJoin(F.broadcast(lists[1])).crossJoin(F.broadcast(lists[2]))  # one row each
+    return whole.select(F.to_json(F.struct(F.lit(as_of_round).alias("as_of_round"), *[f.columns[0] for f in lists])).alias("document"))
 
 
 def schedule_document(schedule: DataFrame, as_of: str) -> DataFrame:
     done = F.col("date") <= F.lit(as_of).cast("date")
-    rows = F.sort_array(F.collect_list(F.struct("round", F.col("date").cast("string").alias("date"), "has_sprint", done.alias("completed"))))
-    return schedule.agg(F.to_json(F.struct(rows.alias("rounds"))).alias("document"))
+    names = [c for c in ("race_name", "circuit_id", "circuit_name") if c in schedule.columns]
+    rows = F.sort_array(F.collect_list(F.struct("round", *names, F.col("date").cast("string").alias("date"), "has_sprint", done.alias("completed"))))
+    return schedule.agg(F.to_json(F.struct(F.max("season").alias("season"), F.count(F.lit(1)).alias("n_rounds"), rows.alias("rounds"))).alias("document"))
 
 
 def evaluation_document(summary: DataFrame, per_round: DataFrame) -> DataFrame:

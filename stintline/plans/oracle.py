@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
+from stintline.functions.random import PHILOX_MULTIPLIERS, PHILOX_ROUNDS, PHILOX_WEYL, WORD
 from stintline.rules import COMPONENT_LIVES, COMPONENTS, INCIDENT, MECHANICAL, PRIORS, RACE_POINTS, SPRINT_POINTS
 
 STINT = "partition by season, round, driver, stint"
 
 
-def rounded(x: str) -> str:
-    return f"(round({x}, 8) + 0.0::DOUBLE)"
+def latest(column: str) -> str:
+    """The last known value by date; of one day the one with the greatest values, nulls first."""
+    return f"arg_max({column}, (date, coalesce(team, -1), coalesce(lap_s, -1), coalesce(standing, -1))) filter ({column} is not null)"
+
+
+#: Added before rounding to other than eight places: sums in another order differ by some 1e-15, which breaks exact ties.
+NUDGE = 3e-11
+
+
+def rounded(x: str, places: int = 8) -> str:
+    return f"(round({x if places == 8 else f'{x} + {NUDGE}::DOUBLE'}, {places}) + 0.0::DOUBLE)"
 
 
 def points_of(pos: str, table: dict[int, int]) -> str:
@@ -24,6 +36,32 @@ def normal(what: str, *key: str) -> str:
     return f"(sqrt(-2 * ln({unit(what + '1', *key)})) * cos(2 * pi() * {unit(what + '2', *key)}))"
 
 
+def counter(c0: str, c1: str, driver: str) -> str:
+    """The words of a block: simulation, race, and the two halves of the driver's number."""
+    return f"({c0})::UBIGINT as w0, ({c1})::UBIGINT as w1, ({driver})::UBIGINT & 4294967295 as w2, ({driver})::UBIGINT >> 32 as w3"
+
+
+def blocks(rows: str, keep: str, stream: int, seed: int = 42) -> str:
+    """Rows whose words w0 to w3 went through the rounds of Philox 4x32, as nested selects."""
+    k0, k1 = seed, stream
+    for _ in range(PHILOX_ROUNDS):
+        (m0, m1), low = PHILOX_MULTIPLIERS, "& 4294967295"
+        rows = (
+            f"select {keep}, xor(xor((w2 * {m1}::UBIGINT) >> 32, w1), {k0}::UBIGINT) as w0, (w2 * {m1}::UBIGINT) {low} as w1, "
+            f"xor(xor((w0 * {m0}::UBIGINT) >> 32, w3), {k1}::UBIGINT) as w2, (w0 * {m0}::UBIGINT) {low} as w3 from ({rows})"
+        )
+        k0, k1 = (k0 + PHILOX_WEYL[0]) & WORD, (k1 + PHILOX_WEYL[1]) & WORD
+    return rows
+
+
+def unit_of(word: str) -> str:
+    return f"(({word} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def normal_of(a: str, b: str) -> str:
+    return f"(sqrt(-2 * ln({unit_of(a)})) * cos(2 * pi() * {unit_of(b)}))"
+
+
 def status_kind(s: str) -> str:
     low = f"trim(lower({s}))"
     return (
@@ -37,6 +75,7 @@ def beta(k: str, n: str, kind: str) -> str:
     return rounded(f"({k} + {a}::DOUBLE) / ({n} + {a + b}::DOUBLE)")
 
 
+SD = "case when count(*) >= 2 then greatest(stddev_samp(speed) / sqrt(count(*)), 0.01::DOUBLE) else 2.0::DOUBLE end"
 #: name: (relations it uses, SQL)
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "laps": ((), """select year(l_shipdate) as season, year(l_shipdate) - 1994 as round, l_suppkey as driver, l_suppkey // 2 as team, (l_suppkey // 2) % 5 as engine,
@@ -67,6 +106,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "engine_mean": (("team_strength", "engine_of"), "select engine, sum(n_obs * mean) / sum(n_obs) as centre, sum(n_obs) as w, max(n_obs) as most, count(*) as n_teams from team_strength join engine_of using (team) group by engine"),
     "engine_strength": (("engine_mean",), """select e.engine, any_value(e.centre) as mean, case when any_value(e.n_teams) >= 2 then greatest(sqrt(sum(t.n_obs * pow(t.mean - e.centre, 2)) / any_value(e.w)) / sqrt(any_value(e.w) / any_value(e.most)), 0.01::DOUBLE)
         else 2.0::DOUBLE end as sd, any_value(e.n_teams) as n_teams from engine_mean e join engine_of o on e.engine = o.engine join team_strength t on t.team = o.team group by e.engine"""),
+    "signal_rounds": (("signal",), "select distinct round as as_of_round from signal where x is not null"),
+    "walk_driver": (("within", "signal_rounds"), f"select as_of_round, driver, avg(speed) as mean, {SD} as sd, count(*) as n_obs from within join signal_rounds on round <= as_of_round group by as_of_round, driver"),
+    "walk_team": (("team_speed", "signal_rounds"), f"select as_of_round, team, avg(speed) as mean, {SD} as sd, count(*) as n_obs from team_speed join signal_rounds on round <= as_of_round group by as_of_round, team"),
     "raw_results": ((), "select (day(ts) - 1) // 3 + 1 as round, user_id as driver, round(sum(value), 6) as v, arg_max(event_type, event_id) as event_type from events group by 1, 2"),
     "results": (("raw_results",), f"""select 2024 as season, round, driver, driver % 11 as team, driver % 11 % 4 as engine, v,
         case event_type when 'error' then 'Engine' when 'signup' then 'Collision damage' when 'click' then '+1 Lap' when 'purchase' then 'Retired' when 'view' then 'Finished' end as status,
@@ -90,8 +132,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "chaos_sims": (("chaos_raw",), f"""select *, case when dnf_flag then 0.0::DOUBLE else {points_of('pos', RACE_POINTS)} end as points from
         (select *, row_number() over (partition by sim_id order by dnf_flag, round(speed, 9) desc, driver) as pos from chaos_raw)"""),
     "races": (("schedule",), "select round, false as is_sprint, round::VARCHAR || 'r' as race from schedule union all select round, true, round::VARCHAR || 's' from schedule where has_sprint"),
-    "season_raw": (("races", "field"), f"""select sim_id, race, is_sprint, driver, mean + {normal('post', 'sim_id', 'race', 'driver')} * greatest(sd, 1e-9) + {normal('dev', 'sim_id', 'driver')} * 0.4::DOUBLE
-        + -ln(-ln({unit('order', 'sim_id', 'race', 'driver')})) * 0.5::DOUBLE as speed, {unit('dnf', 'sim_id', 'race', 'driver')} < dnf as dnf_flag from (select unnest(range(1000)) as sim_id) s, races, field"""),
+    "season_dev": (("field",), "select sim_id, driver, mean, sd, dnf, " + normal_of("w0", "w1") + " as dev from (" + blocks("select sim_id, driver, mean, sd, dnf, " + counter("sim_id", "0", "driver") + " from (select unnest(range(1000)) as sim_id) s, field", "sim_id, driver, mean, sd, dnf", 1) + ")"),
+    "season_blocks": (("races", "season_dev"), blocks("select sim_id, race, is_sprint, driver, mean, sd, dnf, dev, " + counter("sim_id", "round * 2 + is_sprint::INTEGER", "driver") + " from races, season_dev", "sim_id, race, is_sprint, driver, mean, sd, dnf, dev", 0)),
+    "season_raw": (("season_blocks",), f"""select sim_id, race, is_sprint, driver, mean + {normal_of('w2', 'w3')} * greatest(sd, 1e-9) + dev * 0.4::DOUBLE + -ln(-ln({unit_of('w0')})) * 0.5::DOUBLE as speed,
+        {unit_of('w1')} < dnf as dnf_flag from season_blocks"""),
     "season": (("season_raw", "standings"), f"""select p.sim_id, p.driver, p.driver // 2 as team, s.position as standing, s.points as start_points, p.sim_points from (
         select sim_id, driver, sum(case when dnf_flag then 0.0::DOUBLE when is_sprint then {points_of('pos', SPRINT_POINTS)} else {points_of('pos', RACE_POINTS)} end) as sim_points
         from (select *, row_number() over (partition by sim_id, race order by dnf_flag, round(speed, 9) desc, driver) as pos from season_raw) group by sim_id, driver) p join standings s on p.driver = s.driver"""),
@@ -113,6 +157,15 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "ids": ((), "select lower(replace(s_name, '#', '_')) as id from supplier"),
 }
 
+# the same relations over features whose missing teams were filled
+CTE["filled"] = (("pace",), """select season, round, driver, coalesce(last_value(hole ignore nulls) over (w rows between unbounded preceding and current row), first_value(hole ignore nulls) over (w rows between current row and unbounded following)) as team,
+    long_run_pace_s, long_run_n, fp_best_lap_s, quali_pace_s from (select *, case when (driver + round) % 3 <> 0 then team end as hole from pace) window w as (partition by driver order by season, round)""")
+_OVER_FILLED = {"pace": "filled"} | {n: f"filled_{n}" for n in ("suspects", "signal", "within", "team_round", "team_speed", "signal_rounds", "walk_driver", "walk_team")}
+for _name in list(_OVER_FILLED)[1:]:
+    _uses, _sql = CTE[_name]
+    _sql = re.sub(r"\b(from|join) (\w+)", lambda m: f"{m[1]} {_OVER_FILLED.get(m[2], m[2])}", _sql)
+    CTE[_OVER_FILLED[_name]] = (tuple(_OVER_FILLED.get(u, u) for u in _uses), _sql)
+
 
 def query(select: str, *names: str) -> str:
     """The SELECT behind the CTEs it needs, in order of use."""
@@ -200,6 +253,22 @@ def _base() -> dict[str, str]:
         "engine_strength": q(f"select engine, {rounded('mean')} as mean, {rounded('sd')} as sd, n_teams::BIGINT as n_teams from engine_strength", "engine_strength", "engine_of", "team_strength"),
         "strength_long": q(" union all ".join(f"select 7::BIGINT as as_of_round, '{k}' as entity_type, {k}::VARCHAR as entity_id, {rounded('mean')} as mean, {rounded('sd')} as sd from {k}_strength" for k in ("driver", "team", "engine")),
             "driver_strength", "team_strength", "engine_strength"),
+        "strength_walk": q(f"""select as_of_round::BIGINT as as_of_round, entity_type, entity_id, {rounded('mean', 10)} as mean, {rounded('sd', 10)} as sd, n_obs::BIGINT as n_obs from (
+            select as_of_round, 'driver' as entity_type, driver::VARCHAR as entity_id, mean - avg(mean) over (partition by as_of_round) as mean, sd, n_obs from walk_driver
+            union all select as_of_round, 'team', team::VARCHAR, mean, sd, n_obs from walk_team
+            union all select m.as_of_round, 'engine', m.engine::VARCHAR, any_value(m.centre), case when count(*) >= 2 then greatest(sqrt(sum(t.n_obs * pow(t.mean - m.centre, 2)) / any_value(m.w)) / sqrt(any_value(m.w) / any_value(m.most)), 0.01::DOUBLE)
+                else 2.0::DOUBLE end, count(*) from walk_team t join engine_of o on t.team = o.team join (
+                    select as_of_round, engine, sum(n_obs * mean) / sum(n_obs) as centre, sum(n_obs) as w, max(n_obs) as most from walk_team join engine_of using (team) group by as_of_round, engine
+                ) m on m.as_of_round = t.as_of_round and m.engine = o.engine group by m.as_of_round, m.engine)""", "walk_driver", "walk_team", "engine_of"),
+        "streamed_teams": q("select season::BIGINT as season, round::BIGINT as round, driver::BIGINT as driver, team::BIGINT as team from filled", "filled"),
+        "streamed_strengths": q(f"""select as_of_round::BIGINT as as_of_round, entity_type, entity_id, {rounded('mean', 10)} as mean, {rounded('sd', 10)} as sd, n_obs::BIGINT as n_obs from (
+            select as_of_round, 'driver' as entity_type, driver::VARCHAR as entity_id, mean - avg(mean) over (partition by as_of_round) as mean, sd, n_obs from filled_walk_driver
+            union all select as_of_round, 'team', team::VARCHAR, mean, sd, n_obs from filled_walk_team)""", "filled_walk_driver", "filled_walk_team"),
+        "known_at_cutoffs": q(f"""select a.season::BIGINT as season, a.round::BIGINT as round, a.driver, a.cutoff::VARCHAR as cutoff, {latest('team')} as team, {rounded(latest('lap_s'))} as lap_s, {latest('standing')}::BIGINT as standing
+            from (select * from (select distinct driver from laps), (select season, round, first_practice as cutoff from schedule)) a left join (
+                select driver, date, case when order_key % 5 <> 0 then team end as team, round(lap_s, 6) as lap_s, null::BIGINT as standing from laps
+                union all select driver, max(date), null, null, floor(min(lap_s) * 10)::BIGINT from laps group by season, round, driver
+            ) f on f.driver = a.driver and f.date < a.cutoff group by all""", "laps", "schedule"),
         "driver_total_strength": q(f"""select d.driver, l.team, {rounded('d.mean + coalesce(t.mean, 0)')} as mean, {rounded('d.sd')} as sd from driver_strength d
             left join (select driver, arg_max(team, season) as team from pace where team is not null group by driver) l on l.driver = d.driver left join team_strength t on t.team = l.team""", "driver_strength", "team_strength", "pace"),
         "grid_modifier": q(f"""select f.round::BIGINT as round, f.driver, {rounded('0.15::DOUBLE * (1 - 2 * (f.grid - 1) / greatest(n - 1, 1)::DOUBLE)')} as move from results f join (select round, count(*) as n from results group by round) c on c.round = f.round""", "results"),
@@ -319,7 +388,11 @@ def sql() -> dict[str, str]:
             union all select 'constructor', team::VARCHAR, title_prob, expected_points from ({bare('constructor_title')})""",
         "reliability_features": " union all ".join(f"select '{k}' as kind, {k}::VARCHAR as id, starts, total_dnfs, total_dnf_rate from ({bare(k + '_reliability')})" for k in ("driver", "team", "engine")),
         "team_slugs": "select n_nationkey, case lower(trim(n_name)) when 'united states' then 'usa' when 'united kingdom' then 'britain' else replace(lower(trim(n_name)), ' ', '_') end as slug from nation",
-        "default_round": q("""select coalesce(min(round) filter (date >= date '1998-06-30'), max(round))::BIGINT as round from (select round, max(date) as date from laps group by round) where round <= 5""", "laps"),
+        "default_round": q("""select as_of, coalesce(
+                arg_min(round, (date, round)) filter (date - as_of::DATE between -1 and 4), arg_max(round, (date, round)) filter (round <= 5 and date <= as_of::DATE),
+                arg_min(round, (date, round)) filter (round <= 5 and date > as_of::DATE))::BIGINT as round
+            from (select round, max(date) as date from laps group by round), (select unnest(['1990-01-01', '1998-06-30', '2050-01-01']) as as_of union all
+                select (max(date) - 3)::VARCHAR from laps where round = 6) group by as_of""", "laps"),
         "streamed_features": bare("pace_features"),
         "streamed_best": q(f"""select l.driver, {rounded('min(l.lap_s)')} as best_lap_s, count(*)::BIGINT as laps from laps l join schedule s on s.season = l.season and s.round = l.round
             where l.date < s.first_practice + 180 and l.lap_s > 60 group by l.driver""", "laps", "schedule"),

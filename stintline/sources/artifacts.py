@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import tempfile
-from datetime import datetime, timezone
+import uuid
+from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from stintline.operators.point_in_time import LeakageError, check_frame
+from stintline.operators.point_in_time import LeakageError, as_date
 
 SUFFIX = {"pre-fp1": "pre", "post-sprint": "post-sprint", "post-q": "post-q"}
 
@@ -58,20 +60,27 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, name: str, document: dict) -> None:
-        """Write beside the target and rename over it, so that a reader never sees half a document."""
+    def write(self, name: str, document: dict | str) -> None:
+        """Write a document (or text that is one) beside the target and rename over it, so that a reader never sees half of it."""
+        text = document if isinstance(document, str) else json.dumps(document, indent=1, sort_keys=True, default=str)
         aside = self._hadoop(name + ".part")
         out = self._fs.create(aside, True)
         try:
-            out.write(bytearray(json.dumps(document, indent=1, sort_keys=True, default=str).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
         if self.exists(name):
             self._fs.delete(self._hadoop(name), False)
         self._fs.rename(aside, self._hadoop(name))
 
-    def delete(self) -> None:
-        self._fs.delete(self._hadoop(""), True)
+    def move(self, name: str, to: str) -> None:
+        """Rename within the folder, over what is there."""
+        if self.exists(to):
+            self._fs.delete(self._hadoop(to), True)
+        self._fs.rename(self._hadoop(name), self._hadoop(to))
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self._hadoop(name), True)
 
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._hadoop(""))) if self.exists() else []
@@ -112,15 +121,18 @@ class Snapshot:
         self.folder.write("metadata.json", {"frames": [], "created_at": now, "frozen": False, **old, **more, "cutoff": str(cutoff), "season": self.season, "round": self.round})
         return self
 
-    def write_frame(self, name: str, frame: DataFrame, date: str = "date", check: bool = True) -> Snapshot:
-        """Store a frame; unless ``check`` is off, every row must be from before the cutoff."""
+    def write_frame(self, name: str, frame: DataFrame, day: str = "date", check: bool = True) -> Snapshot:
+        """Store a frame; unless ``check`` is off, every row must be from before the cutoff.
+
+        The check is watched in the job that stores the frame, which so is computed once: a frame with a leak never gets its name,
+        and one without has its rows, first and last date in the metadata.
+        """
         meta = self._open()
-        if check:
-            if "cutoff" not in meta:
-                raise ValueError("start the snapshot before writing checked frames")
-            check_frame(frame, meta["cutoff"], date)
-        frame.write.mode("overwrite").parquet(f"{self.path}/{name}.parquet")
-        self.folder.write("metadata.json", {**meta, "frames": sorted({*meta.get("frames", []), name})})
+        if check and "cutoff" not in meta:
+            raise ValueError("start the snapshot before writing checked frames")
+        facts = write_watched(self.folder, f"{name}.parquet", frame, meta["cutoff"] if check else None, day)
+        stored = {**meta.get("facts", {}), name: facts}
+        self.folder.write("metadata.json", {**meta, "frames": sorted({*meta.get("frames", []), name}), "facts": stored})
         return self
 
     def freeze(self) -> Snapshot:
@@ -135,14 +147,39 @@ class Snapshot:
             raise FileNotFoundError(f"no frame {name} in {self.path}; there are {', '.join(self.frames) or 'none'}")
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    def rebuild(self, as_of: str | None = None) -> Snapshot:
-        """Forget a snapshot, to build it anew. With ``as_of`` only that of a round still to come: what was frozen for a past one stays."""
-        if as_of is not None and self.exists and self.metadata.get("cutoff", "") <= as_of:
+    def is_past(self, as_of: str) -> bool:
+        """Whether the snapshot's cutoff is not after ``as_of`` (ISO dates)."""
+        return self.exists and date.fromisoformat(self.metadata["cutoff"][:10]) <= date.fromisoformat(as_of[:10])
+
+    def rebuild(self, as_of: str) -> Snapshot:
+        """Forget a snapshot of a round still to come after ``as_of``, to build it anew; what was frozen for a past round stays."""
+        if self.is_past(as_of):
             raise FrozenError(f"{self.path} is of a round that is not to come after {as_of}")
         self.folder.delete()
         return self
 
 
+def write_watched(folder: Folder, name: str, frame: DataFrame, cutoff=None, day: str = "date") -> dict:
+    """Store a frame under ``name`` and return {rows, first, last} of it, from the job that writes it; LeakageError, and nothing stored, if rows are not before the cutoff."""
+    if cutoff is not None and day not in frame.columns:
+        raise ValueError(f"no column {day}")
+    dated = as_date(F.col(day)) if day in frame.columns else F.lit(None).cast("date")
+    late = F.coalesce(dated >= F.lit(str(cutoff)).cast("date"), F.lit(False)) if cutoff is not None else F.lit(False)
+    seen = Observation(f"stored-{uuid.uuid4().hex}")
+    watched = frame.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.min(dated).alias("first"), F.max(dated).alias("last"), F.count_if(late).alias("late"),
+        F.min(F.when(late, dated)).alias("late_first"), F.max(F.when(late, dated)).alias("late_last"),
+    )
+    aside = f"{name}.part"
+    watched.write.mode("overwrite").parquet(f"{folder.path}/{aside}")
+    facts = seen.get
+    if facts["late"]:
+        folder.delete(aside)
+        raise LeakageError(f"{facts['late']} rows from {facts['late_first']} to {facts['late_last']} are not before {cutoff}")
+    folder.move(aside, name)
+    return {k: facts[k] if k == "rows" else (None if facts[k] is None else str(facts[k])) for k in ("rows", "first", "last")}
+
+
 class Predictions:
     """Forecasts by round and cutoff, each written once."""
 
@@ -162,8 +199,8 @@ class Predictions:
         folder = self._folder(round_, cutoff)
         if self.exists(round_, cutoff) and not overwrite:
             raise FrozenError(f"{folder.path} is frozen")
-        frame.write.mode("overwrite").parquet(f"{folder.path}/finish_probs.parquet")
-        folder.write("metadata.json", {"season": self.season, "round": round_, "cutoff": cutoff, "cutoff_date": str(cutoff_date), "model_version": model, "written_at": datetime.now(timezone.utc).isoformat()})
+        facts = write_watched(folder, "finish_probs.parquet", frame)
+        folder.write("metadata.json", {"rows": facts["rows"], "season": self.season, "round": round_, "cutoff": cutoff, "cutoff_date": str(cutoff_date), "model_version": model, "written_at": datetime.now(timezone.utc).isoformat()})
 
     def load(self, round_: int, cutoff: str = "pre-fp1") -> tuple[DataFrame, dict] | None:
         """The forecast and its metadata; None if it is absent or not whole."""

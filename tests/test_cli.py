@@ -80,16 +80,28 @@ def test_every_step(spark, root, capsys):
     assert (scored.winner, scored.predicted_winner, scored.top1_hit) == ("ann_alfa", "ann_alfa", True)
     assert spark.read.parquet(f"{root}/reports/2026/per_round").where("round = 2").first().bs_win < 0.1875
     run("export", "--as-of", "2026-03-25")
-    shown = json.loads(json.loads((root / "export" / "predictions_02.json").read_text())["document"])
+    shown = json.loads((root / "export" / "predictions_02.json").read_text())
     assert set(shown["cutoffs"]) == {"pre-fp1", "post-q", "post-sprint"}
     for forecast in shown["cutoffs"].values():
         assert sum(d["win_prob"] for d in forecast["drivers"]) == pytest.approx(1, abs=0.001) and forecast["drivers"][0]["driver"] == "ann_alfa"
     manifest = json.loads((root / "export" / "manifest.json").read_text())
-    assert manifest["default_round"] == 3 and manifest["default_cutoffs"]["2"] == "post-q" and manifest["has_championship"] and manifest["has_evaluation"]
-    assert json.loads(json.loads((root / "export" / "championship.json").read_text())["document"])["title_probs"][0]["entity_id"] == "ann_alfa"
+    assert manifest["default_round"] == 2 and manifest["default_cutoffs"]["2"] == "post-q" and manifest["has_championship"] and manifest["has_evaluation"]
+    titles = json.loads((root / "export" / "championship_2026.json").read_text())
+    assert list(titles) == ["as_of_round", "driver_title_probs", "constructor_title_probs", "driver_expected_points"] and titles["as_of_round"] == 2
+    best = titles["driver_title_probs"][0]
+    assert (best["entity_id"], best["display_name"], best["team"]) == ("ann_alfa", "Alfa", "red") and titles["constructor_title_probs"][0]["entity_id"] == "red"
+    assert [r["value"] for r in titles["driver_expected_points"]] == sorted((r["value"] for r in titles["driver_expected_points"]), reverse=True)
+    assert json.loads((root / "export" / "schedule.json").read_text())["n_rounds"] == 3
+    stored = Snapshot(spark, str(root), 2026, 3).metadata["facts"]["pace_features"]
+    assert stored["rows"] == 8 and stored["last"] < "2026-03-30"
 
 
 def test_only_rounds_to_come_are_rebuilt(spark, root):
     with pytest.raises(FrozenError):
         Snapshot(spark, str(root), 2026, 2).rebuild("2026-03-25")
     assert not Snapshot(spark, str(root), 2026, 3).rebuild("2026-03-25").exists
+    with pytest.raises(TypeError):
+        Snapshot(spark, str(root), 2026, 2).rebuild()
+    before = Snapshot(spark, str(root), 2026, 2).metadata["created_at"]
+    cli.main(["--root", str(root), "--season", "2026", "freeze", "--rebuild", "2026-03-25", "--no-predict"])  # over the season: past rounds are skipped
+    assert Snapshot(spark, str(root), 2026, 2).metadata["created_at"] == before and Snapshot(spark, str(root), 2026, 3).is_frozen

@@ -145,3 +145,41 @@ def test_calibration_bins(spark):
     rows = {r.bin: r for r in evaluate.reliability_diagram(pairs).collect()}
     assert len(rows) == 10 and rows[2]["count"] == 1 and rows[9]["count"] == 2 and rows[5].mean_pred is None and rows[9].gap == 0.5
     assert evaluate.calibration_error(evaluate.reliability_diagram(pairs)).first().ece == pytest.approx((0 + 0.7 + 2 * 0.5) / 4)
+
+
+@pytest.mark.parametrize(
+    "counter, key, block",
+    [  # known answers of Philox 4x32-10
+        ((0, 0, 0, 0), (0, 0), (0x6627E8D5, 0xE169C58D, 0xBC57AC4C, 0x9B00DBD8)),
+        ((0xFFFFFFFF,) * 4, (0xFFFFFFFF,) * 2, (0x408F276D, 0x41C83B0E, 0xA20BC7C6, 0x6D5451FD)),
+        ((0x243F6A88, 0x85A308D3, 0x13198A2E, 0x03707344), (0xA4093822, 0x299F31D0), (0xD16CFE09, 0x94FDCCEB, 0x5001E420, 0x24126EA1)),
+    ],
+)
+def test_philox_known_answers(spark, counter, key, block):
+    from stintline.functions.random import philox
+
+    row = philox(spark.range(1), key, [F.lit(c).cast("bigint") for c in counter], list("abcd")).first()
+    assert (row.a, row.b, row.c, row.d) == block
+
+
+def test_philox_streams_and_words(spark):
+    from stintline.functions.random import spawn, uniforms, words
+
+    df = spark.range(20_000).withColumn("name", F.concat(F.lit("d"), F.col("id").cast("string")))
+    drawn = [uniforms(df, spawn(7, s), [F.col("id"), F.lit(0), *words(F.col("name"), "string")], list("abcd")).orderBy("id").collect() for s in (0, 1, 1)]
+    assert drawn[1] == drawn[2] and all(x.a != y.a for x, y in zip(drawn[0][:100], drawn[1]))
+    for c in "abcd":
+        values = [r[c] for r in drawn[0]]
+        assert 0 < min(values) and max(values) < 1 and abs(sum(values) / len(values) - 0.5) < 0.01
+    assert spark.range(1).select(*words(F.lit(-1), "bigint"), *words(F.lit(None), "bigint")).first()[:] == (0xFFFFFFFF, 0xFFFFFFFF, 0, 0)
+    with pytest.raises(ValueError, match="32 bits"):
+        spawn(1, 2**32)
+
+
+def test_engines_agree_in_distribution(spark, field):
+    """The counter-based engine, also with chaos and offsets for a season, against the hash."""
+    from stintline.rules import ChaosRules
+
+    for options in ({}, {"chaos": ChaosRules(), "sample": True, "develop": True}):
+        a, b = ({r.driver: r for r in simulate.race_summary(simulate.simulate_race(spark, field, 4000, engine=e, **options)).collect()} for e in ("philox", "xxhash64"))
+        assert all(abs(a[d].win_prob - b[d].win_prob) < 0.04 and abs(a[d].expected_points - b[d].expected_points) < 0.6 for d in b)

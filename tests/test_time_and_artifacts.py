@@ -68,7 +68,7 @@ def test_snapshot_freezes(spark, schedule, tmp_path):
         snap.write_frame("z", dated(spark))
     with pytest.raises(FileNotFoundError, match="x, y"):
         snap.frame("nope")
-    assert snapshot_listing(spark, str(tmp_path), 2026, frozen=True) == [2] and not snap.rebuild().exists
+    assert snapshot_listing(spark, str(tmp_path), 2026, frozen=True) == [2] and not snap.rebuild("2026-01-01").exists
 
 
 class Counting:
@@ -176,8 +176,10 @@ def test_documents(spark):
     rows = spark.createDataFrame([(1, "pre-fp1", "2026-03-06", "a", 0.2), (1, "pre-fp1", "2026-03-06", "b", 0.8)], "round int, cutoff string, cutoff_date string, driver string, win_prob double")
     doc = json.loads(export.predictions_document(rows).first().document)
     assert [d["driver"] for d in doc["cutoffs"]["pre-fp1"]["drivers"]] == ["b", "a"] and doc["cutoffs"]["pre-fp1"]["generated_at"] == "2026-03-06"
-    values = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "entity_id string, value double")
-    assert json.loads(export.championship_document(values, values, 3).first().document)["title_probs"][0]["entity_id"] == "b"
+    drivers = spark.createDataFrame([("a", 0.1, 50.0, "Ann", "t"), ("b", 0.9, 40.0, "Bea", None)], "entity_id string, title_prob double, expected_points double, display_name string, team string")
+    titles = json.loads(export.championship_document(drivers, drivers.where("entity_id = 'a'").select("entity_id", "title_prob"), 3).first().document)
+    assert titles["driver_title_probs"][0] == {"entity_id": "b", "value": 0.9, "display_name": "Bea"} and titles["driver_expected_points"][0] == {"entity_id": "a", "value": 50.0}
+    assert titles["constructor_title_probs"] == [{"entity_id": "a", "value": 0.1}] and titles["as_of_round"] == 3
     meta = spark.createDataFrame([("a", "Ann", "t")], "driver string, display_name string, team string")
     assert {r.driver: (r.display_name, r.team) for r in export.with_meta(rows, meta).collect()} == {"a": ("Ann", "t"), "b": ("b", "unknown")}
     assert export.results_lookup(rows.select("round", "driver"), rows.select((F.col("round") + F.lit(1)).alias("round"), "driver")).count() == 4
@@ -198,3 +200,36 @@ def test_streams(spark, tmp_path):
     query = streams.windowed_pace(stream).writeStream.format("memory").queryName("win").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("win").count() >= 1
+
+
+def test_frames_are_checked_by_the_job_that_stores_them(spark, tmp_path):
+    """One pass: rows, first and last date come with the write; a leak leaves no frame of that name, and the old one stays."""
+    from stintline.sources.artifacts import Folder, write_watched
+
+    folder = Folder(spark, str(tmp_path / "store"))
+    facts = write_watched(folder, "a.parquet", dated(spark, "2026-03-01", None, "2026-02-01"), "2026-03-06")
+    assert facts == {"rows": 3, "first": "2026-02-01", "last": "2026-03-01"} and folder.names() == ["a.parquet"]
+    with pytest.raises(pit.LeakageError, match="2 rows from 2026-03-06 to 2026-03-07"):
+        write_watched(folder, "a.parquet", dated(spark, "2026-03-06", "2026-03-07", "2026-03-05"), "2026-03-06")
+    assert spark.read.parquet(f"{folder.path}/a.parquet").count() == 3 and folder.names() == ["a.parquet"]
+    assert write_watched(folder, "b.parquet", spark.range(0)) == {"rows": 0, "first": None, "last": None}
+    with pytest.raises(ValueError, match="no column"):
+        write_watched(folder, "c.parquet", spark.range(1), "2026-03-06")
+
+
+@pytest.mark.parametrize(
+    "as_of, known, wanted",
+    [
+        ("2026-03-04", [], 1),  # four days before the first race, without any forecast
+        ("2026-03-03", [], None),
+        ("2026-03-09", [], 1),  # the day after
+        ("2026-03-10", [1, 2], 1),
+        ("2026-03-10", [2, 3], 2),
+        ("2026-03-18", [1], 2),
+        ("2026-12-31", [1, 2], 2),
+    ],
+)
+def test_default_round(spark, as_of, known, wanted):
+    calendar = spark.createDataFrame([(1, "2026-03-08"), (2, "2026-03-22"), (3, "2026-04-05")], "round int, date string").selectExpr("round", "cast(date as date) as date")
+    available = spark.createDataFrame([(r,) for r in known], "round int")
+    assert export.default_round(available, calendar, as_of).first()["round"] == wanted
