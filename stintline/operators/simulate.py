@@ -50,21 +50,21 @@ def grid_penalised(field: DataFrame, rules: SimulationRules = SIMULATION) -> Dat
     return field.withColumn("mean", F.col("mean") - lost * extra)
 
 
-def simulations(spark: SparkSession, n_sims: int) -> DataFrame:
-    """(sim_id), dealt by simulation before anything is multiplied by it, so that orders, sums and titles need no exchange."""
+def simulations(spark: SparkSession, n_sims: int, first: int = 0) -> DataFrame:
+    """(sim_id) from ``first`` on, dealt by simulation before anything is multiplied by it, so that orders, sums and titles need no exchange."""
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return spark.range(n_sims).withColumnRenamed("id", "sim_id").repartition(tasks, "sim_id")
+    return spark.range(first, first + n_sims).withColumnRenamed("id", "sim_id").repartition(tasks, "sim_id")
 
 
-def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_races: int, n_sims: int, season_seed: int | None = None) -> DataFrame:
+def draws(spark: SparkSession, field: DataFrame, entrants: int, races: DataFrame, n_races: int, n_sims: int, season_seed: int | None = None, first: int = 0) -> DataFrame:
     """Every simulation x race x driver. Fields and calendars are small; they are sent to all tasks only if they are.
 
     With ``season_seed`` what a driver draws once a season is drawn before races multiply the rows.
     """
     hint = F.broadcast if entrants * n_races <= SMALL_ROWS else (lambda x: x)
     if season_seed is not None:
-        return _season_draws(simulations(spark, n_sims).crossJoin(hint(field)), season_seed).crossJoin(hint(races))
-    return simulations(spark, n_sims).crossJoin(hint(races.crossJoin(hint(field))))
+        return _season_draws(simulations(spark, n_sims, first).crossJoin(hint(field)), season_seed).crossJoin(hint(races))
+    return simulations(spark, n_sims, first).crossJoin(hint(races.crossJoin(hint(field))))
 
 
 #: Streams of the counter-based engine.
@@ -201,7 +201,7 @@ def season_field(standings: DataFrame, strengths: DataFrame, dnf: DataFrame | No
 
 def simulate_season(
     spark: SparkSession, field: DataFrame, schedule: DataFrame, n_sims: int = SIMULATION.n_sims, rules: SimulationRules = SIMULATION,
-    seed: int | None = None, chaos: ChaosRules | None = None, engine: str = "xxhash64", sample: bool | None = None, develop: bool = True, most: int | None = SIMULATION.max_entrants,
+    seed: int | None = None, chaos: ChaosRules | None = None, engine: str = "xxhash64", sample: bool | None = None, develop: bool = True, most: int | None = SIMULATION.max_entrants, first_sim: int = 0,
 ) -> DataFrame:
     """(sim_id, driver, team, standing, start_points, sim_points) over the rounds of ``schedule``.
 
@@ -216,9 +216,9 @@ def simulate_season(
     if not facts.n or not n_races:
         hint = F.broadcast if facts.n <= SMALL_ROWS else (lambda x: x)
         known = field.select("driver", "team", "standing", "start_points", F.lit(0.0).alias("sim_points"))
-        return simulations(spark, n_sims).crossJoin(hint(known))
+        return simulations(spark, n_sims, first_sim).crossJoin(hint(known))
     by_counter = (rules.seed if seed is None else seed) if engine == "philox" and develop else None
-    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races, n_races, n_sims, by_counter)
+    rows = draws(spark, with_field_mean(field), check_entrants(facts, most), races, n_races, n_sims, by_counter, first_sim)
     orders = race_orders(rows, rules, seed, chaos, sample, develop, engine)
     return season_points(orders, "team", "standing", "start_points")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class, team_slug
-from stintline.operators import asof, evaluate, gaps, moments, pace, penalties, point_in_time, records, reliability, sessions, simulate, strength
+from stintline.operators import asof, evaluate, gaps, ledger, moments, pace, penalties, point_in_time, quantiles, records, reliability, sessions, simulate, strength
 from stintline.plans import export, oracle
 from stintline.plans.model import freeze_round, replay_statuses, walk_forward
 from stintline.rules import STRENGTH, ChaosRules
@@ -351,11 +351,15 @@ def race_chaos(spark, d):
     return simulate.race_summary(_orders(spark, d, ChaosRules()))
 
 
-def _season(spark, d):
+def _season_field(spark, d):
     entrants = fx.race_field(spark, d)
     standings = fx.standings(spark, d)
     teams = standings.select("driver", F.floor(F.col("driver") / 2).alias("team"))
-    field = simulate.season_field(standings, entrants.select("driver", "mean", "sd"), entrants.select("driver", "dnf"), teams)
+    return simulate.season_field(standings, entrants.select("driver", "mean", "sd"), entrants.select("driver", "dnf"), teams)
+
+
+def _season(spark, d):
+    field = _season_field(spark, d)
     return simulate.simulate_season(spark, field, fx.schedule(spark, d), SEASON_SIMS, engine="philox", most=None)
 
 
@@ -369,6 +373,15 @@ def title_probability(spark, d):
     return simulate.title_probability(_season(spark, d))
 
 
+@registered
+def ledger_titles(spark, d):
+    """Title chances from a ledger: 400 simulations, then as many more as make the same number as title_probability's."""
+    book = ledger.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", materialised(_season_field(spark, d)), materialised(fx.schedule(spark, d)), block=200, engine="philox", most=None)
+    book.extend(400)
+    book.extend(SEASON_SIMS)
+    return book.titles()
+
+
 @registered
 def constructor_title(spark, d):
     standings = fx.standings(spark, d).groupBy(F.floor(F.col("driver") / 2).alias("team")).agg(F.sum("points").alias("points"), F.min("position").alias("position"))
@@ -647,6 +660,16 @@ def streamed_strengths(spark, d):
     return moments.strengths_by_round(materialised(strengths.streamed_moments(spark, _followed(spark, d))))
 
 
+@registered
+def streamed_long_runs(spark, d):
+    """Long-run pace from tick counts that three batches of laps added to."""
+    folder = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    fx.laps(spark, d).where("is_accurate").repartition(3).write.parquet(f"{folder}/laps")
+    stream = rounds.lap_stream(spark, f"{folder}/laps", spark.read.parquet(f"{folder}/laps").schema, 1)
+    rounds.count_sink(stream, f"{folder}/counts", f"{folder}/checkpoint", ticks=1_000_000).awaitTermination()
+    return quantiles.long_run_from_counts(rounds.stored_counts(spark, f"{folder}/counts"), ticks=1_000_000)
+
+
 @registered
 def fuel_corrected_auto(spark, d):
     worn = _long(spark, d).withColumn("tyre_life", F.lit(None).cast("int"))

@@ -394,6 +394,8 @@ def sql() -> dict[str, str]:
             from (select round, max(date) as date from laps group by round), (select unnest(['1990-01-01', '1998-06-30', '2050-01-01']) as as_of union all
                 select (max(date) - 3)::VARCHAR from laps where round = 6) group by as_of""", "laps"),
         "streamed_features": bare("pace_features"),
+        "streamed_long_runs": bare("long_run_pace"),
+        "ledger_titles": bare("title_probability"),
         "streamed_best": q(f"""select l.driver, {rounded('min(l.lap_s)')} as best_lap_s, count(*)::BIGINT as laps from laps l join schedule s on s.season = l.season and s.round = l.round
             where l.date < s.first_practice + 180 and l.lap_s > 60 group by l.driver""", "laps", "schedule"),
         "frozen_replay": q(f"""select r.round::BIGINT as round, case when r.round in (2, 3) then 'prediction_frozen' when r.round = 4 then 'prediction_missing' else 'snapshot_missing' end as status,

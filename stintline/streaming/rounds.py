@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stintline.operators import pace
+from stintline.operators import pace, quantiles
 from stintline.operators.point_in_time import as_date
 from stintline.sources.artifacts import replace_rounds, shared_folder
 
@@ -33,6 +33,22 @@ def feature_sink(laps: DataFrame, all_laps: str, features: str, checkpoint: str)
     return laps.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def count_sink(laps: DataFrame, counts: str, checkpoint: str, ticks: int = quantiles.TICKS) -> StreamingQuery:
+    """Add each batch's laps to the tick counts of their stints; ends when all files are done.
+
+    A batch overwrites a partition of its own, so a repeated one counts once, and no batch reads laps of another. ``stored_counts`` adds the partitions up.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        quantiles.stint_counts(batch, ticks=ticks).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    return laps.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_counts(spark: SparkSession, counts: str) -> DataFrame:
+    return quantiles.merged_stints(spark.read.parquet(counts))
+
+
 def windowed_pace(laps: DataFrame, delay: str = "2 hours", width: str = "10 minutes") -> DataFrame:
     """Mean and best time of each driver by window of the lap's end (``ts``); later laps than ``delay`` are left out by the watermark."""
     return (
