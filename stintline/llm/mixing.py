@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from stintline.llm.common import cut, rank_buckets, read, seeded, spread_rank, ties, without
 
-#: Rows of a block, sum that default weights are scaled to, and the power of its row count that a source weighs by default.
+#: Rows of a block, sum that default weights are scaled to at least, and the power of its row count that a source weighs by default.
 BLOCK, SLOTS, TEMPER, SEED = 16, 1000, 0.7, 911
+#: The weight that the smallest source has at least, so that no default weight is rounded by more than a 32nd.
+LEAST = 16
 #: Given weights are exact up to this common denominator; beyond it they are whole parts of it.
 EXACT = 1 << 20
 #: A plan of up to this many slots and sources is broadcast; beyond it the join is dealt by source and salt. Slots of a step of the schedule.
@@ -148,7 +150,9 @@ OP9_SQL = f"""
 with recursive hashed as (
   select doc_id, source, coalesce('s' || source, 'n') as s, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT as h from documents),
 counts as (select s, count(*) as n, ('0x' || substr(md5('{SEED}|' || s), 1, 13))::BIGINT as sh from hashed group by s),
-weights as (select s, sh, greatest(1, round({SLOTS} * pow(n::DOUBLE, {TEMPER}::DOUBLE) / sum(pow(n::DOUBLE, {TEMPER}::DOUBLE)) over ()))::BIGINT as w from counts),
+powers as (select s, sh, pow(n::DOUBLE, {TEMPER}::DOUBLE) as own from counts),
+scaled as (select *, sum(own) over () as total, greatest({SLOTS}::DOUBLE, ceil({LEAST} * sum(own) over () / min(own) over ())) as slots from powers),
+weights as (select s, sh, greatest(1, round(slots * own / total))::BIGINT as w from scaled),
 sources as (select s, w, row_number() over (partition by w order by sh, s) - 1 as i, count(*) over (partition by w) as m, sum(w) over ()::BIGINT as period from weights),
 fixed as (select list({{'w': w, 'm': m}} order by w desc) as q, any_value(period) as period from (select distinct w, m, period from sources)),
 edf as (
