@@ -37,11 +37,14 @@ def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
 
 
 def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, slots: int) -> DataFrame:
-    """(s, n, w): the whole weight of each source; by default the power TEMPER of its row count, scaled to a sum of about ``slots``, one at least."""
+    """(s, n, w): the whole weight of each source; by default the power TEMPER of its row count, scaled to a sum of about ``slots``.
+
+    Where a source would so weigh less than LEAST, the sum is larger: the smallest weighs LEAST, and all keep their proportions to a 32nd, however many there are.
+    """
     if weights is None:
         own = F.pow(F.col("n").cast("double"), F.lit(TEMPER))
-        total = counts.agg(F.sum(own).alias("total"))
-        w = F.greatest(F.lit(1), F.round(F.lit(slots) * own / F.col("total"))).cast("int")
+        total = counts.agg(F.sum(own).alias("total"), F.greatest(F.lit(float(slots)), F.ceil(F.lit(LEAST) * F.sum(own) / F.min(own))).alias("slots"))
+        w = F.greatest(F.lit(1), F.round(F.col("slots") * own / F.col("total"))).cast("int")
         return counts.crossJoin(F.broadcast(total)).select("s", "n", w.alias("w"))  # one row
     whole = whole_weights(weights)
     given = F.create_map(*[F.lit(x) for k, w in whole.items() for x in ("s" + k, w)]) if whole else F.create_map().cast("map<string,int>")

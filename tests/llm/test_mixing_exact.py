@@ -70,3 +70,23 @@ def test_equal_keys_are_ordered_by_their_other_columns(spark, make):
     rows = [(1, f"text {i}", "en", "a") for i in range(50)]
     one, two = (sorted((r.mix_pos, r.text) for r in mixing.mix(f).collect()) for f in (make(rows), make(rows[::-1]).repartition(5)))
     assert one == two
+
+
+def test_default_weights_follow_their_powers_among_many_sources(spark):
+    """One source of a million rows beside 9999 of 100, and sources of every size: no share is off by more than a 32nd."""
+    for sizes in ([1_000_000] + [100] * 9999, [3**k for k in range(12)], [5], [1, 1]):
+        counts = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "s string, n long")
+        weights = {r.s: r.w for r in mixing.source_weights(counts, None, mixing.SLOTS).collect()}
+        powers, total = [n**0.7 for n in sizes], sum(weights.values())
+        for i, p in enumerate(powers):
+            assert weights[f"s{i}"] / total == pytest.approx(p / sum(powers), rel=1 / 30)
+
+
+def test_many_unequal_sources(spark):
+    """1500 sources of three sizes by default weights: every row once, every block within its window."""
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4_000, "big").when(F.col("id") < 7_500, F.concat(F.lit("m"), F.col("id") % 500)).otherwise(F.concat(F.lit("s"), F.col("id") % 1000)).alias("source"))
+    got = mixing.mix(docs, block=2).collect()
+    assert len({r.mix_pos for r in got}) == 9_000 and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    early = [r.source for r in got if r.mix_slot < 2_000]
+    powers = {"big": 4_000**0.7, "m": 500 * 7**0.7, "s": sum(n**0.7 for n in (1, 2) for _ in range(500))}
+    assert early.count("big") / len(early) == pytest.approx(powers["big"] / sum(powers.values()), rel=0.1)
