@@ -207,8 +207,9 @@ def driver_total_strength(spark, d):
 
 @registered
 def grid_modifier_(spark, d):
-    entrants = F.count(F.lit(1)).over(Window.partitionBy("round"))
-    return fx.results(spark, d).select("round", "driver", grid_modifier(F.col("grid"), entrants).alias("move"))
+    results = fx.results(spark, d)
+    entrants = results.groupBy("round").agg(F.count(F.lit(1)).alias("entrants"))
+    return results.join(F.broadcast(entrants), "round").select("round", "driver", grid_modifier(F.col("grid"), F.col("entrants")).alias("move"))  # one row a round
 
 
 @registered
@@ -494,6 +495,31 @@ def known_at_cutoffs(spark, d):
     return asof.known_as_of(asks, facts, ["driver"], ["team", "lap_s", "standing"])
 
 
+def _timed(spark, d):
+    """(laps, samples, messages): a user's events of a day as laps up to the next one, views as weather samples, errors as messages."""
+    events = fx.table(spark, d, "events").select(F.dayofmonth("ts").alias("day"), "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    turn = Window.partitionBy("day", "user_id").orderBy("ts", "event_id")
+    laps = events.select("day", F.col("user_id").alias("driver"), F.col("event_id").alias("lap"), F.col("ts").alias("start"), F.lead("ts").over(turn).alias("end"))
+    samples = events.where("event_type = 'view'").select("day", F.col("ts").alias("date"), "event_id", F.round("value", 6).alias("air_temp"))
+    return laps, samples, events.where("event_type = 'error'").select("day", F.col("ts").alias("at"), F.col("event_id").alias("message"))
+
+
+@registered
+def weather_at_laps(spark, d):
+    """The weather sample that held when each lap began."""
+    laps, samples, _ = _timed(spark, d)
+    asks = laps.select("day", "driver", "lap", F.col("start").alias("cutoff"))
+    return asof.known_as_of(asks, samples, ["day"], ["air_temp"], inclusive=True, bucket=30 * asof.MINUTE, order=["event_id"], clock="micro").drop("cutoff")
+
+
+@registered
+def messages_in_laps(spark, d):
+    """How many messages came during each lap that had any, and the first and last of them."""
+    laps, _, messages = _timed(spark, d)
+    met = asof.during(laps, messages, ["day"], "start", "end", "at", 30 * asof.MINUTE)
+    return met.groupBy("day", "driver", "lap").agg(F.count(F.lit(1)).alias("messages"), F.min("message").alias("low"), F.max("message").alias("high"))
+
+
 @registered
 def prior_rounds_snapshot(spark, d):
     return point_in_time.before_round(pace_table(spark, d), fx.schedule(spark, d), 5).select("season", "round", "driver", "quali_pace_s", "date")

@@ -269,6 +269,11 @@ def _base() -> dict[str, str]:
                 select driver, date, case when order_key % 5 <> 0 then team end as team, round(lap_s, 6) as lap_s, null::BIGINT as standing from laps
                 union all select driver, max(date), null, null, floor(min(lap_s) * 10)::BIGINT from laps group by season, round, driver
             ) f on f.driver = a.driver and f.date < a.cutoff group by all""", "laps", "schedule"),
+        "weather_at_laps": f"""select day(e.ts)::BIGINT as day, e.user_id as driver, e.event_id as lap, {rounded('arg_max(round(w.value, 6), (w.ts, w.event_id))')} as air_temp
+            from events e left join events w on w.event_type = 'view' and day(w.ts) = day(e.ts) and w.ts <= e.ts group by day(e.ts), e.user_id, e.event_id""",
+        "messages_in_laps": """select l.day::BIGINT as day, l.driver, l.lap, count(*)::BIGINT as messages, min(m.event_id) as low, max(m.event_id) as high
+            from (select day(ts) as day, user_id as driver, event_id as lap, ts as a, lead(ts) over (partition by day(ts), user_id order by ts, event_id) as b from events) l
+            join events m on m.event_type = 'error' and day(m.ts) = l.day and m.ts >= l.a and m.ts < l.b group by l.day, l.driver, l.lap""",
         "driver_total_strength": q(f"""select d.driver, l.team, {rounded('d.mean + coalesce(t.mean, 0)')} as mean, {rounded('d.sd')} as sd from driver_strength d
             left join (select driver, arg_max(team, season) as team from pace where team is not null group by driver) l on l.driver = d.driver left join team_strength t on t.team = l.team""", "driver_strength", "team_strength", "pace"),
         "grid_modifier": q(f"""select f.round::BIGINT as round, f.driver, {rounded('0.15::DOUBLE * (1 - 2 * (f.grid - 1) / greatest(n - 1, 1)::DOUBLE)')} as move from results f join (select round, count(*) as n from results group by round) c on c.round = f.round""", "results"),

@@ -35,6 +35,10 @@ RESULT_TYPES = {
     "season": "int", "round": "int", "session_type": "string", "DriverNumber": "string", "Abbreviation": "string", "FullName": "string", "TeamName": "string",
     "Position": "double", "GridPosition": "double", "Status": "string", "Points": "double", "Q1": "double", "Q2": "double", "Q3": "double",
 }
+_SESSION = {"season": "int", "round": "int", "session_type": "string"}
+WEATHER_TYPES = _SESSION | {"Time": "timestamp", "AirTemp": "double", "Humidity": "double", "Pressure": "double", "Rainfall": "boolean", "TrackTemp": "double", "WindDirection": "int", "WindSpeed": "double"}
+MESSAGE_TYPES = _SESSION | {"Time": "timestamp", "Category": "string", "Message": "string", "Status": "string", "Flag": "string", "Scope": "string", "Sector": "double", "RacingNumber": "string", "Lap": "double"}
+TELEMETRY_TYPES = _SESSION | {"DriverNumber": "string", "Date": "timestamp", "Speed": "double", "RPM": "double", "nGear": "int", "Throttle": "double", "Brake": "boolean", "DRS": "int", "X": "double", "Y": "double", "Z": "double"}
 EVENT_TYPES = {"season": "int", "RoundNumber": "int", "EventName": "string", "EventFormat": "string", "EventDate": "date", "Country": "string", "Location": "string"}
 
 
@@ -114,6 +118,29 @@ def session_results(spark: SparkSession, path: str) -> DataFrame:
     return fill_columns(null_nan(spark.read.parquet(path)), RESULT_TYPES)
 
 
+def weather(spark: SparkSession, path: str) -> DataFrame:
+    """(season, round, session_type, time, air_temp, humidity, pressure, rainfall, track_temp, wind_direction, wind_speed): a session's samples, about one a minute."""
+    rows = fill_columns(null_nan(spark.read.parquet(path)), WEATHER_TYPES)
+    return rows.select(*_SESSION, F.col("Time").alias("time"), *[F.col(c).alias(_snake(c)) for c in list(WEATHER_TYPES)[4:]])
+
+
+def messages(spark: SparkSession, path: str) -> DataFrame:
+    """(season, round, session_type, time, category, message, status, flag, scope, sector, car_number, lap): what race control said."""
+    rows = fill_columns(null_nan(spark.read.parquet(path)), MESSAGE_TYPES).withColumnsRenamed({"RacingNumber": "car_number"})
+    named = [F.col(c).cast("int").alias(_snake(c)) if c in ("Sector", "Lap") else F.col(c).alias(_snake(c)) for c in ("Category", "Message", "Status", "Flag", "Scope", "Sector", "car_number", "Lap")]
+    return rows.select(*_SESSION, F.col("Time").alias("time"), *named)
+
+
+def telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """(season, round, session_type, car_number, time, speed, rpm, gear, throttle, brake, drs, x, y, z): samples of each car, several a second."""
+    rows = fill_columns(null_nan(spark.read.parquet(path)), TELEMETRY_TYPES)
+    return rows.select(*_SESSION, F.col("DriverNumber").alias("car_number"), F.col("Date").alias("time"), *[F.col(c).alias(c.lower().replace("ngear", "gear")) for c in list(TELEMETRY_TYPES)[5:]])
+
+
+def _snake(name: str) -> str:
+    return "".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(name))
+
+
 def session_drivers(results: DataFrame) -> DataFrame:
     """(season, round, session_type, car_number, driver, full_name, team): who took part; rows without a number or an abbreviation are left out."""
     return results.where(F.col("DriverNumber").isNotNull() & F.col("Abbreviation").isNotNull()).select(

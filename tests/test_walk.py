@@ -115,7 +115,7 @@ def test_known_as_of_against_brute_force(spark, inclusive):
     asks = [(k, rng.choice([day(), day(), None]), n) for n in range(60) for k in "abc"] + [("a", dt.date(2026, 2, 1), 7)] * 2 + [(None, day(), 1)]
     got = asof.known_as_of(
         spark.createDataFrame(asks, "who string, cutoff date, n int").withColumn("team", F.lit("own")),
-        spark.createDataFrame(facts, "who string, date date, place int, team string"), ["who"], ["place", "team"], inclusive=inclusive, bucket_days=9,
+        spark.createDataFrame(facts, "who string, date date, place int, team string"), ["who"], ["place", "team"], inclusive=inclusive, bucket=9,
     )
 
     def answer(who, cutoff, column):
@@ -124,3 +124,27 @@ def test_known_as_of_against_brute_force(spark, inclusive):
 
     wanted = sorted(map(str, ((w, c, n, answer(w, c, 2), answer(w, c, 3)) for w, c, n in asks)))
     assert sorted(str((r.who, r.cutoff, r.n, r.place, r.team)) for r in got.collect()) == wanted
+
+
+def test_during_against_brute_force(spark):
+    rng = random.Random(2)
+    base = dt.datetime(2026, 3, 8, 13)
+    time = lambda: base + dt.timedelta(seconds=rng.randint(0, 3600))
+    spans = [(rng.choice(["r", "q", None]), n, rng.choice([time(), time(), None]), rng.choice([time(), time(), None])) for n in range(150)]
+    spans += [("r", 900, base, base), ("r", 901, base, base + dt.timedelta(seconds=1)), ("r", 901, base, base + dt.timedelta(seconds=1))]
+    points = [(rng.choice(["r", "q", None]), f"m{n}", rng.choice([time(), None])) for n in range(80)] + [("r", "edge", base)]
+    got = asof.during(
+        spark.createDataFrame(spans, "s string, lap int, a timestamp, b timestamp"), spark.createDataFrame(points, "s string, m string, t timestamp"), ["s"], "a", "b", "t", 7 * asof.MINUTE
+    )
+    wanted = sorted((lap, m) for s, lap, a, b in spans for k, m, t in points if s and s == k and a and b and t and a <= t < b)
+    assert sorted((r.lap, r.m) for r in got.collect()) == wanted and (901, "edge") in wanted
+
+
+def test_known_as_of_by_the_second(spark):
+    base = dt.datetime(2026, 3, 8, 13)
+    samples = [("r", base + dt.timedelta(seconds=60 * i), 20.0 + i) for i in range(90)]
+    laps = [("r", n, base + dt.timedelta(seconds=95 * n)) for n in range(40)] + [("r", -1, base - dt.timedelta(seconds=1)), ("x", 0, base)]
+    got = asof.known_as_of(
+        spark.createDataFrame(laps, "s string, lap int, cutoff timestamp"), spark.createDataFrame(samples, "s string, date timestamp, air double"), ["s"], ["air"], inclusive=True, bucket=5 * asof.MINUTE, clock="micro"
+    )
+    assert {(r.s, r.lap): r.air for r in got.collect()} == {("r", n): 20.0 + 95 * n // 60 for n in range(40)} | {("r", -1): None, ("x", 0): None}
