@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stintline.functions.scalars import allocation, grid_modifier, seconds, status_class, team_slug
 from stintline.operators import asof, evaluate, gaps, ledger, moments, pace, penalties, point_in_time, quantiles, records, reliability, sessions, simulate, strength
-from stintline.plans import export, oracle
+from stintline.plans import export, oracle, validity
 from stintline.plans.model import freeze_round, replay_statuses, walk_forward
 from stintline.rules import STRENGTH, ChaosRules
 from stintline.sources import bindings as fx
@@ -254,7 +254,7 @@ def absent_regulars(spark, d):
     results = fx.results(spark, d).select("round", "driver")
     last = results.agg(F.max("round").alias("last"))
     due = results.crossJoin(F.broadcast(last)).where("round < last").select((F.col("round") + 1).alias("round"), "driver")  # one row
-    return records.absent_regulars(results, due, ["round"])
+    return records.absent_regulars(results.where("(driver + round) % 7 <> 0"), due, ["round"])
 
 
 @registered
@@ -347,6 +347,13 @@ def finish_distribution(spark, d):
     return simulate.finish_distribution(_orders(spark, d))
 
 
+@registered
+def race_of_a_checked_field(spark, d):
+    """The leading 22 of the standings, within the limit of entrants that every other registered race turns off."""
+    leaders = fx.standings(spark, d).where("position <= 22").select("driver")
+    return simulate.race_summary(simulate.simulate_race(spark, fx.race_field(spark, d).join(leaders, "driver", "left_semi"), RACE_SIMS, engine="md5"))
+
+
 @registered
 def race_chaos(spark, d):
     return simulate.race_summary(_orders(spark, d, ChaosRules()))
@@ -570,7 +577,7 @@ def qualifying_best(spark, d):
 
 @registered
 def testing_days(spark, d):
-    items = fx.table(spark, d, "lineitem").where("l_quantity > 40")
+    items = fx.table(spark, d, "lineitem")
     return landings.testing_days(items.select(F.year("l_shipdate").alias("season"), F.col("l_suppkey").alias("test_number"), F.col("l_linenumber").alias("day")))
 
 
@@ -778,6 +785,18 @@ def team_slugs(spark, d):
     return fx.table(spark, d, "nation").select("n_nationkey", team_slug(F.initcap(F.col("n_name")), known).alias("slug"))
 
 
+@registered
+def calendar_checks(spark, d):
+    """What breaks a calendar's constraints, on the season's rounds with circuits that come again and an unknown word."""
+    word = lambda name: F.lit(name)
+    rows = fx.schedule(spark, d).select(
+        F.lit(2026).alias("season"), "round", F.concat(F.lit("c"), F.col("round") % 3).alias("circuit_id"), "date",
+        F.when(F.col("has_sprint"), "sprint").otherwise("normal").alias("weekend_format"), word("low").alias("downforce_level"),
+        F.when(F.col("round") % 4 == 0, "steep").otherwise("easy").alias("overtaking"), word("high").alias("tyre_deg"),
+    )
+    return validity.calendar_violations(rows, 22, [2, 5])
+
+
 @registered
 def default_round(spark, d):
     """Before all rounds, between two, after all, and in the weekend of a round without a forecast."""

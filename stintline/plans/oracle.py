@@ -274,6 +274,14 @@ def _base() -> dict[str, str]:
         "messages_in_laps": """select l.day::BIGINT as day, l.driver, l.lap, count(*)::BIGINT as messages, min(m.event_id) as low, max(m.event_id) as high
             from (select day(ts) as day, user_id as driver, event_id as lap, ts as a, lead(ts) over (partition by day(ts), user_id order by ts, event_id) as b from events) l
             join events m on m.event_type = 'error' and day(m.ts) = l.day and m.ts >= l.a and m.ts < l.b group by l.day, l.driver, l.lap""",
+        "race_of_a_checked_field": q(f"""select driver, {rounded('avg((pos = 1)::INTEGER)')} as win_prob, {rounded('avg((pos <= 3)::INTEGER)')} as podium_prob, {rounded('avg((pos <= 10)::INTEGER)')} as top10_prob,
+            {rounded('avg(dnf_flag::INTEGER)')} as dnf_prob, {rounded('avg(case when dnf_flag then 0.0::DOUBLE else ' + points_of('pos', RACE_POINTS) + ' end)')} as expected_points
+            from (select *, row_number() over (partition by sim_id order by dnf_flag, round(speed, 9) desc, driver) as pos from orders_raw where driver in (select driver from standings where position <= 22)) group by driver""", "orders_raw", "standings"),
+        "calendar_checks": q("""select 'rounds without gaps' as "constraint", '2026/' || round as subject from (select round, row_number() over (order by round) as nth from schedule) where round <> nth
+            union all select 'circuits once', '2026/c' || round % 3 from schedule group by round % 3 having count(*) > 1
+            union all select 'overtaking', '2026/' || round from schedule where round % 4 = 0
+            union all select 'sprint rounds', '2026/' || round from schedule where has_sprint <> (round in (2, 5))
+            union all select 'number of rounds', '2026' from schedule having count(distinct round) <> 22""", "schedule"),
         "driver_total_strength": q(f"""select d.driver, l.team, {rounded('d.mean + coalesce(t.mean, 0)')} as mean, {rounded('d.sd')} as sd from driver_strength d
             left join (select driver, arg_max(team, season) as team from pace where team is not null group by driver) l on l.driver = d.driver left join team_strength t on t.team = l.team""", "driver_strength", "team_strength", "pace"),
         "grid_modifier": q(f"""select f.round::BIGINT as round, f.driver, {rounded('0.15::DOUBLE * (1 - 2 * (f.grid - 1) / greatest(n - 1, 1)::DOUBLE)')} as move from results f join (select round, count(*) as n from results group by round) c on c.round = f.round""", "results"),
@@ -285,7 +293,7 @@ def _base() -> dict[str, str]:
         "penalty_risk": q(_risk(), "usage"),
         "rookie_flags": q("""select s.round::BIGINT as round, s.car, s.driver, coalesce(s.driver = p.driver, true) as is_regular from (select round, grid as car, driver::VARCHAR as driver from results) s
             left join (select round + 1 as round, grid as car, driver::VARCHAR as driver from results) p on p.round = s.round and p.car = s.car""", "results"),
-        "absent_regulars": q("select a.round::BIGINT as round, a.driver from (select distinct round + 1 as round, driver from results where round < (select max(round) from results)) a left join results b on a.round = b.round and a.driver = b.driver where b.driver is null", "results"),
+        "absent_regulars": q("select a.round::BIGINT as round, a.driver from (select distinct round + 1 as round, driver from results where round < (select max(round) from results)) a left join (select * from results where (driver + round) % 7 <> 0) b on a.round = b.round and a.driver = b.driver where b.driver is null", "results"),
         "identity_bridge": q("""select p.key, p.full_name, coalesce(a.id, t.id, c.id) as id, (case when a.id is not null then 1 when t.id is not null then 2 when c.id is not null then 3 end)::BIGINT as rule from
             (select *, string_split_regex(lower(trim(full_name)), '\\s+') as w from people) p left join (select distinct id from ids) a on a.id = w[len(w)]
             left join (select tail, max(id) as id from (select distinct id, split_part(id, '_', -1) as tail from ids where contains(id, '_')) group by tail having count(*) = 1) t on t.tail = w[len(w)]
@@ -342,7 +350,7 @@ def _base() -> dict[str, str]:
         "qualifying_best": f"""select 2026::BIGINT as season, year(o_orderdate)::BIGINT as round, o_orderkey as driver, o_custkey as team, substr(o_orderpriority, 1, 1)::BIGINT as quali_pos,
             round_even(round((case when o_orderstatus = 'F' and o_totalprice > 0 then o_totalprice / 8999.7::DOUBLE when o_totalprice > 0 then o_totalprice / 7999.7::DOUBLE end) * 10000, 6), 0) / 10000.0::DOUBLE as best_lap_s from orders""",
         "testing_days": """select season::BIGINT as season, test_number, day::BIGINT as day from (select *, row_number() over (partition by season, test_number order by day) as nth from (
-            select distinct year(l_shipdate) as season, l_suppkey as test_number, l_linenumber as day from lineitem where l_quantity > 40)) where nth = day""",
+            select distinct year(l_shipdate) as season, l_suppkey as test_number, l_linenumber as day from lineitem)) where nth = day""",
         "pace_session_laps": q(f"""select season::BIGINT as season, round::BIGINT as round, session_type, count(*)::BIGINT as laps, {rounded('min(lap_s)')} as best_s from (
             select *, case when starts_with(stint, 'A') then 'FP1' when starts_with(stint, 'N') then 'FP2' else 'FP3' end as session_type from laps)
             where session_type = case when round % 2 = 0 then 'FP1' else 'FP2' end group by season, round, session_type""", "laps"),
