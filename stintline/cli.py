@@ -16,7 +16,7 @@ from stintline.operators import evaluate, gaps, pace, point_in_time, sessions, s
 from stintline.plans import export
 from stintline.plans.model import StrengthModel, freeze_round, testing_as_pace, walk_forward
 from stintline.rules import SIMULATION
-from stintline.sources import landings
+from stintline.sources import fetch, landings
 from stintline.sources.artifacts import Folder, Predictions, Snapshot, materialised, replace_rounds
 
 
@@ -64,6 +64,15 @@ class Season:
         return f"{self.root}/{name}"
 
 
+def ingest(season: Season, args) -> None:
+    """The calendar, then the results and standings of the rounds raced by ``as_of``; what was fetched lately is not asked for again."""
+    root, year = season.path("landing"), season.season
+    got = fetch.land(season.spark, root, args.base, [("schedule", year, None)])
+    done = season.schedule().where(F.col("date") < F.lit(args.as_of).cast("date")).select("round").distinct().collect()  # a season's rounds
+    got += fetch.land(season.spark, root, args.base, [(kind, year, r["round"]) for r in done for kind in ("results", "drivers", "constructors")])
+    print(f"{got} documents")
+
+
 def build_session_map(season: Season, args) -> None:
     """Who drove in each session, and who is a regular driver; all rounds at once."""
     mapped = sessions.session_map(landings.session_drivers(season.sessions()), sessions.event_formats(season.schedule()))
@@ -228,6 +237,7 @@ def parser() -> argparse.ArgumentParser:
 
     whole, flag, need = {"type": int, "default": None}, {"action": "store_true"}, {"type": int, "required": True}
     sims = {"type": int, "default": SIMULATION.n_sims}
+    step("ingest", ingest, base={"required": True}, as_of={"required": True})
     step("session-map", build_session_map)
     step("features", build_features, round=whole)
     step("freeze", freeze_history, round=whole, force=flag, no_predict=flag, n_sims=sims, rebuild={"default": None, "metavar": "AS_OF"})
