@@ -24,4 +24,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_sharding": sharding.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op12_audit": audit.OP12_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op4_sharding": sharding.OP4_SQL,
+        "op9_mixing": mixing.OP9_SQL,
+        "op12_audit": audit.OP12_SQL,
+        "op13_substrings": substrings.OP13_SQL,
+    }

@@ -503,3 +503,22 @@ def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and maximal runs removed from every document, and the digest of what stays."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string by itself: the least id that has it, the places of later ones, their spans, and what lies between these.
+OP13_SQL = f"""
+with texts as (select row_number() over () as r, doc_id, coalesce(doc_id, {LAST}) as id, encode(coalesce(text, '')) as b from documents),
+starts as (select r, id, b[p + 1:p + {WINDOW}] as s, p from (select r, id, b, unnest(range(octet_length(b) - {WINDOW - 1})) as p from texts)),
+late as (select r, p from (select r, p, id > min(id) over (partition by s) as is_late from starts) where is_late),
+marked as (select r, p, coalesce(p > lag(p) over (partition by r order by p) + {WINDOW}, true) as opens from late),
+numbered as (select r, p, sum(opens::int) over (partition by r order by p) as span from marked),
+spans as (select r, span, min(p) as low, max(p) + {WINDOW} as high from numbered group by r, span),
+kept as (
+    select r, string_agg(hex(piece), '' order by low) as kept from (
+        select t.r, s.low, t.b[coalesce(lag(s.high) over (partition by t.r order by s.low), 0) + 1:s.low] as piece from texts t join spans s on s.r = t.r
+        union all select t.r, {LAST}, t.b[coalesce(s.high, 0) + 1:] from texts t left join (select r, max(high) as high from spans group by r) s on s.r = t.r
+    ) group by r),
+counted as (select r, sum(high - low) as n_removed, count(*) as n_spans from spans group by r)
+select t.doc_id, octet_length(t.b)::BIGINT as n_bytes, coalesce(n_removed, 0)::BIGINT as n_removed, coalesce(n_spans, 0)::BIGINT as n_spans, sha256(unhex(kept)) as kept_sha256
+from texts t join kept using (r) left join counted using (r)
+"""
