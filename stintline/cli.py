@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintline.operators import evaluate, gaps, pace, point_in_time, sessions, simulate, strength
+from stintline.operators.records import same_keys
 from stintline.plans import export
 from stintline.plans.model import StrengthModel, freeze_round, testing_as_pace, walk_forward
 from stintline.rules import SIMULATION
@@ -85,9 +87,11 @@ def build_features(season: Season, args) -> None:
     practice = pace.accurate_laps(landings.pace_session(laps, formats))
     features = gaps.full_features(materialised(pace.pace_features(practice, pace.accurate_laps(laps.where("session_type = 'Q'")))))
     # teams are filled over all rounds before one of them is chosen
-    replace_rounds(season.spark, season.path("features"), features if args.round is None else features.where(F.col("round") == args.round))
-    testing = landings.testing_laps(season.timing())
-    if testing.limit(1).count():
+    chosen = features if args.round is None else features.where(F.col("round") == args.round)
+    replace_rounds(season.spark, season.path("features"), chosen.sortWithinPartitions("season", "round", "driver"))
+    testing, keys = landings.testing_laps(season.timing()), ["season", "driver", "team"]
+    stored = season.spark.read.parquet(season.path("testing")).where(F.col("season") == season.season) if season.has("testing") else None
+    if testing.limit(1).count() and not (stored is not None and not args.force and same_keys(stored, testing, keys)):  # what is stored for the same drivers stays
         paced = pace.trimmed_pace(testing, ["driver", "season", "test_number", "day", "stint"], ["season", "driver", "team"])
         paced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(season.path("testing"))
 
@@ -239,7 +243,7 @@ def parser() -> argparse.ArgumentParser:
     sims = {"type": int, "default": SIMULATION.n_sims}
     step("ingest", ingest, base={"required": True}, as_of={"required": True})
     step("session-map", build_session_map)
-    step("features", build_features, round=whole)
+    step("features", build_features, round=whole, force=flag)
     step("freeze", freeze_history, round=whole, force=flag, no_predict=flag, n_sims=sims, rebuild={"default": None, "metavar": "AS_OF"})
     for name in ("post-sprint", "post-q"):
         step(name, predict_weekend, round=need, force=flag, n_sims=sims)
@@ -253,6 +257,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if "n_sims" in args:
+        replace(SIMULATION, n_sims=args.n_sims)  # refuses fewer than the rules allow
     spark = SparkSession.builder.appName(f"stintline-{args.step}").getOrCreate()
     args.run(Season(spark, args.root, args.season), args)
 

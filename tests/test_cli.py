@@ -63,6 +63,11 @@ def test_every_step(spark, root, capsys):
     assert features.count() == 12 and {"gap_to_teammate_race", "long_run_suspect"} <= set(features.columns)
     assert all(r.gap_to_teammate_quali == pytest.approx(-0.6 if r.driver in ("ALF", "CHA") else 0.6) for r in features.where("round < 3").collect())
     assert spark.read.parquet(f"{root}/testing").count() == 4
+    stored = spark.read.parquet(f"{root}/testing").inputFiles()
+    run("features", "--round", "3")
+    assert spark.read.parquet(f"{root}/testing").inputFiles() == stored and spark.read.parquet(f"{root}/features").count() == 12  # stored testing stays
+    with pytest.raises(ValueError, match="1000"):
+        run("freeze", "--n-sims", "999")
     run("freeze", "--n-sims", "1000")
     assert "round 3: predicted" in capsys.readouterr().out
     assert {"driver_session_map", "drivers_standings", "constructors_standings", "pace_features", "race_results"} == set(Snapshot(spark, str(root), 2026, 3).frames)
