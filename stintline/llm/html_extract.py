@@ -31,7 +31,7 @@ SILENT = frozenset("head noscript template svg object math canvas select datalis
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_NEST = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-# Containers of training variants, as tag and name. A name that none of the three lists has says nothing to the labeller.
+# Containers of training variants, as tag and name. A name that none of the three lists has says nothing to the labeller.
 MAIN = ("article", "main", "section.article", "div.content", "div.main-content", "div.post", "div.entry-content", "div.article-body", "div.story", "div.text")
 ASIDE = (
     "nav", "header", "footer", "aside", "form", "div.menu", "ul.menu", "div.navbar", "div.breadcrumbs", "div.header", "div.footer", "div.sidebar", "div.widget",

@@ -97,6 +97,8 @@ def classify(text: str | None, filters: Filters) -> tuple[str, float]:
 def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the labelled documents where ``train`` holds.
 
+    An n-gram enters a language's filter if it is there twice and makes up MIN_SHARE of the language's n-grams, so a mask names the languages that have the
+    n-gram more often than that; rarer ones would fill the filters and say little.
     Each language takes part with about FIT_DOCS documents, chosen by hash of the key (all of
     them, if there are fewer): a fixed bound on what the classifier is fitted on. Spark
     counts their n-grams and ORs the slots; SLOTS bitmasks come to the driver.
