@@ -477,7 +477,8 @@ def remove_repeats(
     Each byte goes that a string of WINDOW bytes covers which also starts in a document with a smaller id. Documents are dealt into blocks,
     the text once (all passes read that one exchange): a first pass sends 32 bits of each minimizer to its bucket, a second the pieces of text whose minimizers
     two documents have, a third gets the stretches back. Blocks and buckets follow the corpus in number, not in size; a hot minimizer is
-    dealt string by string, and equal pieces are reduced in their block first.
+    dealt string by string, and equal pieces are reduced in their block first. The input must have the same rows and partitions each time it is
+    computed, as a stored table has; a pass that meets other rows in a block fails.
 
     * a null or empty text has nothing to remove, nor has one under WINDOW bytes; matches never cross documents;
     * a null id comes after all others; rows with one id are not earlier than each other, so a repeated row loses what its twin loses;
