@@ -44,7 +44,8 @@ def philox(df: DataFrame, key: tuple[int, int], counter: list[Column], names: li
     One projection a round: each of its results is used twice in the next, so they stay apart and are computed once.
     """
     k0, k1 = key
-    out = df.withColumns(dict(zip(names, [c.cast("bigint") for c in counter])))
+    # a null counts as zero: without null checks each round's code stays small enough to be compiled
+    out = df.withColumns(dict(zip(names, [F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")) for c in counter])))
     for _ in range(PHILOX_ROUNDS):
         c = [F.col(n) for n in names]
         (high0, low0), (high1, low1) = _product(PHILOX_MULTIPLIERS[0], c[0]), _product(PHILOX_MULTIPLIERS[1], c[2])
