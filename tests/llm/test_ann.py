@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from stintline.llm import ann
 
@@ -107,3 +108,25 @@ def test_very_large_and_very_small_vectors(spark):
             got.setdefault(r.query_id, []).append(r.vec_id)
         want = exact(list(enumerate(x)), 20)
         assert got == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("shape", ["tight clusters", "few strong directions", "common mean", "heavy norms"])
+def test_every_query_of_other_shapes(spark, monkeypatch, shape):
+    """Vectors that the codes hardly tell apart, or that lie far from their cell's centre: each query finds its neighbours, not only most queries."""
+    monkeypatch.setattr(ann, "CANDIDATES", 1200)
+    monkeypatch.setattr(ann, "QUERIES", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    if shape == "tight clusters":
+        x = rng.normal(size=(5, 32))[rng.integers(5, size=4000)] + 0.02 * x
+    elif shape == "few strong directions":
+        x *= np.arange(1, 33) ** -1.5
+    elif shape == "common mean":
+        x = 3 + 0.05 * x
+    else:
+        x *= np.exp(2 * rng.normal(size=(4000, 1)))
+    x = x.astype(np.float32)
+    got = run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    want = exact([(i, v.astype(float)) for i, v in enumerate(x)], 20)
+    assert got.keys() == want.keys()
+    assert min(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 18
