@@ -78,3 +78,48 @@ def test_awkward_and_empty(spark, make, awkward):
     kept = similar.keep_first(awkward)
     assert kept.columns == awkward.columns and kept.count() == len(set(brute([(r.doc_id, r.text) for r in awkward.collect()])))
     assert similar.keep_first(make([])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [7, 65536])
+def test_simhash_tiles_propose_the_groups(spark, tile, monkeypatch):
+    """The groups are the chains of fingerprints within the radius, of sizes that allow the similarity, however the table is tiled."""
+    monkeypatch.setattr(similar, "PRINTS", tile)
+    texts = sorted({t for _, t in edited()})
+    sets = [similar.shingle_set(t) for t in texts]
+    prints = [similar.print_of(s) for s in sets]
+    of = list(range(len(sets)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            words = [bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(prints[i], prints[j])]
+            fit = 4 * max(len(sets[i]), len(sets[j])) <= 5 * min(len(sets[i]), len(sets[j]))
+            if fit and sum(words[:2]) <= similar.RADIUS[0] and sum(words) <= similar.RADIUS[1]:
+                of[root(i)] = root(j)
+    want = {}
+    for i in range(len(sets)):
+        want.setdefault(root(i), set()).add(i)
+    frame = spark.createDataFrame([(i, len(s), p.tolist()) for i, (s, p) in enumerate(zip(sets, prints))], "node long, size int, prints array<long>")
+    got = {}
+    for r in similar.proposed(frame).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1) and len(got) > 20
+
+
+def test_bits_apart_stay_within_the_radius():
+    """Pairs at 0.8 of every shape stay well within both bounds, unrelated sets beyond them; the first word is the plain SimHash."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for common, one, two in [(4, 0, 1), (12, 1, 2), (12, 0, 3), (80, 10, 10), (400, 0, 100)]:
+        for _ in range(400):
+            h = rng.integers(0, 2**63, common + one + two, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, common + one + two, dtype=np.uint64)
+            a, b = h[: common + one], np.concatenate([h[:common], h[common + one :]])
+            p, q = (similar.print_of(np.sort(s)).view(np.uint64)[None] for s in (a, b))
+            assert similar.near(p, q).all()
+            assert not similar.near(p, similar.print_of(~a * np.uint64(7)).view(np.uint64)[None]).any() or common < 80
+            assert int(p[0, 0]) == int(np.packbits(2 * np.unpackbits(a.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) > len(a), bitorder="little").view(np.uint64)[0])
