@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintline.llm.common import cut, read, without
+from stintline.llm.common import counted, cut, read, without
 
 RADIUS, SHINGLE, HUB_ROUNDS = 2, 3, 2
 #: Rows of a tile. A pair of tiles is compared in blocks of BLOCK rows, so a task holds BLOCK * 2 * TILE bits at once.
 TILE, BLOCK = 4096, 64
 #: Table of hot groups up to this many rows is broadcast; beyond it the join is dealt by key. Rows of one fingerprint beyond HOT_ROWS are not dealt by it.
 BROADCAST_ROWS, HOT_ROWS = 100_000, 100_000
+#: Edges between sets that one task unites: what rounds leave, of a table of any size. As many as a tile has rows.
+REST = TILE
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -205,21 +207,32 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b), at most REST: each node with the least node that it is connected to."""
+    columns = [[x.to_numpy(zero_copy_only=False) for x in batch.columns] for batch in batches if batch.num_rows]
+    if columns:
+        a, b = (np.concatenate(x) for x in zip(*columns))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        sets = _Sets(len(nodes))
+        sets.join(at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[sets.root(np.arange(len(nodes)))])], names=["a", "to"])
+
+
+def components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, root): the connected component of every node, named by one of its nodes.
 
     Each round moves every set to the neighbour of least seeded hash (itself included) and
     keeps only edges between different sets. That at least halves, in expectation, the number of
-    sets that still have edges, so the rounds grow with the logarithm of the longest chain. In the first HUB_ROUNDS the neighbour with
-    most edges comes first: the stars that tiles and bands give then collapse at once.
-    Rounds are cut through the checkpoint folder; nothing but an edge count comes to the driver. Repeated edges and edges from a node
-    to itself change nothing; a node without edges is its own root; without nodes there are no rows.
+    sets that still have edges, so the rounds grow with the logarithm of the number of edges. In the first HUB_ROUNDS the neighbour with
+    most edges comes first: the stars that tiles and bands give then collapse at once. What is left once REST edges or fewer are, one task unites.
+    Rounds are cut through the checkpoint folder; nothing but an edge count comes to the driver. Where a set went in each round is put together once, from the
+    last round to the first, over fewer rows each: the driver keeps what every job leaves, so jobs are its memory. Repeated edges and edges from a node
+    to itself change nothing; a node without edges is its own root, or has no row where ``nodes`` is None; without nodes there are no rows.
     """
-    moved = None
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    turn = 0
-    while edges.count():
-        turn += 1
+    steps: list[DataFrame] = []
+    edges, left = counted(edges.select("a", "b").where("a <> b").distinct())
+    while left > REST:
+        turn = len(steps) + 1
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, d: F.struct((-d).alias("d"), F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
         if turn <= HUB_ROUNDS:
@@ -230,19 +243,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         own = F.count(F.lit(1)) if turn <= HUB_ROUNDS else F.lit(0).cast("bigint")
         step = both.groupBy("a").agg(F.min(rank("b", F.col("d"))).alias("m"), own.alias("d")).select("a", F.least(F.col("m"), rank("a", F.col("d")))["v"].alias("to"))
         step = cut(step)
-        moved = step.select(F.col("a").alias("node"), F.col("to").alias("root")) if moved is None else (
-            moved.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
-        moved = cut(moved)
+        steps.append(step)
         at = step.select(F.col("a").alias("x"), "to")
-        edges = (
+        edges, left = counted(
             edges.join(at, F.col("a") == F.col("x")).select(F.col("to").alias("a"), "b")
             .join(at, F.col("b") == F.col("x")).select("a", F.col("to").alias("b"))
             .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
-        edges = cut(edges)
+    if left:
+        steps.append(cut(edges.coalesce(1).mapInArrow(_unite, "a long, to long")))
+    moved = None
+    for step in reversed(steps):
+        own = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        if moved is not None:
+            later = moved.select(F.col("node").alias("x"), F.col("root").alias("then"))
+            own = own.join(later, F.col("root") == F.col("x"), "left").select("node", F.coalesce("then", "root").alias("root"))
+        moved = own
     if moved is None:
-        return nodes.select("node", F.col("node").alias("root"))
+        moved = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no rows
+    if len(steps) > 1:
+        moved = cut(moved)
+    if nodes is None:
+        return moved
     return nodes.select("node").join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

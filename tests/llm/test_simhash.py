@@ -69,6 +69,48 @@ def test_components_equal_brute_force(spark, make, tile, monkeypatch):
     assert edges.count() < 3 * len(uniq) * (6 if tile == 4 else 1)
 
 
+def chains(rng, n):
+    """Edges of paths, a ring and stars over shuffled nodes, with repeated edges, both ways, and edges to themselves; the least node of each one's component."""
+    names = random.Random(rng).sample(range(-10 * n, 10 * n), n)
+    cuts = [0, n // 2, n // 2 + n // 4, n]
+    path, ring, stars = (names[a:b] for a, b in zip(cuts, cuts[1:]))
+    edges = [*zip(path, path[1:]), *zip(ring, [*ring[1:], ring[0]])]
+    groups = [path, ring]
+    for at in range(0, len(stars), 20):
+        edges += [(stars[at], x) for x in stars[at + 1 : at + 20]]
+        groups.append(stars[at : at + 20])
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5] + [(path[0], path[0])]
+    return edges, {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("rest", [0, 40, 4096])
+def test_components_of_long_chains(spark, rest, monkeypatch):
+    """Rounds alone, rounds and a rest that one task unites, and that alone give the same sets; nodes without edges are their own."""
+    monkeypatch.setattr(simhash, "REST", rest)
+    edges, want = chains(5, 400)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    nodes = spark.createDataFrame([(x,) for g in want for x in g] + [(9001,)], "node long")
+    for given, extra in ((nodes, {frozenset([9001])}), (None, set())):
+        got = {}
+        for r in simhash.components(given, frame).collect():
+            got.setdefault(r.root, []).append(r.node)
+        assert all(root in found and len(found) == len(set(found)) for root, found in got.items())
+        assert {frozenset(x) for x in got.values()} == want | extra
+    assert simhash.components(None, frame.where("a = b")).count() == 0
+
+
+def test_components_take_few_jobs(spark):
+    """The driver keeps what each job leaves: four queries and a count a round (162 jobs here) took more than its memory."""
+    edges, _ = chains(6, 3000)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    try:
+        assert simhash.components(None, frame).count() == 3000
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 12
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def test_every_pair_of_tiles_is_compared():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 700, dtype=np.uint64)
