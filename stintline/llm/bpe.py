@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from stintline.llm.common import read, without
 
-#: Characters of text, over Arrow batches, whose words are replayed together, and bytes of words and ids that a task remembers between chunks.
-CHUNK_CHARS, MEMORY_BYTES = 8_000_000, 128 << 20
+#: Characters of text, over Arrow batches, that a task holds at once, bytes of their new words replayed together, and bytes of words and ids that it remembers between chunks.
+#: An executor holds a worker a core beside its heap, so these are the bounds of a worker.
+CHUNK_CHARS, REPLAY_BYTES, MEMORY_BYTES = 2_000_000, 512 << 10, 48 << 20
 #: Bytes that Python needs for a remembered word besides its characters and ids.
 OVERHEAD = 200
 
@@ -59,11 +60,18 @@ class MergeReplay:
         self.forget()
         self.shown = {i: str(i) for i in self.bytes_of}
 
-    def forget(self) -> None:
-        """Words are numbered as they first occur; ``pieces`` holds the ids of word number n as bytes."""
-        self.number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.pieces: list[bytes] = []
-        self.held = 0
+    def forget(self, again: bool = False) -> None:
+        """Words are numbered as they first occur; ``pieces`` holds the ids of word number n as bytes, ``uses`` how often it came since words were last forgotten.
+
+        With ``again`` words that came more than once are remembered, if they take no more than half of MEMORY_BYTES.
+        """
+        kept = [(w, self.pieces[n]) for w, n in self.number.items() if self.uses[n] > 1] if again else []
+        held = sum(len(w.encode("utf-8", "surrogatepass")) + len(ids) + OVERHEAD for w, ids in kept)
+        if 2 * held > MEMORY_BYTES:
+            kept, held = [], 0
+        self.number: defaultdict[str, int] = defaultdict(count(len(kept)).__next__, ((w, n) for n, (w, _) in enumerate(kept)))
+        self.pieces: list[bytes] = [ids for _, ids in kept]
+        self.uses, self.held = np.zeros(len(kept), np.int32), held
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or -1."""
@@ -149,20 +157,34 @@ class MergeReplay:
         bounds = np.searchsorted(word[kept], np.arange(len(words) + 1)).tolist()
         return [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    def in_slices(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Token ids of each word, as ``replay`` gives them; its arrays never hold more than REPLAY_BYTES of words, or one longer word."""
+        start, size = 0, 0
+        for stop, word in enumerate(words):
+            if size and size + len(word) > REPLAY_BYTES:
+                yield from self.replay(words[start:stop])
+                start, size = stop, 0
+            size += len(word)
+        if start < len(words):
+            yield from self.replay(words[start:])
+
     def encode_ids(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
-        """Ids (32 bits each) of each text; the words new to this chunk are replayed together."""
+        """Ids (32 bits each) of each text; the words new to this chunk are replayed in slices."""
         if self.held > MEMORY_BYTES:
-            self.forget()
+            self.forget(again=True)
         number, pieces, ranks = self.number, self.pieces, self.ranks
         split = [array("i", map(number.__getitem__, pattern.findall(t))) for t in texts]
         raw = [w.encode("utf-8", "surrogatepass") for w in islice(number, len(pieces), None)]
         whole = [ranks.get(b) for b in raw]
-        left = [k for k, i in enumerate(whole) if i is None]
-        replayed = iter(self.replay([raw[k] for k in left]) if left else [])
+        replayed = self.in_slices([b for b, i in zip(raw, whole) if i is None])
         for b, i in zip(raw, whole):
             ids = array("i", [i] if i is not None else next(replayed)).tobytes()
             pieces.append(ids)
             self.held += len(b) + len(ids) + OVERHEAD
+        self.uses = np.concatenate([self.uses, np.zeros(len(raw), np.int32)])
+        for words in split:
+            np.add.at(self.uses, np.frombuffer(words, np.intc), 1)
+        del raw, whole, replayed
         for words in split:
             yield np.frombuffer(b"".join(map(pieces.__getitem__, words)), np.intc)
 
@@ -173,11 +195,11 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """Add ``token_ids`` (array of int) and ``decoded`` (binary), or with ``digests`` their counts and hashes.
+def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
+    """Add ``n_tokens``, ``token_ids`` (array of int) and, unless ``decoded`` is false, ``decoded`` (binary), or with ``digests`` their counts and hashes.
 
     A task reads its rows in chunks of about CHUNK_CHARS characters and replays the merges over the
-    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk, by MEMORY_BYTES
+    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk, by REPLAY_BYTES, by MEMORY_BYTES
     and by the longest text. ``rank_lines`` are the bytes of a rank file, shipped once to each
     executor (they do not grow with the corpus).
 
@@ -189,7 +211,7 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
     new = (
         [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
         if digests
-        else [("n_tokens", "bigint"), ("token_ids", "array<int>"), ("decoded", "binary")]
+        else [("n_tokens", "bigint"), ("token_ids", "array<int>"), *([("decoded", "binary")] if decoded else [])]
     )
     rows = without(docs, *[n for n, _ in new])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -200,22 +222,24 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
         engine = _engine(shipped.value)
         splitter = regex.compile(pattern)
         for held in _chunks(batches, at):
+            pa.default_memory_pool().release_unused()
             texts = [t or "" for batch in held for t in batch.column(at).to_pylist()]
             results = engine.encode_ids(texts, splitter)
             for batch in held:
                 counts, ids_out, decoded_out = [], [], []
                 for ids in islice(results, batch.num_rows):
-                    listed = ids.tolist()
-                    decoded = engine.decode(listed)
                     counts.append(len(ids))
+                    if decoded or digests:
+                        listed = ids.tolist()
+                        back = engine.decode(listed)
+                        decoded_out.append(hashlib.sha256(back).hexdigest() if digests else back)
                     ids_out.append(hashlib.sha256(" ".join(map(engine.shown.__getitem__, listed)).encode()).hexdigest() if digests else ids)
-                    decoded_out.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
                 if digests:
                     made = [pa.array(counts, pa.int64()), pa.array(ids_out, pa.string()), pa.array(decoded_out, pa.string())]
                 else:
                     ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids_out), pa.int32()))
-                    made = [pa.array(counts, pa.int64()), lists, pa.array(decoded_out, pa.binary())]
+                    made = [pa.array(counts, pa.int64()), lists, *([pa.array(decoded_out, pa.binary())] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[n for n, _ in new]])
 
     return rows.mapInArrow(work, schema)
