@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from stintline.llm.common import read, without
 
 #: Characters of text, over Arrow batches, that a task holds at once, bytes of their new words replayed together, and bytes of words and ids that it remembers between chunks.
-#: An executor holds a worker a core beside its heap, so these are the bounds of a worker.
-CHUNK_CHARS, REPLAY_BYTES, MEMORY_BYTES = 2_000_000, 512 << 10, 48 << 20
+#: An executor holds a worker a core beside its heap, so these are the bounds of a worker. ALONE_BYTES are for a query that only encodes, whose heap stays small.
+CHUNK_CHARS, REPLAY_BYTES, MEMORY_BYTES, ALONE_BYTES = 2_000_000, 512 << 10, 48 << 20, 128 << 20
 #: Bytes that Python needs for a remembered word besides its characters and ids.
 OVERHEAD = 200
 
@@ -60,14 +60,14 @@ class MergeReplay:
         self.forget()
         self.shown = {i: str(i) for i in self.bytes_of}
 
-    def forget(self, again: bool = False) -> None:
+    def forget(self, limit: int = 0) -> None:
         """Words are numbered as they first occur; ``pieces`` holds the ids of word number n as bytes, ``uses`` how often it came since words were last forgotten.
 
-        With ``again`` words that came more than once are remembered, if they take no more than half of MEMORY_BYTES.
+        With a limit, words that came more than once are remembered, if they take no more than half of it.
         """
-        kept = [(w, self.pieces[n]) for w, n in self.number.items() if self.uses[n] > 1] if again else []
+        kept = [(w, self.pieces[n]) for w, n in self.number.items() if self.uses[n] > 1] if limit else []
         held = sum(len(w.encode("utf-8", "surrogatepass")) + len(ids) + OVERHEAD for w, ids in kept)
-        if 2 * held > MEMORY_BYTES:
+        if 2 * held > limit:
             kept, held = [], 0
         self.number: defaultdict[str, int] = defaultdict(count(len(kept)).__next__, ((w, n) for n, (w, _) in enumerate(kept)))
         self.pieces: list[bytes] = [ids for _, ids in kept]
@@ -168,10 +168,11 @@ class MergeReplay:
         if start < len(words):
             yield from self.replay(words[start:])
 
-    def encode_ids(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
-        """Ids (32 bits each) of each text; the words new to this chunk are replayed in slices."""
-        if self.held > MEMORY_BYTES:
-            self.forget(again=True)
+    def encode_ids(self, texts: list[str], pattern: regex.Pattern, memory: int | None = None) -> Iterator[np.ndarray]:
+        """Ids (32 bits each) of each text; the words new to this chunk are replayed in slices. ``memory``: instead of MEMORY_BYTES."""
+        limit = MEMORY_BYTES if memory is None else memory
+        if self.held > limit:
+            self.forget(limit)
         number, pieces, ranks = self.number, self.pieces, self.ranks
         split = [array("i", map(number.__getitem__, pattern.findall(t))) for t in texts]
         raw = [w.encode("utf-8", "surrogatepass") for w in islice(number, len(pieces), None)]
@@ -195,11 +196,11 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text", digests: bool = False, decoded: bool = True, memory: int | None = None) -> DataFrame:
     """Add ``n_tokens``, ``token_ids`` (array of int) and, unless ``decoded`` is false, ``decoded`` (binary), or with ``digests`` their counts and hashes.
 
     A task reads its rows in chunks of about CHUNK_CHARS characters and replays the merges over the
-    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk, by REPLAY_BYTES, by MEMORY_BYTES
+    chunk's distinct words, so no occurrence of a word is shuffled and memory is bounded by the chunk, by REPLAY_BYTES, by ``memory`` (MEMORY_BYTES)
     and by the longest text. ``rank_lines`` are the bytes of a rank file, shipped once to each
     executor (they do not grow with the corpus).
 
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text",
         for held in _chunks(batches, at):
             pa.default_memory_pool().release_unused()
             texts = [t or "" for batch in held for t in batch.column(at).to_pylist()]
-            results = engine.encode_ids(texts, splitter)
+            results = engine.encode_ids(texts, splitter, memory)
             for batch in held:
                 counts, ids_out, decoded_out = [], [], []
                 for ids in islice(results, batch.num_rows):
@@ -286,4 +287,4 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and digests of every document's token ids, and the digest of what they decode to."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"))
     lines, pattern = public_vocabulary()
-    return encode(docs, lines, pattern, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, lines, pattern, digests=True, memory=ALONE_BYTES).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

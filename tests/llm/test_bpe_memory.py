@@ -57,7 +57,7 @@ def test_words_that_came_again_are_remembered(monkeypatch):
         assert list(own.encode(texts, splitter)) == [LIBRARY.encode_ordinary(t) for t in texts]
         assert list(own.number.values()) == list(range(len(own.pieces))) and len(own.uses) == len(own.pieces)
         assert own.held == sum(len(w.encode()) + len(own.pieces[n]) + bpe.OVERHEAD for w, n in own.number.items())
-    own.forget(again=True)
+    own.forget(4000)
     assert "againandagain" in own.number and "once5x3" not in own.number and 0 < 2 * own.held <= 4000
 
 
